@@ -7,59 +7,61 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import NULL_WORDS_LOWER, strip
 
-# The layouts read.
+# The layouts read, and those whose presence is counted.
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})([ T].*)?$"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-DAY_MONTH = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})([ T].*)?$"
-SHORT_YEAR = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2})$"
+SHORT_YEAR_20 = r"^(?<dm>\d{1,2}[/.-]\d{1,2}[/.-])(?<y>[0-5]\d|6[0-8])$"
+SHORT_YEAR_19 = r"^(?<dm>\d{1,2}[/.-]\d{1,2}[/.-])(?<y>\d{2})$"
+MONTH_FIRST = r"^(0?[1-9]|1[0-2])[/.-](\d{1,2})[/.-](\d{4})([ T].*)?$"
+DAY_FIRST = r"^(\d{1,2})[/.-](0?[1-9]|1[0-2])[/.-](\d{4})([ T].*)?$"
 MONTH_NAME_FIRST = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$"
 DAY_THEN_NAME = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})$"
+MONTH_NAMED = r"^\d{4} [A-Za-z]{3} \d{1,2}$"
+EPOCH = r"^\d{10,13}$"
 DASH_LAYOUT = r"^\d{4}-\d{1,2}-\d{1,2}"
 SLASH_LAYOUT = r"^\d{1,2}/\d{1,2}/\d{2,4}"
 FIRST_PART = r"^(\d{1,2})/\d{1,2}/\d{2,4}"
-PIVOT_YEAR = 69
-
-
-def _date(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz").cast("date")
-
-
-def _epoch_date(seconds: Column) -> Column:
-    days = F.floor(seconds / 86400).cast("int")
-    return F.date_add(F.lit("1970-01-01").cast("date"), days)
 
 
 def to_iso_date(c: Column, day_first: bool = False) -> Column:
     """A date, or null where no layout fits.
 
-    ``day_first`` decides how ``03/02/2024`` is read; the other order is tried
-    when the first is not a date. 10 digits are epoch seconds, 11 to 13 are
-    milliseconds. No layout depends on the clock.
+    ``day_first`` decides how ``03/02/2024`` is read. A part over 12 can only
+    be the day, so the other order is taken where the first cannot be. 10
+    digits are epoch seconds, 11 to 13 are milliseconds. No layout depends on
+    the clock. Every layout is rewritten into year-month-day by one chain of
+    replacements, so the input is parsed once.
     """
     s = strip(c.cast("string"))
-    number = s.try_cast("bigint")
-    orders = ("$3-$2-$1$4", "$3-$1-$2$4") if day_first else ("$3-$1-$2$4", "$3-$2-$1$4")
-    long_form = F.when(
-        s.rlike(SHORT_YEAR),
-        F.concat(
-            F.regexp_replace(s, SHORT_YEAR, "$1/$2/"),
-            F.when(F.right(s, F.lit(2)) < str(PIVOT_YEAR), "20").otherwise("19"),
-            F.right(s, F.lit(2)),
-        ),
-    ).when(s.rlike(DAY_MONTH), s)
-    named = F.when(
-        s.rlike(MONTH_NAME_FIRST), F.regexp_replace(s, MONTH_NAME_FIRST, "$3 $1 $2")
-    ).when(s.rlike(DAY_THEN_NAME), F.regexp_replace(s, DAY_THEN_NAME, "$3 $2 $1"))
-    return F.coalesce(
-        F.when(s.rlike(ISO), _date(s)),
-        _date(F.regexp_replace(long_form, DAY_MONTH, orders[0])),
-        _date(F.regexp_replace(long_form, DAY_MONTH, orders[1])),
-        F.when(s.rlike(YEAR_FIRST), _date(F.regexp_replace(s, YEAR_FIRST, "$1-$2-$3$4"))),
-        F.when(s.rlike(COMPACT), _date(F.regexp_replace(s, COMPACT, "$1-$2-$3"))),
-        F.when(s.rlike(r"^\d{10}$"), _epoch_date(number)),
-        F.when(s.rlike(r"^\d{11,13}$"), _epoch_date(number / 1000)),
-        F.try_to_timestamp(F.initcap(named), F.lit("yyyy MMM d")).cast("date"),
+    month_first = (MONTH_FIRST, "$3-$1-$2$4")
+    day_order = (DAY_FIRST, "$3-$2-$1$4")
+    rewrites = [
+        (SHORT_YEAR_20, "${dm}20${y}"),
+        (SHORT_YEAR_19, "${dm}19${y}"),
+        *((day_order, month_first) if day_first else (month_first, day_order)),
+        (YEAR_FIRST, "$1-$2-$3$4"),
+        (COMPACT, "$1-$2-$3"),
+        (MONTH_NAME_FIRST, "$3 $1 $2"),
+        (DAY_THEN_NAME, "$3 $2 $1"),
+    ]
+    text = s
+    for pattern, replacement in rewrites:
+        text = F.regexp_replace(text, pattern, replacement)
+    per_day = F.when(F.length(s) == 10, 86_400).otherwise(86_400_000)
+    days = F.floor(s.try_cast("bigint") / per_day).cast("int")
+    return (
+        F.when(s.rlike(ISO), s.try_cast("timestamp_ntz").cast("date"))
+        .when(s.rlike(EPOCH), F.date_add(F.lit("1970-01-01").cast("date"), days))
+        .otherwise(
+            F.coalesce(
+                F.when(text.rlike(ISO), text.try_cast("timestamp_ntz").cast("date")),
+                F.when(
+                    text.rlike(MONTH_NAMED),
+                    F.try_to_timestamp(F.initcap(text), F.lit("yyyy MMM d")).cast("date"),
+                ),
+            )
+        )
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.functions.text import NULL_WORDS_LOWER, name_col, strip
+from shelfwise.functions.text import name_col, strip
 
 # Fixed values.
 CURRENCY_SIGNS = "$,€£¥% "
@@ -22,25 +22,25 @@ CURRENCY_ANY = r"[\$,€£¥]|\(\d+(\.\d+)?\)|\d{1,3}(,\d{3})+"
 MONEY = "decimal(18,4)"
 
 
+# Stands before a text found negative by its form, until its own sign is known.
+NEGATIVE = "\u0001"
+
+
 def number_text(c: Column) -> Column:
     """The text of the number in ``c``, or null where there is none.
 
-    ``(x)`` and ``x-`` are negative; a percent sign does not divide.
+    ``(x)`` and ``x-`` are negative; a percent sign does not divide. The input
+    is referred to only twice, so that a filter on a computed column stays
+    small after it is pushed below the projection.
     """
-    text = strip(c.cast("string"))
-    in_parens = text.startswith("(") & text.endswith(")")
-    trailing = text.endswith("-")
-    body = (
-        F.when(in_parens, F.substring(text, F.lit(2), F.length(text) - 2))
-        .when(trailing, F.substring(text, F.lit(1), F.length(text) - 1))
-        .otherwise(text)
+    marked = F.regexp_replace(
+        strip(c.cast("string")), r"^(?:\((.*)\)|(.*)-)$", NEGATIVE + "$1$2"
     )
-    bare = strip(F.translate(body, CURRENCY_SIGNS, ""))
-    flipped = F.when(bare.startswith("-"), F.substring(bare, 2, 1 << 30)).otherwise(
-        F.concat(F.lit("-"), F.ltrim(bare, F.lit("+")))
+    bare = F.translate(marked, CURRENCY_SIGNS, "")
+    signed = F.regexp_replace(
+        F.regexp_replace(bare, f"^{NEGATIVE}-", ""), rf"^{NEGATIVE}\+?", "-"
     )
-    signed = F.when(in_parens | trailing, flipped).otherwise(bare)
-    return F.when(bare.rlike(NUMBER_PATTERN) & ~F.lower(text).isin(*NULL_WORDS_LOWER), signed)
+    return F.when(bare.rlike(NUMBER_PATTERN.replace("^", f"^{NEGATIVE}?", 1)), signed)
 
 
 def to_number(c: Column) -> Column:
