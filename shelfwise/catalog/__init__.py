@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("joining", "querying")
+AREAS = ("profiling", "quality", "joining", "querying", "commerce", "texts")
 
 
 def load():
