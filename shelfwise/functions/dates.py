@@ -17,11 +17,10 @@ MONTH_FIRST = r"^(0?[1-9]|1[0-2])[/.-](\d{1,2})[/.-](\d{4})([ T].*)?$"
 DAY_FIRST = r"^(\d{1,2})[/.-](0?[1-9]|1[0-2])[/.-](\d{4})([ T].*)?$"
 MONTH_NAME_FIRST = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$"
 DAY_THEN_NAME = r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -](\d{4})$"
-MONTH_NAMED = r"^\d{4} [A-Za-z]{3} \d{1,2}$"
 EPOCH = r"^\d{10,13}$"
 DASH_LAYOUT = r"^\d{4}-\d{1,2}-\d{1,2}"
 SLASH_LAYOUT = r"^\d{1,2}/\d{1,2}/\d{2,4}"
-FIRST_PART = r"^(\d{1,2})/\d{1,2}/\d{2,4}"
+DAY_OVER_12 = r"^(1[3-9]|[2-9]\d)/\d{1,2}/\d{2,4}"
 
 
 def to_iso_date(c: Column, day_first: bool = False) -> Column:
@@ -30,38 +29,41 @@ def to_iso_date(c: Column, day_first: bool = False) -> Column:
     ``day_first`` decides how ``03/02/2024`` is read. A part over 12 can only
     be the day, so the other order is taken where the first cannot be. 10
     digits are epoch seconds, 11 to 13 are milliseconds. No layout depends on
-    the clock. Every layout is rewritten into year-month-day by one chain of
-    replacements, so the input is parsed once.
+    the clock. Each layout is a test and a rewrite into year-month-day; text
+    without a digit passes none of them.
     """
     s = strip(c.cast("string"))
     month_first = (MONTH_FIRST, "$3-$1-$2$4")
     day_order = (DAY_FIRST, "$3-$2-$1$4")
-    rewrites = [
-        (SHORT_YEAR_20, "${dm}20${y}"),
-        (SHORT_YEAR_19, "${dm}19${y}"),
-        *((day_order, month_first) if day_first else (month_first, day_order)),
-        (YEAR_FIRST, "$1-$2-$3$4"),
-        (COMPACT, "$1-$2-$3"),
-        (MONTH_NAME_FIRST, "$3 $1 $2"),
-        (DAY_THEN_NAME, "$3 $2 $1"),
-    ]
-    text = s
-    for pattern, replacement in rewrites:
-        text = F.regexp_replace(text, pattern, replacement)
+    orders = (day_order, month_first) if day_first else (month_first, day_order)
+
+    def date(text):
+        return text.try_cast("timestamp_ntz").cast("date")
+
+    def rewritten(text, pattern, replacement):
+        return F.regexp_replace(text, pattern, replacement)
+
+    def short_year(pattern, century):
+        full = rewritten(s, pattern, "${dm}" + century + "${y}")
+        return F.coalesce(*[
+            F.when(full.rlike(p), date(rewritten(full, p, r))) for p, r in orders
+        ])
+
+    def named(pattern, replacement):
+        text = F.initcap(rewritten(s, pattern, replacement))
+        return F.try_to_timestamp(text, F.lit("yyyy MMM d")).cast("date")
+
     per_day = F.when(F.length(s) == 10, 86_400).otherwise(86_400_000)
     days = F.floor(s.try_cast("bigint") / per_day).cast("int")
+    found = F.when(~s.rlike(r"\d"), F.lit(None).cast("date")).when(s.rlike(ISO), date(s))
+    for pattern, replacement in (*orders, (YEAR_FIRST, "$1-$2-$3$4"), (COMPACT, "$1-$2-$3")):
+        found = found.when(s.rlike(pattern), date(rewritten(s, pattern, replacement)))
     return (
-        F.when(s.rlike(ISO), s.try_cast("timestamp_ntz").cast("date"))
-        .when(s.rlike(EPOCH), F.date_add(F.lit("1970-01-01").cast("date"), days))
-        .otherwise(
-            F.coalesce(
-                F.when(text.rlike(ISO), text.try_cast("timestamp_ntz").cast("date")),
-                F.when(
-                    text.rlike(MONTH_NAMED),
-                    F.try_to_timestamp(F.initcap(text), F.lit("yyyy MMM d")).cast("date"),
-                ),
-            )
-        )
+        found.when(s.rlike(EPOCH), F.date_add(F.lit("1970-01-01").cast("date"), days))
+        .when(s.rlike(SHORT_YEAR_20), short_year(SHORT_YEAR_20, "20"))
+        .when(s.rlike(SHORT_YEAR_19), short_year(SHORT_YEAR_19, "19"))
+        .when(s.rlike(MONTH_NAME_FIRST), named(MONTH_NAME_FIRST, "$3 $1 $2"))
+        .when(s.rlike(DAY_THEN_NAME), named(DAY_THEN_NAME, "$3 $2 $1"))
     )
 
 
@@ -75,5 +77,4 @@ def parse_dates(c: Column, day_first: bool = False, output_format: str = "yyyy-M
 
 def first_part_over_12(c: Column) -> Column:
     """Whether a slash date can only be day-first; false for everything else."""
-    part = F.regexp_extract(strip(c.cast("string")), FIRST_PART, 1)
-    return F.coalesce(part.try_cast("int") > 12, F.lit(False))
+    return F.coalesce(strip(c.cast("string")).rlike(DAY_OVER_12), F.lit(False))

@@ -11,12 +11,9 @@ from shelfwise.functions.text import name_col, strip
 # Fixed values.
 CURRENCY_SIGNS = "$,€£¥% "
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-CURRENCY_PATTERNS = (
-    r"[\$,€£¥]",
-    r"^\d{1,3}(,\d{3})+(\.\d+)?$",
-    r"^\(\d+(\.\d+)?\)$",
-)
-CURRENCY_ANY = r"[\$,€£¥]|\(\d+(\.\d+)?\)|\d{1,3}(,\d{3})+"
+# A grouped number holds a comma, so the first sign class covers it.
+CURRENCY_PATTERN = r"[$,€£¥]|^\(\d+(\.\d+)?\)$"
+CURRENCY_ANY = r"[$,€£¥]|\(\d+(\.\d+)?\)"
 
 # Exact to four decimals, and a plain 64-bit value inside Spark.
 MONEY = "decimal(18,4)"
@@ -26,16 +23,8 @@ MONEY = "decimal(18,4)"
 NEGATIVE = "\u0001"
 
 
-def number_text(c: Column) -> Column:
-    """The text of the number in ``c``, or null where there is none.
-
-    ``(x)`` and ``x-`` are negative; a percent sign does not divide. The input
-    is referred to only twice, so that a filter on a computed column stays
-    small after it is pushed below the projection.
-    """
-    marked = F.regexp_replace(
-        strip(c.cast("string")), r"^(?:\((.*)\)|(.*)-)$", NEGATIVE + "$1$2"
-    )
+def _formatted_number(c: Column) -> Column:
+    marked = F.regexp_replace(strip(c), r"^(?:\((.*)\)|(.*)-)$", NEGATIVE + "$1$2")
     bare = F.translate(marked, CURRENCY_SIGNS, "")
     signed = F.regexp_replace(
         F.regexp_replace(bare, f"^{NEGATIVE}-", ""), rf"^{NEGATIVE}\+?", "-"
@@ -43,6 +32,22 @@ def number_text(c: Column) -> Column:
     return F.when(bare.rlike(NUMBER_PATTERN.replace("^", f"^{NEGATIVE}?", 1)), signed)
 
 
+def number_text(c: Column) -> Column:
+    """The text of the number in ``c``, or null where there is none.
+
+    ``(x)`` and ``x-`` are negative; a percent sign does not divide. Plain
+    numbers, dates and text without any digit are settled by one test each.
+    The input is referred to only a few times, so that a filter on a computed
+    column stays small after it is pushed below the projection.
+    """
+    text = c.cast("string")
+    return (
+        F.when(text.rlike(NUMBER_PATTERN), text)
+        .when(text.rlike(r"\d[-/:]\d"), F.lit(None))
+        .when(text.rlike(r"\d"), _formatted_number(text))
+    )
+
+
 def to_number(c: Column) -> Column:
     return number_text(c).try_cast("double")
 
@@ -52,10 +57,7 @@ def to_money(c: Column) -> Column:
 
 
 def looks_like_currency(c: Column) -> Column:
-    found = c.rlike(CURRENCY_PATTERNS[0])
-    for pattern in CURRENCY_PATTERNS[1:]:
-        found = found | c.rlike(pattern)
-    return found
+    return c.rlike(CURRENCY_PATTERN)
 
 
 def is_numeric(kind: T.DataType) -> bool:

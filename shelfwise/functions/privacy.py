@@ -29,14 +29,18 @@ INJECTION_PATTERNS = {
 def mask_pii(c: Column, strict: bool = False) -> Column:
     """E-mails, then cards, then phone numbers.
 
-    ``strict`` asks for a phone number to stand alone, so that a run of seven
-    digits inside a longer number or word is left.
+    Each pattern runs only over text that can hold a match: an at sign, a
+    digit, three and four digits in a row. ``strict`` asks for a phone number
+    to stand alone, so that seven digits inside a longer number or word are
+    left.
     """
+    needs = (c.contains("@"), c.rlike(r"(?U)\d"), c.rlike(r"(?U)\d{3}[-.\s]?\d{4}"))
     masked = c
-    for pattern, mask in MASKS:
+    for (pattern, mask), needed in zip(MASKS, needs):
         if strict and pattern == PHONE:
             pattern = rf"(?<![\w]){PHONE}(?![\w])"
-        masked = F.regexp_replace(masked, "(?U)" + pattern, mask.replace("[", r"\["))
+        replaced = F.regexp_replace(masked, "(?U)" + pattern, mask.replace("[", r"\["))
+        masked = F.when(needed, replaced).otherwise(masked)
     return masked
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import name_col
 
-# Columns aggregated in one pass. A further pass reads other columns only.
-COLUMNS_PER_PASS = 16
+# Columns aggregated in one pass. Few, so that the generated code stays small
+# enough to be compiled well; a further pass reads other columns only.
+COLUMNS_PER_PASS = 4
 
 
 def long_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -20,7 +20,11 @@ from shelfwise.functions.text import is_padded, name_col, strip
 from shelfwise.operators.dedup import duplicate_keys
 from shelfwise.operators.frequency import duplicate_groups, per_column, value_counts
 from shelfwise.operators.profiling import BOOLEAN_WORDS, is_text
-from shelfwise.operators.variants import case_variants, near_duplicates
+from shelfwise.operators.variants import (
+    SUSPECT_RATIO,
+    case_variants,
+    similar_keys_in_small_groups,
+)
 from shelfwise.roles import has_role, key_columns
 
 ISSUE_SCHEMA = T.StructType(
@@ -45,12 +49,18 @@ MIN_PARSE_RATIO = 0.9
 SKETCH_LIMIT = 2 * MAX_CATEGORIES
 
 
-def bounded_samples(value: Column, flag: Column, k: int = SAMPLES) -> Column:
+def sample_bucket(value: Column, k: int = SAMPLES) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(k))
+
+
+def bounded_samples(
+    value: Column, flag: Column, bucket: Column | None = None, k: int = SAMPLES
+) -> Column:
     """Up to k flagged values: the least one of each hash bucket.
 
     Every part is a running minimum, so the array never grows with the data.
     """
-    bucket = F.pmod(F.xxhash64(value), F.lit(k))
+    bucket = sample_bucket(value, k) if bucket is None else bucket
     least = [F.min(F.when(flag & (bucket == i), value)) for i in range(k)]
     return F.array_sort(F.array_compact(F.array(*least)))
 
@@ -67,11 +77,13 @@ def issue_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             return {k: no for k in ("w", "c", "a", "b", "m", "n", "s", "u", "t")} | {
                 "f": c.isNotNull(),
                 "v": off,
+                "h": F.lit(None).cast("bigint"),
             }
         dated = has_role(column, "issue_date")
         return {
             "f": c.isNotNull(),
             "v": c,
+            "h": sample_bucket(c),
             "w": is_padded(c),
             "c": looks_like_currency(c),
             "a": c.rlike(CURRENCY_ANY),
@@ -88,15 +100,15 @@ def issue_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             "row_count": F.count(F.lit(1)),
             "value_count": F.count_if(v["f"]),
             "padded_count": F.count_if(v["w"]),
-            "padded_samples": bounded_samples(v["v"], v["w"]),
+            "padded_samples": bounded_samples(v["v"], v["w"], v["h"]),
             "has_currency": F.coalesce(F.bool_or(v["c"]), no),
             "currency_count": F.count_if(v["a"]),
-            "currency_samples": bounded_samples(v["v"], v["a"]),
+            "currency_samples": bounded_samples(v["v"], v["a"], v["h"]),
             "boolean_count": F.count_if(v["b"]),
             "number_count": F.count_if(v["m"]),
             "dash_count": F.count_if(v["n"]),
             "slash_count": F.count_if(v["s"]),
-            "slash_samples": bounded_samples(v["v"], v["s"]),
+            "slash_samples": bounded_samples(v["v"], v["s"], v["h"]),
             "day_first": F.coalesce(F.bool_or(v["u"]), no),
             "date_count": F.count_if(v["t"]),
             "sketch": F.approx_count_distinct(v["v"]),
@@ -165,10 +177,11 @@ def case_variant_issues(counts: DataFrame, dataset: str) -> DataFrame:
 
 
 def suspicious_pairs(counts: DataFrame, measure: str = "blocks") -> DataFrame:
-    """(column, a, b, ratio) of lower-cased values that look like typos."""
+    """(column, a, b, ratio) of lower-cased values that look like typos;
+    ``counts`` holds at most fifty values per column."""
     trimmed = F.lower(strip(F.col("value")))
     keys = counts.select(F.col("column").alias("grp"), trimmed.alias("key")).where("key <> ''")
-    pairs = near_duplicates(keys.distinct(), measure=measure)
+    pairs = similar_keys_in_small_groups(keys, SUSPECT_RATIO, measure=measure)
     return pairs.where("ratio < 1").withColumnRenamed("grp", "column")
 
 

@@ -9,8 +9,9 @@ a whole column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
@@ -27,72 +28,60 @@ def exact_percentiles(
     """
     numbers = numbers.where(F.col("x").isNotNull())
     margin = 2.0 / accuracy
-    low_at = [max(0.0, p - margin) for p in probabilities]
-    high_at = [min(1.0, p + margin) for p in probabilities]
+    edges = [max(0.0, p - margin) for p in probabilities]
+    edges += [min(1.0, p + margin) for p in probabilities]
+    size = len(probabilities)
     wide = F.col("n") > 2 * accuracy
-    count = len(probabilities)
-
-    def brackets(found, fallback):
-        return F.when(wide, found).otherwise(F.array_repeat(fallback, count))
-
+    lows = [F.when(wide, F.col("edge")[i]).otherwise(F.col("least")) for i in range(size)]
+    highs = [F.when(wide, F.col("edge")[size + i]).otherwise(F.col("most")) for i in range(size)]
     bounds = (
         numbers.groupBy("column")
         .agg(
             F.count("x").alias("n"),
             F.min("x").alias("least"),
             F.max("x").alias("most"),
-            F.percentile_approx("x", low_at, accuracy).alias("low"),
-            F.percentile_approx("x", high_at, accuracy).alias("high"),
+            F.percentile_approx("x", edges, accuracy).alias("edge"),
         )
         .select(
             "column",
             "n",
-            brackets(F.col("low"), F.col("least")).alias("low"),
-            brackets(F.col("high"), F.col("most")).alias("high"),
+            *[c.alias(f"low{i}") for i, c in enumerate(lows)],
+            *[c.alias(f"high{i}") for i, c in enumerate(highs)],
         )
     )
-    # One row per column of the table, so its size is that of the schema.
-    placed = numbers.join(F.broadcast(bounds), "column").select(
-        "column",
-        "n",
-        F.posexplode(
-            F.zip_with(
-                "low",
-                "high",
-                lambda lo, hi: F.struct(
-                    (F.col("x") <= hi).alias("keep"), F.when(F.col("x") >= lo, F.col("x")).alias("x")
-                ),
-            )
-        ).alias("which", "at"),
+    x = F.col("x")
+    inside = reduce(
+        Column.__or__, [(x >= F.col(f"low{i}")) & (x <= F.col(f"high{i}")) for i in range(size)]
+    )
+    passed = reduce(
+        Column.__add__, [(x > F.col(f"high{i}")).cast("int") for i in range(size)]
     )
-    # Everything below a bracket collapses into the one group with a null x.
+    # The bounds have one row per column of the table. Each value inside a
+    # bracket is counted by itself; all others of one gap between brackets
+    # collapse into one group, placed in the order by its least value.
     counted = (
-        placed.where("at.keep")
-        .groupBy("column", "which", F.col("at.x").alias("x"))
-        .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+        numbers.join(F.broadcast(bounds), "column")
+        .groupBy("column", F.when(inside, -1).otherwise(passed).alias("gap"),
+                 F.when(inside, x).alias("value"))
+        .agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("x").alias("at"))
     )
-    running = counted.withColumn(
-        "upto",
-        F.sum("rows").over(
-            Window.partitionBy("column", "which").orderBy(F.asc_nulls_first("x"))
-        ),
-    )
-    chosen = F.array(*[F.lit(float(p)) for p in probabilities])
-    place = F.element_at(chosen, F.col("which") + 1) * (F.col("n") - 1)
-    return (
-        running.withColumn("place", place)
-        .groupBy("column", "which")
-        .agg(
-            F.first("place").alias("place"),
-            F.min(F.when(F.col("upto") > F.floor("place"), F.col("x"))).alias("below"),
-            F.min(F.when(F.col("upto") > F.ceil("place"), F.col("x"))).alias("above"),
-        )
-        .select(
-            "column",
-            F.element_at(chosen, F.col("which") + 1).alias("probability"),
-            (
-                F.col("below")
-                + (F.col("above") - F.col("below")) * (F.col("place") - F.floor("place"))
-            ).alias("value"),
-        )
+    order = Window.partitionBy("column").orderBy("at").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    running = counted.withColumn("upto", F.sum("rows").over(order))
+
+    def ranked(rank):
+        return F.min(F.when(F.col("upto") > rank, F.col("at")))
+
+    found = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        found += [ranked(F.floor(place)).alias(f"b{i}"), ranked(F.ceil(place)).alias(f"a{i}")]
+    picked = running.groupBy("column").agg(F.first("n").alias("n"), *found)
+    rows = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        share = place - F.floor(place)
+        value = F.col(f"b{i}") + (F.col(f"a{i}") - F.col(f"b{i}")) * share
+        rows.append(F.struct(F.lit(float(p)).alias("probability"), value.alias("value")))
+    return picked.select("column", F.inline(F.array(*rows)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ MERGE_RATIO = 0.85
 SUSPECT_RATIO = 0.82
 LENGTH_GAP = 2
 
+# Distinct values handled as one short list; more are joined by rare bigrams.
+FEW_VALUES = 500
 # Pairs settled in one pass on the driver; more are settled in Spark rounds.
 LOCAL_PAIRS = 20_000
 
@@ -67,6 +69,19 @@ def _prefix_tokens(keys: DataFrame, ratio: float, gap: int) -> DataFrame:
     ).select("grp", "key", F.col("t.token").alias("token"))
 
 
+def _may_match(a: Column, b: Column, ratio: float, gap: int) -> Column:
+    """Native tests every pair at or above ``ratio`` passes."""
+    la, lb = F.length(a), F.length(b)
+    reach = F.floor((1 - ratio) * (la + lb) + 1e-9)
+    return (F.abs(la - lb) <= gap) & (F.levenshtein(a, b) <= reach)
+
+
+def _scored(candidates: DataFrame, ratio: float, measure: str) -> DataFrame:
+    score = similarity if measure == "blocks" else levenshtein_similarity
+    scored = candidates.withColumn("ratio", score(F.col("a"), F.col("b")))
+    return scored.where(F.col("ratio") >= ratio)
+
+
 def similar_keys(
     keys: DataFrame, ratio: float, gap: int = LENGTH_GAP, measure: str = "blocks"
 ) -> DataFrame:
@@ -80,29 +95,41 @@ def similar_keys(
     tokens = _prefix_tokens(keys, ratio, gap)
     left = tokens.select("grp", "token", F.col("key").alias("a"))
     right = tokens.select("grp", "token", F.col("key").alias("b"))
-    la, lb = F.length("a"), F.length("b")
-    reach = F.floor((1 - ratio) * (la + lb) + 1e-9)
     candidates = (
         left.join(right, ["grp", "token"])
-        .where((F.col("a") < F.col("b")) & (F.abs(la - lb) <= gap))
-        .where(F.levenshtein("a", "b") <= reach)
+        .where((F.col("a") < F.col("b")) & _may_match(F.col("a"), F.col("b"), ratio, gap))
         .select("grp", "a", "b")
         .distinct()
     )
-    score = (
-        similarity(F.col("a"), F.col("b"))
-        if measure == "blocks"
-        else levenshtein_similarity(F.col("a"), F.col("b"))
+    return _scored(candidates, ratio, measure)
+
+
+def similar_keys_in_small_groups(
+    keys: DataFrame, ratio: float, gap: int = LENGTH_GAP, measure: str = "blocks"
+) -> DataFrame:
+    """The same pairs for groups the caller has proved to be small: each group
+    is one short array, tested natively in place."""
+    grouped = keys.groupBy("grp").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    partners = F.transform(
+        "keys",
+        lambda a: F.transform(
+            F.filter("keys", lambda b: (b > a) & _may_match(a, b, ratio, gap)),
+            lambda b: F.struct(a.alias("a"), b.alias("b")),
+        ),
     )
-    return candidates.withColumn("ratio", score).where(F.col("ratio") >= ratio)
+    candidates = grouped.select("grp", F.inline(F.flatten(partners)))
+    return _scored(candidates, ratio, measure)
 
 
-def similar_values(counts: DataFrame, ratio: float, measure: str = "blocks") -> DataFrame:
+def similar_values(
+    counts: DataFrame, ratio: float, measure: str = "blocks", small: bool = False
+) -> DataFrame:
     """(first, second) pairs of distinct values of (value, n), compared without
     case; ``first`` comes before ``second`` by falling count, then by value."""
     valued = counts.select("value", "n", F.lower("value").alias("key"))
     keys = valued.select(F.lit(0).alias("grp"), "key").distinct()
-    pairs = similar_keys(keys, ratio, measure=measure).select("a", "b")
+    find = similar_keys_in_small_groups if small else similar_keys
+    pairs = find(keys, ratio, measure=measure).select("a", "b")
     across = (
         pairs.join(valued.select(F.col("key").alias("a"), F.struct("n", "value").alias("x")), "a")
         .join(valued.select(F.col("key").alias("b"), F.struct("n", "value").alias("y")), "b")
@@ -179,19 +206,28 @@ def variant_map(
     counts: DataFrame,
     ratio: float = MERGE_RATIO,
     measure: str = "blocks",
+    few_values: int = FEW_VALUES,
     local_pairs: int = LOCAL_PAIRS,
 ) -> tuple[DataFrame, bool]:
-    """((variant, canonical), whether it is small) from (value, n)."""
-    pairs = similar_values(counts, ratio, measure)
+    """((variant, canonical), whether it is small) from (value, n).
+
+    A category column mostly has few values; they are read once, and the rest
+    works on that short list. More values stay a table, written once.
+    """
+    spark = counts.sparkSession
+    head = counts.limit(few_values + 1).collect()
+    small = len(head) <= few_values
+    counts = spark.createDataFrame(head, counts.schema) if small else stage(counts, "value-counts")
+    pairs = similar_values(counts, ratio, measure, small)
     found = pairs.limit(local_pairs + 1).collect()
     if len(found) <= local_pairs:
-        spark = counts.sparkSession
         return spark.createDataFrame(_settle_locally(found), MAP_SCHEMA), True
     return _settle_in_rounds(pairs), False
 
 
-def harmonize(df: DataFrame, column: str, measure: str = "blocks", ratio: float = MERGE_RATIO,
-              local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+def harmonize(
+    df: DataFrame, column: str, measure: str = "blocks", ratio: float = MERGE_RATIO
+) -> DataFrame:
     """Title-case a category column and merge variants into the more frequent form."""
     titled = df.withColumn(column, title_case(name_col(column)))
     counts = (
@@ -199,7 +235,7 @@ def harmonize(df: DataFrame, column: str, measure: str = "blocks", ratio: float
         .groupBy(name_col(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    mapping, small = variant_map(counts, ratio, measure, local_pairs)
+    mapping, small = variant_map(counts, ratio, measure)
     if small and mapping.isEmpty():
         return titled
     side = F.broadcast(mapping) if small else mapping
@@ -209,13 +245,6 @@ def harmonize(df: DataFrame, column: str, measure: str = "blocks", ratio: float
     )
 
 
-def near_duplicates(
-    keys: DataFrame, ratio: float = SUSPECT_RATIO, measure: str = "blocks"
-) -> DataFrame:
-    """Pairs of (grp, key) that look like typos of each other."""
-    return similar_keys(keys, ratio, measure=measure)
-
-
 def case_variants(counts: DataFrame) -> DataFrame:
     """(column, key, variants, n): trimmed values that differ only in case."""
     trimmed = counts.withColumn("value", strip(F.col("value"))).where(F.col("value") != "")

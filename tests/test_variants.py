@@ -42,11 +42,14 @@ def greedy(counts, threshold=0.85):
     return {v: c for v, c in target.items() if v != c}
 
 
+@pytest.mark.parametrize(
+    "find", [variants.similar_keys, variants.similar_keys_in_small_groups]
+)
 @pytest.mark.parametrize("threshold", [0.82, 0.85])
-def test_similar_keys_equals_all_pairs(spark, threshold):
+def test_similar_keys_equals_all_pairs(spark, threshold, find):
     keys = words(3, 220)
     df = spark.createDataFrame([(0, k) for k in keys], "grp int, key string")
-    got = {(r.a, r.b) for r in variants.similar_keys(df, threshold).collect()}
+    got = {(r.a, r.b) for r in find(df, threshold).collect()}
     expected = {
         (a, b)
         for i, a in enumerate(keys)
@@ -56,14 +59,14 @@ def test_similar_keys_equals_all_pairs(spark, threshold):
     assert got == expected and expected
 
 
-@pytest.mark.parametrize("local_pairs", [20_000, 0])
-def test_variant_map_equals_greedy_walk(spark, local_pairs):
+@pytest.mark.parametrize("few_values, local_pairs", [(500, 20_000), (0, 20_000), (0, 0)])
+def test_variant_map_equals_greedy_walk(spark, few_values, local_pairs):
     keys = words(5, 160)
     rng = random.Random(1)
     counts = {k: rng.randint(1, 9) for k in keys}
     counts.update({"TV Set": 4, "Tv Set": 6})
     df = spark.createDataFrame(list(counts.items()), "value string, n long")
-    mapping, small = variants.variant_map(df, local_pairs=local_pairs)
+    mapping, small = variants.variant_map(df, few_values=few_values, local_pairs=local_pairs)
     assert small == (local_pairs > 0)
     assert {r.variant: r.canonical for r in mapping.collect()} == greedy(counts)
 
