@@ -175,9 +175,9 @@ def expected_match(spark, folder):
 def _turns(spark, folder):
     """Turns of a session per user of the events, numbered in time order."""
     events = table(spark, folder, "events")
-    day = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date"))
-    numbered = sessions.running_sum(
-        events, ["user_id"], day, ["ts", "event_id"], F.lit(1).cast("bigint"), "turn"
+    hour = F.date_trunc("hour", "ts")
+    numbered = sessions.running_sums(
+        events, ["user_id"], hour, ["ts", "event_id"], {"turn": F.lit(1).cast("bigint")}
     )
     named = F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string"))
     return numbered.select(

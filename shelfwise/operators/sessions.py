@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,29 +10,33 @@ from pyspark.sql import functions as F
 BLOCK = 100_000
 
 
-def running_sum(
+def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     block: Column,
     order: Sequence[Column | str],
-    value: Column,
-    name: str,
+    values: Mapping[str, Column],
 ) -> DataFrame:
-    """Adds the sum of ``value`` up to each row of its key.
+    """Adds, per name in ``values``, the sum of its column up to each row of a key.
 
     ``block`` splits a key's rows into ordered pieces. Each piece is summed on
     its own and shifted by what the pieces before it add up to, so a key with
     very many rows is never one task's work.
     """
-    df = df.withColumns({"__block": block, "__value": value})
-    sums = df.groupBy(*keys, "__block").agg(F.sum("__value").alias("__sum"))
+    df = df.withColumns({"__block": block, **{f"__v_{n}": v for n, v in values.items()}})
+    sums = df.groupBy(*keys, "__block").agg(
+        *[F.sum(f"__v_{n}").alias(f"__sum_{n}") for n in values]
+    )
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(
         Window.unboundedPreceding, -1
     )
     shifts = sums.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         F.col("__block").alias("__b"),
-        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__shift"),
+        *[
+            F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__shift_{n}")
+            for n in values
+        ],
     )
     match = F.col("__block") == F.col("__b")
     for k in keys:
@@ -40,10 +44,11 @@ def running_sum(
     within = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    summed = df.join(shifts, match).withColumn(
-        name, F.sum("__value").over(within) + F.col("__shift")
+    summed = df.join(shifts, match).withColumns(
+        {n: F.sum(f"__v_{n}").over(within) + F.col(f"__shift_{n}") for n in values}
     )
-    return summed.drop("__block", "__value", "__b", "__shift", *[f"__{k}" for k in keys])
+    extra = [f"__{part}_{n}" for n in values for part in ("v", "shift")]
+    return summed.drop("__block", "__b", *extra, *[f"__{k}" for k in keys])
 
 
 def session_filters(
@@ -57,27 +62,32 @@ def session_filters(
     each replacement. ``distinct_fields`` keeps, of filters (structs with a
     ``field``), only those of the last turn that names a field.
 
-    The accumulated list of a turn is as long as its segment has filters:
-    that is the result asked for, and the only thing that grows.
+    Lists are built over the turns that have filters only, so the work of a
+    list is its own length; every turn then takes the list that holds at the
+    last such turn before it. Many turns of one session that share a list are
+    an ordinary skewed join, which AQE splits.
     """
-    own = F.coalesce("filters", F.array().cast(turns.schema["filters"].dataType))
+    kind = turns.schema["filters"].dataType
+    own = F.coalesce("filters", F.array().cast(kind))
     df = turns.withColumn("filters", own)
-    restart = (~F.col("follow_up") & (F.size("filters") > 0)).cast("bigint")
-    numbered = running_sum(
+    has_own = F.size("filters") > 0
+    numbered = running_sums(
         df,
         ["session_id"],
         F.floor(F.col("turn") / block),
         [F.col("turn")],
-        restart,
-        "segment",
+        {
+            "__given": has_own.cast("bigint"),
+            "segment": (~F.col("follow_up") & has_own).cast("bigint"),
+        },
     )
+    giving = numbered.where(has_own)
     upto = Window.partitionBy("session_id", "segment").orderBy("turn").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     if distinct_fields:
         tagged = F.transform("filters", lambda f: F.struct(F.col("turn").alias("turn"), f.alias("f")))
-        listed = F.flatten(F.collect_list(tagged).over(upto))
-        numbered = numbered.withColumn("__tagged", listed)
+        giving = giving.withColumn("__tagged", F.flatten(F.collect_list(tagged).over(upto)))
         latest = F.filter(
             "__tagged",
             lambda x: ~F.exists(
@@ -85,9 +95,14 @@ def session_filters(
                 lambda y: (y["f"]["field"] == x["f"]["field"]) & (y["turn"] > x["turn"]),
             ),
         )
-        accumulated = F.transform(latest, lambda x: x["f"])
+        held = F.transform(latest, lambda x: x["f"])
     else:
-        accumulated = F.flatten(F.collect_list("filters").over(upto))
-    result = numbered.withColumn("accumulated", accumulated)
+        held = F.flatten(F.collect_list("filters").over(upto))
+    lists = giving.select(
+        F.col("session_id").alias("__session"), F.col("__given").alias("__at"), held.alias("accumulated")
+    )
+    same = F.col("session_id").eqNullSafe(F.col("__session")) & (F.col("__given") == F.col("__at"))
+    joined = numbered.join(lists, same, "left").drop("__session", "__at", "__given")
+    result = joined.withColumn("accumulated", F.coalesce("accumulated", F.array().cast(kind)))
     effective = F.when(F.col("follow_up"), F.col("accumulated")).otherwise(F.col("filters"))
-    return result.withColumn("effective", effective).drop("__tagged")
+    return result.withColumn("effective", effective)
