@@ -10,7 +10,7 @@ from shelfwise.catalog.registry import query
 from shelfwise.functions.dates import parse_dates
 from shelfwise.functions.numbers import to_money
 from shelfwise.functions.text import title_case
-from shelfwise.operators import cleaning, dedup, frequency, issues, variants
+from shelfwise.operators import cleaning, dedup, issues, variants
 from shelfwise.plans import quality_report as reports
 from shelfwise.plans.cleaning_plan import build_steps, steps_frame
 from shelfwise.plans.cleaning_run import delta_report, plan_and_apply

@@ -32,27 +32,35 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def per_column(
     df: DataFrame,
     columns: Sequence[str],
-    prepare: Callable[[str], dict[str, Column]],
+    prepare: Callable[..., dict[str, Column]],
     aggregate: Callable[[str, dict[str, Column]], dict[str, Column]],
+    shared: Callable[[str], dict[str, Column]] | None = None,
 ) -> DataFrame:
     """One row per column from global aggregates; no value is shuffled.
 
     ``prepare`` gives the expressions evaluated once per row, ``aggregate``
-    the aggregates over them.
+    the aggregates over them. ``shared`` gives expressions several prepared
+    ones need: they are computed in a projection of their own and passed to
+    ``prepare``.
     """
     passes = []
     for start in range(0, len(columns), COLUMNS_PER_PASS):
-        inputs, rows = [], []
+        inputs, rows, before = [], [], []
         for position, column in enumerate(columns[start : start + COLUMNS_PER_PASS]):
-            prepared = {}
-            for key, expression in prepare(column).items():
+            prepared, common = {}, ()
+            if shared is not None:
+                named = shared(column)
+                before += [e.alias(f"__{k}{position}") for k, e in named.items()]
+                common = ({k: F.col(f"__{k}{position}") for k in named},)
+            for key, expression in prepare(column, *common).items():
                 inputs.append(expression.alias(f"{key}{position}"))
                 prepared[key] = F.col(f"{key}{position}")
             values = aggregate(column, prepared)
             rows.append(
                 F.struct(F.lit(column).alias("column"), *[v.alias(k) for k, v in values.items()])
             )
-        passes.append(df.select(*inputs).agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
+        source = df.select(*before) if before else df
+        passes.append(source.select(*inputs).agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
     return reduce(DataFrame.unionByName, passes)
 
 

@@ -16,7 +16,7 @@ from shelfwise.functions.dates import (
     to_iso_date,
 )
 from shelfwise.functions.numbers import CURRENCY_ANY, looks_like_currency, to_number
-from shelfwise.functions.text import is_padded, name_col, strip
+from shelfwise.functions.text import name_col, strip
 from shelfwise.operators.dedup import duplicate_keys
 from shelfwise.operators.frequency import duplicate_groups, per_column, value_counts
 from shelfwise.operators.profiling import BOOLEAN_WORDS, is_text
@@ -70,29 +70,39 @@ def issue_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     columns = list(columns or df.columns)
     no = F.lit(False)
 
-    def prepare(column):
+    def shared(column):
         c = name_col(column)
         if not is_text(df, column):
-            off = F.lit(None).cast("string")
+            return {"f": c.isNotNull()}
+        return {
+            "v": c,
+            "t": strip(c),
+            "digit": c.rlike(r"\d"),
+            "money": c.rlike(CURRENCY_ANY),
+        }
+
+    def prepare(column, common):
+        if not is_text(df, column):
             return {k: no for k in ("w", "c", "a", "b", "m", "n", "s", "u", "t")} | {
-                "f": c.isNotNull(),
-                "v": off,
+                "f": common["f"],
+                "v": F.lit(None).cast("string"),
                 "h": F.lit(None).cast("bigint"),
             }
+        c, trimmed, digit, money = (common[k] for k in ("v", "t", "digit", "money"))
         dated = has_role(column, "issue_date")
         return {
             "f": c.isNotNull(),
             "v": c,
             "h": sample_bucket(c),
-            "w": is_padded(c),
-            "c": looks_like_currency(c),
-            "a": c.rlike(CURRENCY_ANY),
-            "b": F.lower(strip(c)).isin(*BOOLEAN_WORDS),
-            "m": to_number(c).isNotNull(),
-            "n": c.rlike(DASH_LAYOUT) if dated else no,
-            "s": c.rlike(SLASH_LAYOUT) if dated else no,
-            "u": first_part_over_12(c) if dated else no,
-            "t": to_iso_date(c).isNotNull() if dated else no,
+            "w": c != trimmed,
+            "c": money & looks_like_currency(c),
+            "a": money,
+            "b": F.lower(trimmed).isin(*BOOLEAN_WORDS),
+            "m": digit & to_number(c).isNotNull(),
+            "n": digit & c.rlike(DASH_LAYOUT) if dated else no,
+            "s": digit & c.rlike(SLASH_LAYOUT) if dated else no,
+            "u": digit & first_part_over_12(trimmed) if dated else no,
+            "t": digit & to_iso_date(trimmed).isNotNull() if dated else no,
         }
 
     def aggregate(column, v):
@@ -114,7 +124,7 @@ def issue_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
             "sketch": F.approx_count_distinct(v["v"]),
         }
 
-    return per_column(df, columns, prepare, aggregate)
+    return per_column(df, columns, prepare, aggregate, shared)
 
 
 def duplicate_row_issue(df: DataFrame, dataset: str) -> DataFrame:

@@ -59,7 +59,8 @@ def key_join(
     Right columns whose name the left side has get the suffix
     ``_<right_name>``; keys of equal name become one column. Null keys do not
     match unless ``null_safe``. No side is forced into a broadcast: the size
-    decides, and skewed keys are split at run time.
+    decides, and skewed keys are split at run time. A full join, whose skew
+    Spark does not split, is a left join and the right rows without a partner.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type '{how}'")
@@ -68,7 +69,7 @@ def key_join(
     same_key = left_on == right_on
     taken = set(left.columns) - ({left_on} if same_key else set())
     renamed = {c: f"{c}_{right_name}" for c in right.columns if c in taken}
-    key = "__right_key"
+    key = "__right_key"  # a second copy: the right key column itself is kept too
     side = right.select(
         name_col(right_on).alias(key),
         *[
@@ -77,13 +78,20 @@ def key_join(
             if not (same_key and c == right_on)
         ],
     )
-    condition = (
-        left[f"`{left_on}`"].eqNullSafe(F.col(key)) if null_safe else left[f"`{left_on}`"] == F.col(key)
-    )
-    joined = left.join(side, condition, "full" if how == "outer" else how)
+
+    def match(a, b):
+        return a.eqNullSafe(b) if null_safe else a == b
+
+    full = how in ("outer", "full")
+    on = match(left[f"`{left_on}`"], F.col(key))
+    joined = left.join(side, on, "left" if full else how)
+    if full:
+        keys = left.select(name_col(left_on).alias("__left_key"))
+        alone = side.join(keys, match(F.col(key), F.col("__left_key")), "left_anti")
+        joined = joined.unionByName(alone, allowMissingColumns=True)
     if not same_key:
         return joined.drop(key)
-    if how in ("right", "full", "outer"):
+    if full or how == "right":
         joined = joined.withColumn(left_on, F.coalesce(name_col(left_on), F.col(key)))
     return joined.drop(key)
 

@@ -153,6 +153,7 @@ def normalize_category(
         name, ratio = _canonical_at(terms, close["position"]), close["ratio"]
         cases.append((close["position"].isNotNull(), name, ratio, _fuzzy_note("Fuzzy matched", name, ratio)))
     missing = text.isNull() | (text == "")
+    # Names and notes of missing and unknown text.
     return _result(
         (missing, F.lit("Uncategorized"), F.lit(0.0), F.lit("Missing category")),
         (
@@ -177,6 +178,7 @@ def normalize_brand(c: Column, terms: Terms = BRAND_TERMS, fuzzy: bool = True) -
         name, ratio = _canonical_at(terms, close["position"]), close["ratio"]
         cases.append((close["position"].isNotNull(), name, ratio, _fuzzy_note("Fuzzy matched to", name, ratio)))
     missing = text.isNull() | (text == "")
+    # Names and notes of missing and unknown text.
     return _result(
         (missing, F.lit("Unknown"), F.lit(0.0), F.lit("Missing brand")),
         (

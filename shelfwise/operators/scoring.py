@@ -112,6 +112,7 @@ def product_health(products: DataFrame, signals: DataFrame | None = None) -> Dat
 
     m_points, m_label = _bands(margin, MARGIN_BANDS, LOW_MARGIN, above=True)
     r_points, r_label = _bands(rate, RETURN_BANDS, CRITICAL_RETURN, above=False)
+    # Limits, points and texts of the factors.
     factors = [
         _factor(
             margin.isNotNull(), "Gross Margin", m_points,

@@ -85,12 +85,17 @@ def run_cleaning(
     keys: Mapping[str, tuple[str, ...]] | None = None,
     out_dir: str | None = None,
     run_id: str = "run",
+    stage_input: bool = False,
 ) -> CleaningRun:
     """Clean a table and prove that cleaning it again changes nothing.
 
     The cleaned table is written once to the shared folder; the second
     detection, the second cleaning and the comparison read it from there.
+    ``stage_input`` does the same with the raw table, worth it where reading
+    it is dear (CSV, a long plan): the checks read it column by column.
     """
+    if stage_input:
+        df = stage(df, f"{dataset}-raw")
     lazy, issues, steps = plan_and_apply(df, dataset, keys)
     clean = stage(lazy, f"{dataset}-clean")
     again, left, _ = plan_and_apply(clean, f"{dataset}_clean", keys)
