@@ -80,15 +80,17 @@ def predicate(df: DataFrame, field: str, op: str, value=None, regex: bool = Fals
         if regex:
             return text.rlike("(?i)" + str(value))
         return F.lower(text).contains(str(value).lower())
-    typed = is_numeric(df.schema[field].dataType)
-    number = c if typed else number_of(df, field)
-    if isinstance(df.schema[field].dataType, (T.FloatType, T.DoubleType)):
-        # NaN is greater than everything in Spark, and no number here.
-        number = F.nanvl(c, F.lit(None)) if op in ("gt", "gte") else c
+    kind = df.schema[field].dataType
+    number = c if is_numeric(kind) else number_of(df, field)
     limit = _literal(df, field, value)
-    return {
+    test = {
         "gt": number > limit, "gte": number >= limit, "lt": number < limit, "lte": number <= limit,
     }[op]
+    if isinstance(kind, (T.FloatType, T.DoubleType)) and op in ("gt", "gte"):
+        # NaN is greater than everything in Spark, and no number here. The
+        # comparison itself stays plain, so that it is still pushed down.
+        test = test & ~F.isnan(c)
+    return test
 
 
 def filter_funnel(df: DataFrame, filters: Sequence[Mapping]) -> DataFrame:

@@ -174,6 +174,11 @@ def test_filters_reach_the_scan(spark, tmp_path):
     kept = df.where(predicate(df, "id", ">", 990)).select("id")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,990)" in plan and "ReadSchema: struct<id:bigint>" in plan
+    floats = df.where(predicate(df, "x", ">=", 1490))
+    assert "GreaterThanOrEqual(x,1490.0)" in floats._jdf.queryExecution().executedPlan().toString()
+    assert floats.count() == 6
+    nan = spark.createDataFrame([(float("nan"),), (2.0,), (None,)], "x double")
+    assert [r.x for r in nan.where(predicate(nan, "x", ">", 1)).collect()] == [2.0]
 
 
 def test_questions(spark):
