@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ def _literal(df: DataFrame, field: str, value) -> Column:
     number = float(value)
     if isinstance(df.schema[field].dataType, T.IntegralType) and number.is_integer():
         return F.lit(int(number))
+    if isinstance(df.schema[field].dataType, T.DecimalType):
+        return F.lit(Decimal(str(value)))
     return F.lit(number)
 
 

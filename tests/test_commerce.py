@@ -169,14 +169,14 @@ def test_null_semantics_of_filters(loaded):
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
-    spark.range(1000).selectExpr("id", "id * 1.5 AS x").write.parquet(f"{tmp_path}/t")
+    spark.range(1000).selectExpr("id", "CAST(id * 1.5 AS DOUBLE) AS x", "id * 1.5 AS d").write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
     kept = df.where(predicate(df, "id", ">", 990)).select("id")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,990)" in plan and "ReadSchema: struct<id:bigint>" in plan
     floats = df.where(predicate(df, "x", ">=", 1490))
     assert "GreaterThanOrEqual(x,1490.0)" in floats._jdf.queryExecution().executedPlan().toString()
-    assert floats.count() == 6
+    assert floats.count() == 6 and df.where(predicate(df, "d", ">=", 1490)).count() == 6
     nan = spark.createDataFrame([(float("nan"),), (2.0,), (None,)], "x double")
     assert [r.x for r in nan.where(predicate(nan, "x", ">", 1)).collect()] == [2.0]
 
