@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Executors get these few functions with the task, not from an installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TERM_MATCH = T.StructType(
     [T.StructField("position", T.IntegerType()), T.StructField("ratio", T.DoubleType())]
 )
