@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import exact_dedup, id_files, packing, token_counts, warc
+from shelfwise.llm import (
+    exact_dedup,
+    id_files,
+    packing,
+    recompression,
+    substring_repeats,
+    token_counts,
+    warc,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +36,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query("op1_substring_repeats")
+def op1(spark, folder):
+    return substring_repeats.remove_repeats(_table(spark, folder, "documents"), width=200)
+
+
 @_query("op2_best_fit_packing")
 def op2(spark, folder):
     return packing.pack(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
@@ -40,6 +53,11 @@ def op3(spark, folder):
     return warc.archive_and_read(_table(spark, folder, "pages"))
 
 
+@_query("op4_recompression")
+def op4(spark, folder):
+    return recompression.remove_seen(_table(spark, folder, "documents"), width=13)
+
+
 _EXACT_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
            FROM documents),
