@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shelfwise.llm import (
+    chosen_path,
     exact_dedup,
     id_files,
     packing,
@@ -80,3 +81,8 @@ def op6(spark, folder):
 @_query("op9_token_id_files")
 def op9(spark, folder):
     return id_files.encode_and_read(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+@_query("op10_near_duplicates")
+def op10(spark, folder):
+    return chosen_path.near_duplicates(_table(spark, folder, "documents"), percent=75, words=5)
