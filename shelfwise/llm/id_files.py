@@ -45,7 +45,7 @@ _DOC = pa.schema(
 
 def _blocks(vocabulary: str, end_id: int, escape_bits: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder.of_process(vocabulary)
         shard = TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         number = start = held = 0

@@ -43,7 +43,7 @@ def cut_pieces(vocabulary: str, end_id: int, capacity: int):
     """Function for mapInArrow: (key, text) to the pieces of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder.of_process(vocabulary)
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
         for part in slices(batches):
             rows = []

@@ -11,15 +11,15 @@ import json
 import os
 import re
 import sys
+import types
 import unicodedata
-from collections.abc import Iterable
 
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Units kept in a task's memory; beyond it the store starts anew.
-STORE_UNITS = 400_000
+#: Units kept in a worker's memory; beyond it the store starts anew.
+STORE_UNITS = 700_000
 
 # The white space of Unicode, and the contractions the two tokenizer files name.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -38,6 +38,19 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Store(dict):
+    """Encoded units; one that is not there yet is encoded on first use."""
+
+    def __init__(self, encoder: Encoder, words: list[bytes]):
+        super().__init__()
+        self.encoder, self.words = encoder, words
+
+    def __missing__(self, unit: str) -> bytes:
+        words = self.words
+        found = self[unit] = b"".join([words[i] for i in self.encoder.encoded(unit)])
+        return found
+
+
 class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
@@ -75,7 +88,17 @@ class Encoder:
         self.visible = _visible()
         small = "".join(c for c in map(chr, range(256)) if c.isalpha() and c == c.lower())
         self.single = re.compile(f"[{small}]+" if self.lower else f" ?[{letter}]+").fullmatch
-        self.store: dict[str, bytes] = {}
+        self.merges, self.blank = self.tokenizer.model.tokenize, self.visible[32]
+        self.store = _Store(self, [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())])
+
+    @classmethod
+    def of_process(cls, path: str) -> Encoder:
+        """The encoder of this worker process, so that its store serves all tasks that run here."""
+        kept = sys.modules.setdefault("shelfwise_worker", types.ModuleType("shelfwise_worker"))
+        held = kept.__dict__.setdefault("encoders", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def units(self, text: str) -> list[str]:
         try:
@@ -86,27 +109,21 @@ class Encoder:
             return self.safe(text)
         return self.fast(text.lower() if self.lower else text)
 
-    def encoded(self, units: Iterable[str]) -> list[list[int]]:
-        """Ids of each unit. A unit that is one pre-token goes straight to the merges."""
-        tokenize, visible, out = self.tokenizer.model.tokenize, self.visible, []
-        for unit in units:
-            if self.single(unit):
-                mapped = unit.encode().decode("latin-1").translate(visible)
-                out.append([t.id for t in tokenize(mapped)])
-            else:
-                out.append(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-        return out
+    def encoded(self, unit: str) -> list[int]:
+        """Ids of a unit. One that is a single pre-token goes straight to the merges."""
+        if unit.isascii():
+            if unit.isalpha():
+                if not self.lower or unit.islower():
+                    return [t.id for t in self.merges(unit)]
+            elif unit[0] == " " and not self.lower and unit[1:].isalpha():
+                return [t.id for t in self.merges(self.blank + unit[1:])]
+        elif self.single(unit):
+            return [t.id for t in self.merges(unit.encode().decode("latin-1").translate(self.visible))]
+        return self.tokenizer.encode(unit, add_special_tokens=False).ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        import struct
-
-        cut = [self.units(t) for t in texts]
-        store = self.store
-        if len(store) > STORE_UNITS:
-            store.clear()
-        unknown = list(set().union(*cut).difference(store))
-        for unit, ids in zip(unknown, self.encoded(unknown)):
-            store[unit] = struct.pack(f"<{len(ids)}I", *ids)
-        get = store.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        if len(self.store) > STORE_UNITS:
+            self.store.clear()
+        get, units = self.store.__getitem__, self.units
+        return [b"".join(map(get, units(t))) for t in texts]

@@ -38,6 +38,19 @@ def _widest(bits: np.ndarray) -> dict[int, np.ndarray]:
     return m
 
 
+_SHORT = np.repeat(np.arange(18, dtype=np.uint8), np.r_[1, 1 << np.arange(17)])  # of values below 2 ** 17
+
+
+def _bit_lengths(grid: np.ndarray) -> np.ndarray:
+    top = int(grid.max()).bit_length() if grid.size else 0
+    if top <= 17:
+        return _SHORT[grid]
+    bits = np.zeros(grid.shape, np.uint8)
+    for b in range(top):
+        bits += grid >= np.uint64(1 << b)
+    return bits
+
+
 def encode(values: np.ndarray, escape_bits: int = 20):
     """(words, first word of each sub-block, escaped places, escaped values)."""
     values = np.asarray(values, np.uint64)
@@ -49,13 +62,11 @@ def encode(values: np.ndarray, escape_bits: int = 20):
     flat[: len(values)] = values
     flat[places] = 0
     grid[:, :SUB] = flat.reshape(rows, SUB)
-    bits = np.zeros(grid.shape, np.uint8)
-    for b in range(int(flat.max()).bit_length() if len(flat) else 0):
-        bits += grid >= np.uint64(1 << b)
+    bits = _bit_lengths(grid)
     choice = np.full(grid.shape, len(COUNTS) - 1, np.uint8)
     widest = _widest(bits)
-    for s in range(len(COUNTS) - 2, -1, -1):
-        choice[widest[COUNTS[s]] <= WIDTHS[s]] = s
+    for s in range(len(COUNTS) - 1):  # what fits one selector fits all later ones
+        choice -= (widest[COUNTS[s]] <= WIDTHS[s]).view(np.uint8)
     sizes = np.full(rows, SUB)
     if rows:
         sizes[-1] = len(values) - (rows - 1) * SUB

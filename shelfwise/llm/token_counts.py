@@ -108,7 +108,7 @@ def _weigh(path: str):
             if len(pieces) + len(unknown) > STORE_UNITS:
                 pieces.clear()
                 unknown = list(set(names) - {None})
-            pieces.update(zip(unknown, map(len, encoder.encoded(unknown))))
+            pieces.update((u, len(encoder.encoded(u))) for u in unknown)
             chunks = batch.column("chunk").to_numpy()
             docs, counts = batch.column("docs"), batch.column("counts")
             weights = np.array([-1 if u is None else pieces[u] for u in names], np.int64)
