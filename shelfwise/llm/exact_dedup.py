@@ -19,6 +19,8 @@ from shelfwise.llm.batches import staged, tasks
 
 #: Runs that a group of copies is dealt to.
 SALTS = 64
+#: Characters of a text that splitters are made of; a hash of the whole text splits longer common heads.
+SPLITTER_CHARS = 32
 
 # Only these letters are folded.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,23 +33,30 @@ def exact_duplicates(
 
     ``keep`` names the row of a group that stays: "first" for the smallest id,
     "last" for the largest. Null text counts as empty and equals empty text.
-    Rows of equal id are counted each; all those with the id that stays are
-    kept. A null id stays only if its group has no other. An empty table gives
+    Rows of equal id are counted each, and one of those with the id that stays
+    is kept. A null id stays only if its group has no other. An empty table gives
     no rows; further columns are ignored. Texts are compared whole.
     """
     best = F.max if keep == "last" else F.min
     content = F.translate(F.coalesce(df[text_col].cast("string"), F.lit("")), UPPER, LOWER)
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), content.alias("content")).withColumn(
-        "salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), content.alias("content")).select(
+        "doc_id",
+        "content",
+        F.substring("content", 1, SPLITTER_CHARS).alias("head"),
+        F.xxhash64("content").alias("tie"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"),
     )
-    ordered = rows.repartitionByRange(tasks(df), "content", "salt")
+    # Splitters are sampled from the head, so the sample stays small however long texts are.
+    ordered = rows.repartitionByRange(tasks(df), "head", "tie", "salt")
     # Equal texts are neighbours now; a run ends where the text differs from the one before.
-    equal = Window.partitionBy("content", "salt")
+    equal = Window.partitionBy("head", "tie", "salt", "content")
     runs = staged(
         ordered.select(
             "doc_id",
             F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"),
             F.row_number().over(equal.orderBy("doc_id")).alias("place"),
+            # 0 for the first of rows with one id, which fall into one run
+            (F.row_number().over(equal.orderBy("doc_id")) - F.rank().over(equal.orderBy("doc_id"))).alias("again"),
             best("doc_id").over(equal).alias("run_keep"),
             F.count("*").over(equal).alias("run_size"),
         ),
@@ -62,6 +71,6 @@ def exact_duplicates(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 0)).alias("kept"),
         "text_sha256",
     )
