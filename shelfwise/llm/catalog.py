@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from shelfwise.llm import (
     chosen_path,
+    decontamination,
     exact_dedup,
     id_files,
+    language,
     packing,
     recompression,
     substring_repeats,
@@ -31,7 +33,7 @@ def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -44,7 +46,7 @@ def op1(spark, folder):
 
 @_query("op2_best_fit_packing")
 def op2(spark, folder):
-    return packing.pack(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.pack(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 
@@ -75,14 +77,24 @@ def op5(spark, folder):
 
 @_query("op6_token_counts")
 def op6(spark, folder):
-    return token_counts.token_counts(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"), 2048)
+    return token_counts.token_counts(_table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
 @_query("op9_token_id_files")
 def op9(spark, folder):
-    return id_files.encode_and_read(_table(spark, folder, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return id_files.encode_and_read(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 @_query("op10_near_duplicates")
 def op10(spark, folder):
     return chosen_path.near_duplicates(_table(spark, folder, "documents"), percent=75, words=5)
+
+
+@_query("op7_decontamination")
+def op7(spark, folder):
+    return decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op8_language_id")
+def op8(spark, folder):
+    return language.predict_languages(_table(spark, folder, "documents"))

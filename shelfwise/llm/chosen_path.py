@@ -229,7 +229,7 @@ def _decide(percent: int):
 
 def near_duplicates(
     df: DataFrame, percent: int = 75, words: int = 5, recall: float = 0.999999,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", marks: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``df``.
 
@@ -239,8 +239,9 @@ def near_duplicates(
     exactly that similarity is met by the search with probability ``recall`` at
     least, a more similar one with more. Null or blank text has an empty set and
     is linked with nothing; a text of fewer words is one shingle. Rows of equal
-    id are linked like others, a null id is smaller than any and stays null, an
-    empty table gives no rows, further columns are ignored.
+    id are linked like others and one of them is kept; a null id is smaller than any and stays null, an
+    empty table gives no rows, further columns are ignored. ``marks`` adds a hash of
+    the text, which tells rows of one id apart.
     """
     docs = documents(df, id_col, text_col)
     parts = tasks(df)
@@ -252,8 +253,8 @@ def near_duplicates(
     # One vertex per distinct set; which row stands for it only has to be fixed.
     reps = staged(
         profile.where("n > 0").groupBy("s1", "s2", "n")
-        .agg(F.min(F.struct("row", "key", "mark", "mins")).alias("r"), F.min("key").alias("least_key"))
-        .select(F.col("r.row").alias("rep"), "s1", "s2", "n", "least_key", "r.key", "r.mark", "r.mins"),
+        .agg(F.min(F.struct("row", "key", "mark", "mins")).alias("r"), F.min(F.struct("key", "row")).alias("first"))
+        .select(F.col("r.row").alias("rep"), "s1", "s2", "n", "first", "r.key", "r.mark", "r.mins"),
         "vertices",
     )
     vertices = reps.select("rep", "n", "mins")
@@ -314,16 +315,19 @@ def near_duplicates(
             large.select("rep", F.explode(F.expr(_children("node"))).alias("node")).distinct(), "paths"
         )
         depth += 1
-    found = rooted(reps.select("rep", "s1", "s2", "n", "least_key"), forest)
-    least_of = found.groupBy("root").agg(F.min("least_key").alias("component"))
-    classes = found.join(least_of, "root").select("s1", "s2", "n", "component")
-    out = profile.join(classes, ["s1", "s2", "n"], "left").withColumn("component", F.coalesce("component", "key"))
+    found = rooted(reps.select("rep", "s1", "s2", "n", "first"), forest)
+    least_of = found.groupBy("root").agg(F.min("first").alias("least"))
+    classes = found.join(least_of, "root").select("s1", "s2", "n", F.col("least.key").alias("component"), F.col("least.row").alias("kept_row"))
+    out = profile.join(classes, ["s1", "s2", "n"], "left").withColumns(
+        {"component": F.coalesce("component", "key"), "kept_row": F.coalesce("kept_row", "row")}
+    )
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(
         real("key").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         real("component").alias("component_id"),
-        (F.col("key") == F.col("component")).alias("kept"),
+        (F.col("row") == F.col("kept_row")).alias("kept"),
+        *(["mark"] if marks else []),
     )
 
 
