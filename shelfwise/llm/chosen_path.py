@@ -105,11 +105,11 @@ def trees_for(recall: float, similarity: float) -> int:
     kept with the probability ``similarity``; the fixed point of its generating
     function is the chance to die out in one tree, at any depth.
     """
+    if BRANCH * similarity <= 1:
+        raise ValueError("similarity is too low for this branching")
     lost = 0.0
     for _ in range(10_000):
         lost = (1 - similarity + similarity * lost) ** BRANCH
-    if lost >= 1:
-        raise ValueError("similarity is too low for this branching")
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
