@@ -4,6 +4,8 @@ import __spark_entry__ as entry
 import pytest
 from check import compare, duck
 
+from shelfwise.catalog import load
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -12,7 +14,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(load()[0]))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     sql = entry.oracle_sql().get(name)
