@@ -91,7 +91,14 @@ def dataset_catalog(spark, folder):
     )
 
 
-@query("audit_append")
+@query(
+    "audit_append",
+    f"""SELECT CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS turn, 's1' AS session_id,
+          'o_orderstatus eq ' || o_orderstatus AS filters, count(*) AS rows_considered, CAST(1 AS BIGINT) AS rows_returned,
+          'LOAD orders (' || (SELECT count(*) FROM orders) || ' rows)' AS first_step,
+          {sql.round2('sum(CAST(o_totalprice AS DECIMAL(18,2)))')} AS total
+        FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus""",
+)
 def audit_append(spark, folder):
     path = scratch_path(spark, "audit")
     loaded = {"orders": table(spark, folder, "orders")}
@@ -102,7 +109,11 @@ def audit_append(spark, folder):
             "metrics": [{"agg": "sum", "field": "o_totalprice", "alias": "total"}],
         }
         tables.append_audit(evidence(loaded, spec), path, "s1", turn)
-    return tables.session_history(spark, path, "s1")
+    return tables.session_history(spark, path, "s1").select(
+        "turn", "session_id", F.array_join("filters", ",").alias("filters"), "rows_considered", "rows_returned",
+        F.col("operations")[0].alias("first_step"),
+        F.get_json_object(F.col("preview")[0], "$.total").cast("double").alias("total"),
+    )
 
 
 @query(

@@ -354,6 +354,24 @@ def top_k(spark, folder):
     return declared_query.run_query({"orders": table(spark, folder, "orders")}, spec)
 
 
+@query(
+    "query_spec_all",
+    f"""SELECT o_custkey, {sql.round2('sum(CAST(o_totalprice AS DECIMAL(18,2)))')} AS spend, count(*) AS n
+        FROM orders GROUP BY o_custkey""",
+)
+def query_spec_all(spark, folder):
+    """No limit in the description: every group comes back."""
+    spec = {
+        "dataset": "orders",
+        "group_by": ["o_custkey"],
+        "metrics": [
+            {"agg": "sum", "field": "o_totalprice", "alias": "spend"},
+            {"agg": "count", "field": "*", "alias": "n"},
+        ],
+    }
+    return declared_query.run_query({"orders": table(spark, folder, "orders")}, spec)
+
+
 def _commerce(spark, folder):
     return {
         "orders": inputs.orders(spark, folder),
@@ -403,7 +421,6 @@ FILTER_SPEC = {
         {"field": "total_amount", "op": ">", "value": 1000},
     ],
     "sort": [{"field": "total_amount", "dir": "desc"}],
-    "limit": 1_000_000,
 }
 
 
@@ -412,8 +429,7 @@ FILTER_SPEC = {
     f"""SELECT order_id, customer_id, {sql.round2('total_amount')} AS total_amount,
           CAST(order_date AS VARCHAR) AS order_date, priority, status FROM ({inputs.ORDERS}) o
         WHERE lower(status) = 'completed' AND lower(priority) IN ('1-urgent', '2-high')
-          AND total_amount > 1000
-        ORDER BY total_amount DESC, order_id, customer_id LIMIT 100""",
+          AND total_amount > 1000""",
 )
 def query_spec_filter(spark, folder):
     return declared_query.run_query(_commerce(spark, folder), FILTER_SPEC)
@@ -440,30 +456,61 @@ def query_spec_totals(spark, folder):
     return declared_query.run_query(_commerce(spark, folder), TOTALS_SPEC)
 
 
-@query(
-    "query_evidence",
-    f"""WITH c AS (SELECT count(*) AS n,
-          count(*) FILTER (lower(status) <> 'returned') AS a,
-          count(*) FILTER (lower(status) <> 'returned' AND quantity >= 10) AS b,
-          count(DISTINCT category) FILTER (lower(status) <> 'returned' AND quantity >= 10) AS g {_JOINED})
-        SELECT 'items' AS dataset,
-          'amount,category,customer_id,order_id,product_id,quantity,status' AS columns_used_with_star,
-          b AS rows_considered, g AS rows_returned,
-          'FILTER status != returned (' || a || ' rows left)' AS first_filter,
-          'FILTER quantity >= 10 (' || b || ' rows left)' AS second_filter,
-          'LIMIT 100 (' || g || ' rows returned)' AS last_step FROM c""",
-)
+_EVIDENCE_SQL = f"""
+WITH i AS ({inputs.ITEMS}), p AS ({inputs.PRODUCTS}), o AS ({inputs.ORDERS}),
+  ip AS (SELECT i.*, p.category FROM i JOIN p ON i.product_id = p.product_id),
+  ipo AS (SELECT ip.*, o.status, o.customer_id FROM ip JOIN o ON ip.order_id = o.order_id),
+  k AS (SELECT * FROM ipo WHERE lower(status) <> 'returned' AND quantity >= 10),
+  g AS (SELECT category, {sql.round2('sum(CAST(amount AS DECIMAL(18,2)))')} AS s,
+          count(DISTINCT customer_id) AS customers FROM k GROUP BY category),
+  n AS (SELECT (SELECT count(*) FROM i) AS i, (SELECT count(*) FROM ip) AS ip,
+          (SELECT count(*) FROM ipo) AS ipo, (SELECT count(*) FROM g) AS g, (SELECT count(*) FROM k) AS k,
+          (SELECT count(*) FROM ipo WHERE lower(status) <> 'returned') AS a)
+SELECT 'items' AS dataset, k AS rows_considered, g AS rows_returned, g AS previewed,
+  'FILTER status != returned (' || a || ' rows left)' AS first_filter,
+  'FILTER quantity >= 10 (' || k || ' rows left)' AS second_filter,
+  'LIMIT 100 (' || g || ' rows returned)' AS last_step,
+  ip AS first_join_rows, ipo AS second_join_rows,
+  {sql.ratio2('ipo', 'ip').replace('DECIMAL(18,2))', 'DOUBLE)')} AS second_fanout, ipo > 1.5 * ip AS second_warning,
+  (SELECT category FROM g ORDER BY s DESC, category LIMIT 1) AS top_category,
+  (SELECT CAST(customers AS VARCHAR) FROM g ORDER BY s DESC, category LIMIT 1) AS top_customers
+FROM n
+"""
+
+
+@query("query_evidence", _EVIDENCE_SQL)
 def query_evidence(spark, folder):
     found = declared_query.evidence(_commerce(spark, folder), CATEGORY_SPEC)
-    used = F.array_remove("columns_used", "*")
+    first, second = F.col("joins")[0], F.col("joins")[1]
     return found.select(
         "dataset",
-        F.array_join(used, ",").alias("columns_used_with_star"),
         "rows_considered",
         "rows_returned",
+        F.size("preview").cast("bigint").alias("previewed"),
         F.col("operations")[3].alias("first_filter"),
         F.col("operations")[4].alias("second_filter"),
         F.element_at("operations", -1).alias("last_step"),
+        first["rows_joined"].cast("bigint").alias("first_join_rows"),
+        second["rows_joined"].cast("bigint").alias("second_join_rows"),
+        second["fanout_ratio"].alias("second_fanout"),
+        second["fanout_warning"].alias("second_warning"),
+        F.get_json_object(F.col("preview")[0], "$.category").alias("top_category"),
+        F.get_json_object(F.col("preview")[0], "$.customers").alias("top_customers"),
+    )
+
+
+@query(
+    "query_evidence_scalar",
+    f"""SELECT count(*) AS rows_considered, CAST(1 AS BIGINT) AS rows_returned,
+          CAST(count(*) AS VARCHAR) AS scalar_answer, 'LIMIT none (1 rows returned)' AS last_step,
+          CAST(0 AS BIGINT) AS joins
+        FROM ({inputs.ITEMS}) i WHERE returned""",
+)
+def query_evidence_scalar(spark, folder):
+    spec = {**TOTALS_SPEC, "metrics": TOTALS_SPEC["metrics"][2:]}
+    return declared_query.evidence(_commerce(spark, folder), spec).select(
+        "rows_considered", "rows_returned", "scalar_answer",
+        F.element_at("operations", -1).alias("last_step"), F.size("joins").cast("bigint").alias("joins"),
     )
 
 

@@ -59,9 +59,9 @@ def predicate(df: DataFrame, field: str, op: str, value=None, regex: bool = Fals
     """One filter as a column. Nulls match only ``neq`` and ``is_null``."""
     op = OPERATOR_ALIASES.get(op, op)
     if op not in OPERATORS:
-        raise ValueError(f"Filter operator '{op}' is not allowed.")
+        raise ValueError(f"unknown operator '{op}' in a filter")
     if field not in df.columns:
-        raise ValueError(f"Filter field '{field}' does not exist in schema.")
+        raise ValueError(f"filtered column '{field}' does not exist in schema")
     c = name_col(field)
     if op == "is_null":
         return c.isNull()
@@ -115,13 +115,13 @@ def metric(df: DataFrame, agg: str, field: str) -> Column:
     """One aggregate. Sums take unparseable values as 0, the others skip them."""
     agg = AGGREGATION_ALIASES.get(agg, agg)
     if agg not in AGGREGATIONS:
-        raise ValueError(f"Aggregation '{agg}' is not allowed.")
+        raise ValueError(f"unknown aggregation '{agg}'")
     if field == "*":
         if agg != "count":
-            raise ValueError(f"Aggregation '{agg}' needs a field.")
+            raise ValueError(f"'{agg}' of all rows has no meaning; name a column")
         return F.count(F.lit(1))
     if field not in df.columns:
-        raise ValueError(f"Metric field '{field}' does not exist in schema.")
+        raise ValueError(f"aggregated column '{field}' does not exist in schema")
     c = name_col(field)
     if agg == "count":
         return F.count(c)
@@ -182,6 +182,7 @@ def totals(df: DataFrame, metrics: Sequence[Mapping]) -> DataFrame:
 
 
 def clamp_limit(limit: int) -> int:
+    """A limit between 1 and MAX_LIMIT, for callers that show results."""
     return DEFAULT_LIMIT if limit <= 0 else min(limit, MAX_LIMIT)
 
 

@@ -41,7 +41,7 @@ ROW_COUNT = "decimal(38,0)"
 
 def _require(df: DataFrame, column: str, table: str) -> None:
     if column not in df.columns:
-        raise ValueError(f"Join key '{column}' missing from '{table}'")
+        raise ValueError(f"'{table}' has no column '{column}' to join on")
 
 
 def key_join(

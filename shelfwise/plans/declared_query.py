@@ -18,10 +18,9 @@ from shelfwise.functions.text import name_col
 from shelfwise.operators.filters import (
     AGGREGATION_ALIASES,
     AGGREGATIONS,
-    DEFAULT_LIMIT,
+    MAX_LIMIT,
     OPERATOR_ALIASES,
     OPERATORS,
-    clamp_limit,
     grouped,
     metric_name,
     predicate,
@@ -34,6 +33,11 @@ from shelfwise.sources.tables import presentable
 
 # A metric with one of these in its name is shown as money.
 MONEY_NAME_PARTS = ("rev", "sale", "price", "amount", "cost")
+# The type of ``joins`` where there is none.
+JOINS = (
+    "array<struct<dataset: string, left_on: string, right_on: string, how: string, rows_left: bigint, "
+    "rows_right: bigint, rows_joined: decimal(38,0), fanout_ratio: double, fanout_warning: boolean>>"
+)
 # The sentences of an answer.
 SCALAR_ANSWER = "Based on dataset **{dataset}** (%d rows evaluated), the computed **{name}** is **%s**."
 ONE_RECORD = "Found matching record in **{dataset}**: **%s** (%s)."
@@ -70,7 +74,7 @@ def check_spec(tables: Mapping[str, DataFrame], spec: Mapping) -> None:
         if f["field"] not in known:
             errors.append(f"filter field '{f['field']}' does not exist in schema")
         if OPERATOR_ALIASES.get(f["op"], f["op"]) not in OPERATORS:
-            errors.append(f"filter operator '{f['op']}' is not allowed")
+            errors.append(f"operator '{f['op']}' is not allowed in a filter")
     for g in spec.get("group_by", []):
         if g not in known:
             errors.append(f"group field '{g}' does not exist in schema")
@@ -122,7 +126,10 @@ def _result(df: DataFrame, spec: Mapping) -> DataFrame:
 
 
 def run_query(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
-    """The sorted, limited result, floats at two decimals."""
+    """The sorted result, floats at two decimals: all rows, or as many as ``limit`` says.
+
+    ``filters.clamp_limit`` bounds a limit for callers that want one bounded.
+    """
     check_spec(tables, spec)
     result = _result(considered_rows(tables, spec), spec)
     keys = sort_columns(result, spec.get("sort", []))
@@ -130,8 +137,9 @@ def run_query(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
         keys = [name_col(g).asc_nulls_last() for g in spec.get("group_by", [])]
     if keys:
         result = result.orderBy(*keys)
-    head = result.limit(clamp_limit(spec.get("limit", DEFAULT_LIMIT)))
-    return head.select(*[presentable(head, c) for c in head.columns])
+    if spec.get("limit") is not None:
+        result = result.limit(int(spec["limit"]))
+    return result.select(*[presentable(result, c) for c in result.columns])
 
 
 def columns_used(spec: Mapping) -> list[str]:
@@ -142,11 +150,40 @@ def columns_used(spec: Mapping) -> list[str]:
     return sorted(used)
 
 
+def _counted(current: DataFrame, spec: Mapping) -> DataFrame:
+    """One row from one pass over the joined rows: filter0, ..., considered, returned."""
+    kept, counts = F.lit(True), {}
+    for i, test in enumerate(_tests(current, spec)):
+        kept = kept & F.coalesce(test, F.lit(False))
+        counts[f"filter{i}"] = kept
+    counts["considered"] = kept
+    groups, metrics = spec.get("group_by", []), spec.get("metrics", [])
+    stages = [F.count_if(c).alias(n) for n, c in counts.items()]
+    if groups:
+        # Groups first: their number and the sums over them come from the same rows.
+        per_group = current.groupBy(*[name_col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(*stages)
+        seen = F.col("considered") > 0
+        if metrics and not spec.get("keep_null_groups", False):
+            for i in range(len(groups)):
+                seen = seen & F.col(f"__g{i}").isNotNull()
+        facts = per_group.agg(
+            *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts], F.count_if(seen).alias("returned")
+        )
+    else:
+        facts = current.agg(*stages)
+        facts = facts.withColumn("returned", F.lit(1).cast("bigint") if metrics else F.col("considered"))
+    if spec.get("limit") is not None:
+        facts = facts.withColumn("returned", F.least("returned", F.lit(int(spec["limit"])).cast("bigint")))
+    return facts
+
+
 def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
-    """One row that tells what the query read and did.
+    """One row that tells what the query read, did and found.
 
-    Row counts after each filter come from one conditional count over the
-    joined rows, join sizes from key counts; the steps are not run one by one.
+    All row counts come from one pass over the joined rows, join sizes from key
+    counts; the steps are not run one by one. ``joins`` holds the diagnostics
+    with their warning, ``preview`` the first rows of the result as JSON, at
+    most ``MAX_LIMIT``, and ``scalar_answer`` the value of a single metric.
     """
     check_spec(tables, spec)
     dataset = spec["dataset"]
@@ -157,23 +194,22 @@ def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
     for i, j in enumerate(joins):
         how = j.get("how", "inner")
         found = join_diagnostics(current, tables[j["dataset"]], j["left_on"], j["right_on"], how)
-        facts.append(
-            found.select(
-                F.col("rows_joined").cast("string").alias(f"join{i}"),
-                F.col("fanout_ratio").cast("string").alias(f"fanout{i}"),
-            )
-        )
+        facts.append(found.select(*[F.col(c).cast("string").alias(f"{c}{i}") for c in found.columns]))
         current = key_join(current, tables[j["dataset"]], j["left_on"], j["right_on"], how,
                            right_name=j["dataset"])
-    kept, counts = F.lit(True), []
-    for i, test in enumerate(_tests(current, spec)):
-        kept = kept & F.coalesce(test, F.lit(False))
-        counts.append(F.count_if(kept).cast("string").alias(f"filter{i}"))
-    counts.append(F.count_if(kept).cast("string").alias("considered"))
-    facts.append(current.agg(*counts))
-    limit = clamp_limit(spec.get("limit", DEFAULT_LIMIT))
-    result = _result(considered_rows(tables, spec), spec)
-    facts.append(result.limit(limit).agg(F.count(F.lit(1)).cast("string").alias("returned")))
+    counted = _counted(current, spec)
+    facts.append(counted.select(*[F.col(c).cast("string").alias(c) for c in counted.columns]))
+    result = run_query(tables, spec)
+    metrics = spec.get("metrics", [])
+    scalar = len(metrics) == 1 and not spec.get("group_by")
+    row = F.to_json(F.struct(*[name_col(c) for c in result.columns]), {"ignoreNullFields": "false"})
+    # At most MAX_LIMIT rows; numbered as they come, since the limit keeps their order.
+    shown = result.limit(MAX_LIMIT).select(row.alias("row")).withColumn("at", F.monotonically_increasing_id())
+    shown = shown.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("at", "row"))), lambda r: r["row"])).alias("preview"))
+    if scalar:
+        name = metric_name(metrics[0]["agg"], metrics[0]["field"], metrics[0].get("alias"))
+        facts.append(result.select(shown_text(result, name).alias("scalar")))
+    facts.append(shown)
 
     # All facts are single rows; they meet as (name, value) pairs in one map.
     pairs = [
@@ -188,14 +224,28 @@ def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
         return F.col("m")[name]
 
     operations = [F.format_string(f"LOAD {dataset} (%s rows)", fact("loaded"))]
+    performed = []
     for i, j in enumerate(joins):
         text = f"JOIN {j['dataset']} ON {j['left_on']} = {j['right_on']} (%s rows, fan-out %sx)"
-        operations.append(F.format_string(text, fact(f"join{i}"), fact(f"fanout{i}")))
+        operations.append(F.format_string(text, fact(f"rows_joined{i}"), fact(f"fanout_ratio{i}")))
+        performed.append(
+            F.struct(
+                F.lit(j["dataset"]).alias("dataset"), F.lit(j["left_on"]).alias("left_on"),
+                F.lit(j["right_on"]).alias("right_on"), F.lit(j.get("how", "inner")).alias("how"),
+                *[
+                    fact(f"{c}{i}").cast(kind).alias(c)
+                    for c, kind in (
+                        ("rows_left", "bigint"), ("rows_right", "bigint"), ("rows_joined", "decimal(38,0)"),
+                        ("fanout_ratio", "double"), ("fanout_warning", "boolean"),
+                    )
+                ],
+            )
+        )
     for i, f in enumerate(filters):
-        shown = str(f.get("value")).replace("%", "%%")
-        text = f"FILTER {f['field']} {f['op']} {shown} (%s rows left)"
+        shown_value = str(f.get("value")).replace("%", "%%")
+        text = f"FILTER {f['field']} {f['op']} {shown_value} (%s rows left)"
         operations.append(F.format_string(text, fact(f"filter{i}")))
-    names = [metric_name(m["agg"], m["field"], m.get("alias")) for m in spec.get("metrics", [])]
+    names = [metric_name(m["agg"], m["field"], m.get("alias")) for m in metrics]
     if spec.get("group_by"):
         operations.append(F.lit(f"GROUP BY {', '.join(spec['group_by'])} [{', '.join(names)}]"))
     elif names:
@@ -204,7 +254,8 @@ def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
         operations.append(
             F.lit("SORT BY " + ", ".join(f"{s['field']} {s.get('dir', 'desc')}" for s in spec["sort"]))
         )
-    operations.append(F.format_string(f"LIMIT {limit} (%s rows returned)", fact("returned")))
+    limit = "LIMIT none" if spec.get("limit") is None else f"LIMIT {int(spec['limit'])}"
+    operations.append(F.format_string(f"{limit} (%s rows returned)", fact("returned")))
 
     def texts(values):
         return F.array(*[F.lit(v) for v in values]).cast("array<string>")
@@ -213,10 +264,12 @@ def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
         F.lit(dataset).alias("dataset"),
         texts(columns_used(spec)).alias("columns_used"),
         texts([f"{f['field']} {f['op']} {f.get('value')}" for f in filters]).alias("filters"),
-        texts([f"{j['dataset']}.{j['right_on']} {j.get('how', 'inner')}" for j in joins]).alias("joins"),
+        (F.array(*performed) if performed else F.array().cast(JOINS)).alias("joins"),
         F.array(*operations).alias("operations"),
         fact("considered").cast("bigint").alias("rows_considered"),
         fact("returned").cast("bigint").alias("rows_returned"),
+        F.from_json(fact("preview"), "array<string>").alias("preview"),
+        (fact("scalar") if scalar else F.lit(None).cast("string")).alias("scalar_answer"),
     )
 
 
@@ -267,12 +320,10 @@ def _table_answer(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
     dataset, groups = spec["dataset"], spec.get("group_by", [])
     result = run_query(tables, spec)
     names = result.columns
-    # The limited result is one partition of at most a hundred rows in the
-    # order of the query, so its first row is the top one.
-    top = F.struct(*[shown_text(result, c).alias(f"c{i}") for i, c in enumerate(names)])
-    head = result.agg(F.count(F.lit(1)).alias("shown"), F.first(top).alias("top"))
-    count = considered_rows(tables, spec).agg(F.count(F.lit(1)).alias("considered"))
-    facts = head.unionByName(count, allowMissingColumns=True).agg(
+    # One row of the order of the query, and the counts from one pass.
+    first = result.limit(1).select(F.struct(*[shown_text(result, c).alias(f"c{i}") for i, c in enumerate(names)]).alias("top"))
+    counts = _counted(joined_table(tables, spec), spec).select("considered", F.col("returned").alias("shown"))
+    facts = first.unionByName(counts, allowMissingColumns=True).agg(
         F.max("shown").alias("shown"),
         F.first("top", ignorenulls=True).alias("top"),
         F.max("considered").alias("considered"),
