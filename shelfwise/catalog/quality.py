@@ -328,7 +328,7 @@ def clean_apply(spark, folder):
     return clean.select(
         "order_id",
         "customer_id",
-        F.col("amount_text").cast("decimal(18,4)").alias("amount"),
+        F.col("amount_text").cast("decimal(30,6)").alias("amount"),
         "order_date",
         "status",
     )

@@ -7,7 +7,7 @@ from shelfwise.functions.numbers import NUMBER_PATTERN
 BOOLEANS = "('true','false','0','1','yes','no','t','f','y','n')"
 
 
-def number(c: str, kind: str = "DECIMAL(18,4)") -> str:
+def number(c: str, kind: str = "DECIMAL(30,6)") -> str:
     s = f"trim(CAST({c} AS VARCHAR))"
     body = (
         f"CASE WHEN {s} LIKE '(%)' THEN substr({s}, 2, length({s}) - 2) "

@@ -15,8 +15,8 @@ NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 CURRENCY_PATTERN = r"[$,€£¥]|^\(\d+(\.\d+)?\)$"
 CURRENCY_ANY = r"[$,€£¥]|\(\d+(\.\d+)?\)"
 
-# Exact to four decimals, and a plain 64-bit value inside Spark.
-MONEY = "decimal(18,4)"
+# Exact to six decimals and 24 digits before them; sums have 38 digits.
+MONEY = "decimal(30,6)"
 
 
 # Stands before a text found negative by its form, until its own sign is known.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from shelfwise.operators.profiling import BOOLEAN_WORDS, is_text
 from shelfwise.operators.variants import (
     SUSPECT_RATIO,
     case_variants,
-    similar_keys_in_small_groups,
+    similar_keys,
 )
 from shelfwise.roles import has_role, key_columns
 
@@ -44,30 +44,46 @@ MAX_CATEGORIES = 50
 SAMPLES = 3
 MIN_PARSE_RATIO = 0.9
 
-# Columns whose sketched distinct count is above this are not counted exactly;
-# the sketch is far closer than a factor of two at fifty values.
-SKETCH_LIMIT = 2 * MAX_CATEGORIES
 
 
-def sample_bucket(value: Column, k: int = SAMPLES) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(k))
+def least_samples(found: DataFrame, by: Sequence[str], value: str, k: int | None = SAMPLES) -> DataFrame:
+    """(by..., sample_values): the k smallest distinct values of each group, all with None.
 
-
-def bounded_samples(
-    value: Column, flag: Column, bucket: Column | None = None, k: int = SAMPLES
-) -> Column:
-    """Up to k flagged values: the least one of each hash bucket.
-
-    Every part is a running minimum, so the array never grows with the data.
+    Distinct values are combined and ranked before the shuffle as well, so a
+    task sends at most k values of a group.
     """
-    bucket = sample_bucket(value, k) if bucket is None else bucket
-    least = [F.min(F.when(flag & (bucket == i), value)) for i in range(k)]
-    return F.array_sort(F.array_compact(F.array(*least)))
+    distinct = found.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__value")).distinct()
+    if k is not None:
+        order = Window.partitionBy(*by).orderBy("__value")
+        distinct = distinct.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k)
+    return distinct.groupBy(*by).agg(F.array_sort(F.collect_list("__value")).alias("sample_values"))
+
+
+# The rule of each kind of flagged text; order_date-like names only for dates.
+FLAGS = {
+    "whitespace": lambda c: c != strip(c),
+    "currency_formats": lambda c: c.rlike(CURRENCY_ANY),
+    "inconsistent_dates": lambda c: c.rlike(SLASH_LAYOUT),
+}
+
+
+def flagged_samples(df: DataFrame, wanted: Sequence[tuple[str, str]], k: int | None = SAMPLES) -> DataFrame:
+    """(column, kind, sample_values) of flagged text, for pairs of column and kind, from one scan."""
+    flagged = [
+        F.struct(
+            F.lit(column).alias("column"), F.lit(kind).alias("kind"),
+            F.when(FLAGS[kind](name_col(column)), name_col(column)).alias("value"),
+        )
+        for column, kind in wanted
+    ]
+    if not flagged:
+        return df.sparkSession.createDataFrame([], "column string, kind string, sample_values array<string>")
+    return least_samples(df.select(F.inline(F.array(*flagged))), ["column", "kind"], "value", k)
 
 
 def issue_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column with all counts the column rules need, from one scan."""
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
     no = F.lit(False)
 
     def shared(column):
@@ -85,15 +101,11 @@ def issue_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         if not is_text(df, column):
             return {k: no for k in ("w", "c", "a", "b", "m", "n", "s", "u", "t")} | {
                 "f": common["f"],
-                "v": F.lit(None).cast("string"),
-                "h": F.lit(None).cast("bigint"),
             }
         c, trimmed, digit, money = (common[k] for k in ("v", "t", "digit", "money"))
         dated = has_role(column, "issue_date")
         return {
             "f": c.isNotNull(),
-            "v": c,
-            "h": sample_bucket(c),
             "w": c != trimmed,
             "c": money & looks_like_currency(c),
             "a": money,
@@ -107,32 +119,33 @@ def issue_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
     def aggregate(column, v):
         return {
+            "is_text": F.lit(is_text(df, column)),
             "row_count": F.count(F.lit(1)),
             "value_count": F.count_if(v["f"]),
             "padded_count": F.count_if(v["w"]),
-            "padded_samples": bounded_samples(v["v"], v["w"], v["h"]),
             "has_currency": F.coalesce(F.bool_or(v["c"]), no),
             "currency_count": F.count_if(v["a"]),
-            "currency_samples": bounded_samples(v["v"], v["a"], v["h"]),
             "boolean_count": F.count_if(v["b"]),
             "number_count": F.count_if(v["m"]),
             "dash_count": F.count_if(v["n"]),
             "slash_count": F.count_if(v["s"]),
-            "slash_samples": bounded_samples(v["v"], v["s"], v["h"]),
             "day_first": F.coalesce(F.bool_or(v["u"]), no),
             "date_count": F.count_if(v["t"]),
-            "sketch": F.approx_count_distinct(v["v"]),
         }
 
     return per_column(df, columns, prepare, aggregate, shared)
 
 
+def _counted_samples(groups: DataFrame) -> DataFrame:
+    """One row: repeated rows of (n, shown) groups and the least of what they show."""
+    samples = least_samples(groups.withColumn("all", F.lit(1)), ["all"], "shown")
+    total = groups.agg(F.sum(F.col("n") - 1).alias("affected_count")).withColumn("all", F.lit(1))
+    # One row on each side.
+    return total.join(F.broadcast(samples), "all", "left")
+
+
 def duplicate_row_issue(df: DataFrame, dataset: str) -> DataFrame:
-    text = F.to_json("row")
-    found = duplicate_groups(df).agg(
-        F.sum(F.col("n") - 1).alias("affected_count"),
-        bounded_samples(text, F.lit(True)).alias("sample_values"),
-    )
+    found = _counted_samples(duplicate_groups(df).select("n", F.to_json("row").alias("shown")))
     return _issue_frame(
         found,
         F.lit(f"{dataset}_issue_duplicate_rows"),
@@ -146,10 +159,7 @@ def duplicate_row_issue(df: DataFrame, dataset: str) -> DataFrame:
 def duplicate_key_issue(df: DataFrame, dataset: str, keys: Sequence[str]) -> DataFrame:
     field = ",".join(keys)
     shown = F.concat_ws(",", *[name_col(k).cast("string") for k in keys])
-    found = duplicate_keys(df, keys).agg(
-        F.sum(F.col("n") - 1).alias("affected_count"),
-        bounded_samples(shown, F.lit(True)).alias("sample_values"),
-    )
+    found = _counted_samples(duplicate_keys(df, keys).select("n", shown.alias("shown")))
     return _issue_frame(
         found,
         F.lit(f"{dataset}_{field}_duplicate_keys"),
@@ -160,21 +170,24 @@ def duplicate_key_issue(df: DataFrame, dataset: str, keys: Sequence[str]) -> Dat
     )
 
 
-def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Value counts of those columns that have at most fifty distinct values."""
+def category_counts(
+    df: DataFrame, columns: Sequence[str], max_categories: int | None = MAX_CATEGORIES
+) -> DataFrame:
+    """Value counts of those columns that have at most ``max_categories``
+    distinct values, exactly counted; of all columns with None."""
     counts = value_counts(df, columns)
-    few = counts.groupBy("column").agg(F.count(F.lit(1)).alias("d")).where(
-        F.col("d") <= MAX_CATEGORIES
-    )
+    if max_categories is None:
+        return counts
+    few = counts.groupBy("column").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= max_categories)
     return counts.join(F.broadcast(few), "column", "left_semi")
 
 
 def case_variant_issues(counts: DataFrame, dataset: str) -> DataFrame:
-    """Columns with values that differ in case only; ``counts`` holds at most
-    fifty values per column, so the collected samples are as small."""
-    found = case_variants(counts).groupBy("column").agg(
-        F.count(F.lit(1)).alias("affected_count"),
-        F.slice(F.flatten(F.sort_array(F.collect_list("variants"))), 1, 5).alias("sample_values"),
+    """Columns with values that differ in case only, with the first five spellings."""
+    keys = case_variants(counts)
+    spelled = keys.select("column", F.explode("variants").alias("variant"))
+    found = keys.groupBy("column").agg(F.count(F.lit(1)).alias("affected_count")).join(
+        F.broadcast(least_samples(spelled, ["column"], "variant", 5)), "column"
     )
     return _issue_frame(
         found,
@@ -187,19 +200,18 @@ def case_variant_issues(counts: DataFrame, dataset: str) -> DataFrame:
 
 
 def suspicious_pairs(counts: DataFrame, measure: str = "blocks") -> DataFrame:
-    """(column, a, b, ratio) of lower-cased values that look like typos;
-    ``counts`` holds at most fifty values per column."""
+    """(column, a, b, ratio) of lower-cased values that look like typos."""
     trimmed = F.lower(strip(F.col("value")))
-    keys = counts.select(F.col("column").alias("grp"), trimmed.alias("key")).where("key <> ''")
-    pairs = similar_keys_in_small_groups(keys, SUSPECT_RATIO, measure=measure)
+    keys = counts.select(F.col("column").alias("grp"), trimmed.alias("key")).where("key <> ''").distinct()
+    pairs = similar_keys(keys, SUSPECT_RATIO, measure=measure)
     return pairs.where("ratio < 1").withColumnRenamed("grp", "column")
 
 
 def near_duplicate_issues(counts: DataFrame, dataset: str, measure: str = "blocks") -> DataFrame:
     shown = F.concat("a", F.lit(" ~ "), "b", F.lit(" (sim: "), F.round("ratio", 2), F.lit(")"))
-    found = suspicious_pairs(counts, measure).groupBy("column").agg(
-        F.count(F.lit(1)).alias("affected_count"),
-        bounded_samples(shown, F.lit(True)).alias("sample_values"),
+    pairs = suspicious_pairs(counts, measure).withColumn("shown", shown)
+    found = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("affected_count")).join(
+        F.broadcast(least_samples(pairs, ["column"], "shown")), "column"
     )
     return _issue_frame(
         found,
@@ -213,7 +225,7 @@ def near_duplicate_issues(counts: DataFrame, dataset: str, measure: str = "block
 
 def mixed_type_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns where some values are numbers and some are not."""
-    columns = list(columns or [c for c in df.columns if is_text(df, c)])
+    columns = [c for c in df.columns if is_text(df, c)] if columns is None else list(columns)
 
     def aggregate(column, v):
         return {"value_count": F.count(v["v"]), "number_count": F.count(v["x"])}
@@ -246,17 +258,14 @@ def currency_flagged(signal: Row, min_parse_ratio: float = MIN_PARSE_RATIO) -> b
 
 
 def column_issues(
-    signals: Sequence[Row], dataset: str, min_parse_ratio: float = MIN_PARSE_RATIO
-) -> list[tuple]:
-    """Issue rows that follow from the signals alone."""
+    df: DataFrame, signals: Sequence[Row], dataset: str, min_parse_ratio: float = MIN_PARSE_RATIO
+) -> DataFrame:
+    """Issues that follow from the signals, with samples of the flagged text."""
     rows = []
 
-    def add(signal, suffix, issue_type, severity, count, description, samples=()):
+    def add(signal, suffix, issue_type, severity, count, description):
         column = signal["column"]
-        rows.append(
-            (f"{dataset}_{column}_{suffix}", column, issue_type, severity, description,
-             list(samples), count)
-        )
+        rows.append((f"{dataset}_{column}_{suffix}", column, issue_type, severity, description, suffix, count))
 
     for s in signals:
         column = s["column"]
@@ -267,27 +276,40 @@ def column_issues(
             continue
         if s["padded_count"]:
             add(s, "whitespace", "whitespace_case", "low", s["padded_count"],
-                f"{s['padded_count']} values of '{column}' start or end with white space.",
-                s["padded_samples"])
+                f"{s['padded_count']} values of '{column}' start or end with white space.")
         if currency_flagged(s, min_parse_ratio):
             add(s, "currency_formats", "currency_formats", "medium", s["currency_count"],
-                f"'{column}' holds money or grouped numbers as text.", s["currency_samples"])
+                f"'{column}' holds money or grouped numbers as text.")
         if s["dash_count"] and s["slash_count"]:
             add(s, "inconsistent_dates", "inconsistent_dates", "high", s["slash_count"],
-                f"'{column}' mixes dates with dashes and dates with slashes.", s["slash_samples"])
-    return rows
+                f"'{column}' mixes dates with dashes and dates with slashes.")
+    spark = df.sparkSession
+    found = spark.createDataFrame(
+        rows, "id string, field string, issue_type string, severity string, description string, kind string, "
+        "affected_count long",
+    )
+    samples = flagged_samples(df, [(r[1], r[5]) for r in rows if r[5] in FLAGS])
+    # A few rows per column on either side.
+    joined = found.join(
+        F.broadcast(samples.withColumnRenamed("column", "field")), ["field", "kind"], "left"
+    )
+    return joined.select(
+        *[
+            F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values")
+            if f.name == "sample_values" else F.col(f.name)
+            for f in ISSUE_SCHEMA.fields
+        ]
+    )
 
 
 def category_candidates(signals: Sequence[Row]) -> list[str]:
-    """Text columns that may be categories: no identifier, boolean, number or
-    date, and few values by the sketch."""
+    """Text columns that may be categories: no identifier, boolean, number or date."""
     names = []
     for s in signals:
         n = s["value_count"]
         other_type = n in (s["boolean_count"], s["number_count"], s["date_count"])
-        if n >= 2 and not other_type and not has_role(s["column"], "identifier"):
-            if 0 < s["sketch"] <= SKETCH_LIMIT:
-                names.append(s["column"])
+        if n >= 2 and not other_type and s["is_text"] and not has_role(s["column"], "identifier"):
+            names.append(s["column"])
     return names
 
 
@@ -298,16 +320,19 @@ def detect_issues(
     min_parse_ratio: float = MIN_PARSE_RATIO,
     measure: str = "blocks",
     signals: Sequence[Row] | None = None,
+    max_categories: int | None = MAX_CATEGORIES,
 ) -> DataFrame:
-    """All issues of a table. Runs one small job for the column signals."""
+    """All issues of a table. Runs one small job for the column signals.
+
+    Case and spelling are checked in columns of at most ``max_categories``
+    distinct values, in all text columns with None.
+    """
     if signals is None:
         signals = issue_signals(df).collect()  # one row per column
-    spark = df.sparkSession
-    parts = [spark.createDataFrame(column_issues(signals, dataset, min_parse_ratio), ISSUE_SCHEMA)]
-    parts.append(duplicate_row_issue(df, dataset))
+    parts = [column_issues(df, signals, dataset, min_parse_ratio), duplicate_row_issue(df, dataset)]
     candidates = category_candidates(signals)
     if candidates:
-        counts = category_counts(df, candidates)
+        counts = category_counts(df, candidates, max_categories)
         parts.append(case_variant_issues(counts, dataset))
         parts.append(near_duplicate_issues(counts, dataset, measure))
     for key in key_columns(dataset, df.columns, keys):

@@ -15,11 +15,6 @@ MERGE_RATIO = 0.85
 SUSPECT_RATIO = 0.82
 LENGTH_GAP = 2
 
-# Distinct values handled as one short list; more are joined by rare bigrams.
-FEW_VALUES = 500
-# Pairs settled in one pass on the driver; more are settled in Spark rounds.
-LOCAL_PAIRS = 20_000
-
 MAP_SCHEMA = T.StructType(
     [T.StructField("variant", T.StringType()), T.StructField("canonical", T.StringType())]
 )
@@ -69,6 +64,50 @@ def _prefix_tokens(keys: DataFrame, ratio: float, gap: int) -> DataFrame:
     ).select("grp", "key", F.col("t.token").alias("token"))
 
 
+def _deletions(length: int, ratio: float, gap: int) -> int:
+    """Characters that may have to go from a text of this length before it equals
+    what is left of a partner at or above ``ratio``.
+
+    The common part of two texts of lengths a and b leaves at most
+    u = (1 - ratio)(a + b) characters over, of which a's share is (u + a - b) / 2.
+    """
+    most = 0
+    for other in range(max(0, length - gap), length + gap + 1):
+        over = int((1 - ratio) * (length + other) + 1e-9)
+        if over >= abs(length - other):
+            most = max(most, (over + length - other) // 2)
+    return most
+
+
+def _short_length(ratio: float, gap: int) -> int:
+    """The greatest length up to which two deletions are enough, 14 at most."""
+    length = 0
+    while length < 14 and _deletions(length + 1, ratio, gap) <= 2:
+        length += 1
+    return length
+
+
+def _deletion_tokens(keys: DataFrame, ratio: float, gap: int, short: int) -> DataFrame:
+    """(grp, key, token): each short key with every text its allowed deletions
+    leave. Similar keys share one, and hardly any others do."""
+
+    def without_one(text):
+        places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+        return F.transform(
+            places, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+        )
+
+    most = F.array(*[F.lit(_deletions(n, ratio, gap)) for n in range(short + 1)])[F.length("key")]
+    once = without_one(F.col("key"))
+    twice = F.flatten(F.transform(once, without_one))
+    left = F.when(most == 0, F.array("key")).when(most == 1, F.concat(F.array("key"), once)).otherwise(
+        F.concat(F.array("key"), once, twice)
+    )
+    return keys.where(F.length("key") <= short).select(
+        "grp", "key", F.explode(F.array_distinct(left)).alias("token")
+    )
+
+
 def _may_match(a: Column, b: Column, ratio: float, gap: int) -> Column:
     """Native tests every pair at or above ``ratio`` passes."""
     la, lb = F.length(a), F.length(b)
@@ -87,16 +126,24 @@ def similar_keys(
 ) -> DataFrame:
     """(grp, a, b, ratio) with a < b for all pairs of distinct keys in a group.
 
-    Complete without comparing all pairs: candidates share a rare bigram, a
-    native length and edit-distance test thins them out, and only distinct
-    survivors reach the similarity function. ``measure="levenshtein"`` uses
+    Complete without comparing all pairs: candidates of short keys are equal
+    after the few deletions that ``ratio`` allows, those of longer ones share a
+    rare bigram and have lengths at most ``gap`` apart. A native edit-distance
+    test thins them out, and only distinct survivors reach the similarity
+    function. ``measure="levenshtein"`` uses
     1 - distance / longest length and needs no Python at all.
     """
-    tokens = _prefix_tokens(keys, ratio, gap)
-    left = tokens.select("grp", "token", F.col("key").alias("a"))
-    right = tokens.select("grp", "token", F.col("key").alias("b"))
+    short = _short_length(ratio, gap)
+    # A key near the border meets partners of both kinds.
+    grams = _prefix_tokens(keys.where(F.length("key") > short - gap), ratio, gap)
+    size = F.length("key")
+    near = F.sequence(F.greatest(size - gap, F.lit(0)), size + gap)
+    tokens = _deletion_tokens(keys, ratio, gap, short).withColumn("size", F.lit(-1))
+    left = tokens.unionByName(grams.withColumn("size", size))
+    right = tokens.unionByName(grams.withColumn("size", F.explode(near)))
     candidates = (
-        left.join(right, ["grp", "token"])
+        left.withColumnRenamed("key", "a")
+        .join(right.withColumnRenamed("key", "b"), ["grp", "token", "size"])
         .where((F.col("a") < F.col("b")) & _may_match(F.col("a"), F.col("b"), ratio, gap))
         .select("grp", "a", "b")
         .distinct()
@@ -104,32 +151,14 @@ def similar_keys(
     return _scored(candidates, ratio, measure)
 
 
-def similar_keys_in_small_groups(
-    keys: DataFrame, ratio: float, gap: int = LENGTH_GAP, measure: str = "blocks"
-) -> DataFrame:
-    """The same pairs for groups the caller has proved to be small: each group
-    is one short array, tested natively in place."""
-    grouped = keys.groupBy("grp").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    partners = F.transform(
-        "keys",
-        lambda a: F.transform(
-            F.filter("keys", lambda b: (b > a) & _may_match(a, b, ratio, gap)),
-            lambda b: F.struct(a.alias("a"), b.alias("b")),
-        ),
-    )
-    candidates = grouped.select("grp", F.inline(F.flatten(partners)))
-    return _scored(candidates, ratio, measure)
-
-
 def similar_values(
-    counts: DataFrame, ratio: float, measure: str = "blocks", small: bool = False
+    counts: DataFrame, ratio: float, measure: str = "blocks"
 ) -> DataFrame:
     """(first, second) pairs of distinct values of (value, n), compared without
     case; ``first`` comes before ``second`` by falling count, then by value."""
     valued = counts.select("value", "n", F.lower("value").alias("key"))
     keys = valued.select(F.lit(0).alias("grp"), "key").distinct()
-    find = similar_keys_in_small_groups if small else similar_keys
-    pairs = find(keys, ratio, measure=measure).select("a", "b")
+    pairs = similar_keys(keys, ratio, measure=measure).select("a", "b")
     across = (
         pairs.join(valued.select(F.col("key").alias("a"), F.struct("n", "value").alias("x")), "a")
         .join(valued.select(F.col("key").alias("b"), F.struct("n", "value").alias("y")), "b")
@@ -156,17 +185,9 @@ def similar_values(
     return both.select(F.when(x_first, ordered("x", "y")).otherwise(ordered("y", "x")).alias("p")).select("p.*")
 
 
-def _settle_locally(pairs: list) -> list[tuple[str, str]]:
-    """Walk the values in order; each unclaimed one claims its later neighbours."""
-    claimed: dict[str, str] = {}
-    for row in sorted(pairs, key=lambda r: (-r["first_n"], r["first"], r["second"])):
-        if row["first"] not in claimed:
-            claimed.setdefault(row["second"], row["first"])
-    return list(claimed.items())
-
-
 def _settle_in_rounds(pairs: DataFrame) -> DataFrame:
-    """The same outcome by rounds of joins, for any number of pairs.
+    """The map of a walk in the given order, in which each unclaimed value claims
+    its later neighbours, by rounds of joins for any number of pairs.
 
     A value that comes second in no open pair stands; all it is paired with is
     claimed. Pairs of claimed values close, and the rest goes to the next
@@ -202,27 +223,9 @@ def _settle_in_rounds(pairs: DataFrame) -> DataFrame:
     )
 
 
-def variant_map(
-    counts: DataFrame,
-    ratio: float = MERGE_RATIO,
-    measure: str = "blocks",
-    few_values: int = FEW_VALUES,
-    local_pairs: int = LOCAL_PAIRS,
-) -> tuple[DataFrame, bool]:
-    """((variant, canonical), whether it is small) from (value, n).
-
-    A category column mostly has few values; they are read once, and the rest
-    works on that short list. More values stay a table, written once.
-    """
-    spark = counts.sparkSession
-    head = counts.limit(few_values + 1).collect()
-    small = len(head) <= few_values
-    counts = spark.createDataFrame(head, counts.schema) if small else stage(counts, "value-counts")
-    pairs = similar_values(counts, ratio, measure, small)
-    found = pairs.limit(local_pairs + 1).collect()
-    if len(found) <= local_pairs:
-        return spark.createDataFrame(_settle_locally(found), MAP_SCHEMA), True
-    return _settle_in_rounds(pairs), False
+def variant_map(counts: DataFrame, ratio: float = MERGE_RATIO, measure: str = "blocks") -> DataFrame:
+    """(variant, canonical) from (value, n)."""
+    return _settle_in_rounds(similar_values(stage(counts, "value-counts"), ratio, measure))
 
 
 def harmonize(
@@ -235,14 +238,11 @@ def harmonize(
         .groupBy(name_col(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    mapping, small = variant_map(counts, ratio, measure)
-    if small and mapping.isEmpty():
-        return titled
-    side = F.broadcast(mapping) if small else mapping
-    joined = titled.join(side, name_col(column) == F.col("variant"), "left")
-    return joined.withColumn(column, F.coalesce("canonical", name_col(column))).drop(
-        "variant", "canonical"
+    mapping = variant_map(counts, ratio, measure).select(
+        F.col("variant").alias("__variant"), F.col("canonical").alias("__canonical")
     )
+    joined = titled.join(mapping, name_col(column) == F.col("__variant"), "left")
+    return joined.withColumn(column, F.coalesce("__canonical", name_col(column))).drop("__variant", "__canonical")
 
 
 def case_variants(counts: DataFrame) -> DataFrame:

@@ -42,14 +42,11 @@ def greedy(counts, threshold=0.85):
     return {v: c for v, c in target.items() if v != c}
 
 
-@pytest.mark.parametrize(
-    "find", [variants.similar_keys, variants.similar_keys_in_small_groups]
-)
 @pytest.mark.parametrize("threshold", [0.82, 0.85])
-def test_similar_keys_equals_all_pairs(spark, threshold, find):
+def test_similar_keys_equals_all_pairs(spark, threshold):
     keys = words(3, 220)
     df = spark.createDataFrame([(0, k) for k in keys], "grp int, key string")
-    got = {(r.a, r.b) for r in find(df, threshold).collect()}
+    got = {(r.a, r.b) for r in variants.similar_keys(df, threshold).collect()}
     expected = {
         (a, b)
         for i, a in enumerate(keys)
@@ -59,15 +56,23 @@ def test_similar_keys_equals_all_pairs(spark, threshold, find):
     assert got == expected and expected
 
 
-@pytest.mark.parametrize("few_values, local_pairs", [(500, 20_000), (0, 20_000), (0, 0)])
-def test_variant_map_equals_greedy_walk(spark, few_values, local_pairs):
+def test_short_keys_meet_few_others(spark):
+    """Numbered names: candidates per key do not grow with the number of keys."""
+    def candidates(n):
+        keys = spark.createDataFrame([(0, f"item {i * 37 % 1_000_000:06d}") for i in range(n)], "grp int, key string")
+        tokens = variants._deletion_tokens(keys, 0.85, 2, variants._short_length(0.85, 2))
+        return tokens.groupBy("token").count().selectExpr("sum(count * (count - 1)) / 2").first()[0] / n
+
+    assert candidates(4000) < 3 * candidates(1000) + 30
+
+
+def test_variant_map_equals_greedy_walk(spark):
     keys = words(5, 160)
     rng = random.Random(1)
     counts = {k: rng.randint(1, 9) for k in keys}
     counts.update({"TV Set": 4, "Tv Set": 6})
     df = spark.createDataFrame(list(counts.items()), "value string, n long")
-    mapping, small = variants.variant_map(df, few_values=few_values, local_pairs=local_pairs)
-    assert small == (local_pairs > 0)
+    mapping = variants.variant_map(df)
     assert {r.variant: r.canonical for r in mapping.collect()} == greedy(counts)
 
 
@@ -79,3 +84,9 @@ def test_harmonize_merges_typos_and_case(spark):
     assert got == ["Electronics"] * 4 + ["Apparel", None]
     twice = variants.harmonize(once, "category")
     assert once.exceptAll(twice).isEmpty() and twice.exceptAll(once).isEmpty()
+
+
+def test_harmonize_keeps_a_column_named_variant(spark):
+    df = spark.createDataFrame([("Shoes", "a", 1), ("Shoees", "b", 2), ("Shoes", "c", 3)], "category string, variant string, canonical int")
+    got = variants.harmonize(df, "category").orderBy("canonical").collect()
+    assert [tuple(r) for r in got] == [("Shoes", "a", 1), ("Shoes", "b", 2), ("Shoes", "c", 3)]
