@@ -72,7 +72,10 @@ def preview_rows(spark, folder):
     return tables.preview(table(spark, folder, "orders"), [F.desc("o_totalprice"), "o_orderkey"])
 
 
-CATALOG_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+CATALOG_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 @query(
@@ -338,3 +341,48 @@ def profile_approx(spark, folder):
     return profiling.profile(inputs.dirty_orders(spark, folder), approx=True)
 
 
+
+
+@query(
+    "load_map",
+    "SELECT 'nation' AS name, count(*) AS \"rows\", max(n_name) AS last FROM nation "
+    "UNION ALL SELECT 'region', count(*), max(r_name) FROM region",
+)
+def load_map(spark, folder):
+    """Named paths to tables; the one that is missing is left out."""
+    paths = {t: f"{folder}/{t}.parquet" for t in ("nation", "region")} | {"gone": f"{folder}/no_such_table.parquet"}
+    loaded = tables.read_tables(spark, paths)
+    parts = [
+        df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.max(f"{name[0]}_name").alias("last"))
+        for name, df in loaded.items()
+    ]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+
+
+@query(
+    "folder_scan",
+    "SELECT 'nation' AS name, count(*) AS \"rows\", (SELECT count(*) FROM (DESCRIBE nation) x) AS column_count FROM nation "
+    "UNION ALL SELECT 'supplier', count(*), (SELECT count(*) FROM (DESCRIBE supplier) x) FROM supplier",
+)
+def folder_scan(spark, folder):
+    """A folder of CSV tables, each found by its name."""
+    path = scratch_path(spark, "csv-folder")
+    for name in ("nation", "supplier"):
+        tables.write_csv(table(spark, folder, name), f"{path}/{name}.csv")
+    found = tables.catalog(tables.read_folder(spark, path))
+    return found.select("name", "rows", F.size("columns").cast("bigint").alias("column_count"))
+
+
+@query(
+    "raw_and_clean_views",
+    """SELECT 'orders_raw' AS name, count(*) AS "rows" FROM orders
+       UNION ALL SELECT 'orders_clean', count(*) FROM orders WHERE o_orderstatus <> 'P'""",
+)
+def raw_and_clean_views(spark, folder):
+    df = table(spark, folder, "orders")
+    tables.register_versions("orders", df, df.where("o_orderstatus <> 'P'"))
+    parts = [
+        spark.table(name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        for name in ("orders_raw", "orders_clean")
+    ]
+    return parts[0].unionByName(parts[1])

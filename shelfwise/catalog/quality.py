@@ -13,8 +13,8 @@ from shelfwise.functions.text import title_case
 from shelfwise.operators import cleaning, dedup, issues, variants
 from shelfwise.plans import quality_report as reports
 from shelfwise.plans.cleaning_plan import build_steps, steps_frame
-from shelfwise.plans.cleaning_run import delta_report, plan_and_apply
-from shelfwise.session import stage
+from shelfwise.plans.cleaning_run import plan_and_apply, run_cleaning
+from shelfwise.session import scratch_path, stage
 
 ITEM_KEYS = {"lines": ("order_id", "line_no")}
 
@@ -352,25 +352,66 @@ def clean_idempotent(spark, folder):
 
 @query(
     "clean_delta",
-    f"""WITH {ORDERS_CTE}, c AS ({CLEANED})
-        SELECT (SELECT count(*) FROM d) AS rows_before, (SELECT count(*) FROM c) AS rows_after,
-               (SELECT count(*) FROM c) - (SELECT count(*) FROM d) AS row_delta,
-               'order_id,customer_id,amount_text,order_date,status' AS columns_after,
-               false AS schema_mutated""",
+    f"""WITH {ORDERS_CTE}, c AS ({CLEANED}),
+          n AS (SELECT (SELECT count(*) FROM d) AS b, count(*) AS a, count(DISTINCT order_id) AS k,
+                  bool_and(status = {sql.title('status')}) AS titled FROM c)
+        SELECT b AS rows_before, a AS rows_after, a - b AS row_delta,
+               (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE SELECT order_id, customer_id, amount AS amount_text, order_date, status FROM c) x) AS columns_after,
+               false AS schema_mutated, CASE WHEN a > k THEN 1 ELSE 0 END AS unresolved, titled AND a = k AS idempotent
+        FROM n""",
 )
 def clean_delta(spark, folder):
-    df = inputs.dirty_orders(spark, folder)
-    clean, _, _ = plan_and_apply(df, "orders")
-    found = delta_report(df, clean, [], True)
+    found = run_cleaning(inputs.dirty_orders(spark, folder), "orders").delta()
     return found.select(
         "rows_before",
         "rows_after",
         "row_delta",
-        F.array_join("schema_after", ",").alias("columns_after"),
+        F.array_join(F.array_sort("schema_after"), ",").alias("columns_after"),
         "schema_mutated",
+        F.size("unresolved_issues").alias("unresolved"),
+        "idempotent",
     )
 
 
+@query(
+    "cleaning_run",
+    f"""WITH {ORDERS_CTE}, c AS ({CLEANED})
+        SELECT 'run' AS run_id, 'orders' AS dataset_name, (SELECT count(*) FROM d) AS rows_before,
+               count(*) AS rows_after, count(*) AS rows_written, count(*) = count(DISTINCT order_id) AS idempotent FROM c""",
+)
+def cleaning_run(spark, folder):
+    """A whole run with its files: raw and clean table, and the row about the run."""
+    path = scratch_path(spark, "cleaning-run")
+    run_cleaning(inputs.dirty_orders(spark, folder), "orders", out_dir=path, stage_input=True)
+    meta = spark.read.json(f"{path}/orders_metadata.json")
+    written = spark.read.parquet(f"{path}/orders_clean.parquet").agg(F.count(F.lit(1)).alias("rows_written"))
+    both = meta.select("run_id", "dataset_name", "rows_before", "rows_after", "idempotent")
+    return both.withColumn("rows_written", written.scalar())
+
+
+def _least(value: str, test: str) -> str:
+    return (
+        f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT {value} AS v FROM d WHERE {test} "
+        "ORDER BY v LIMIT 3) s)"
+    )
+
+
+@query(
+    "issue_samples",
+    f"""WITH {ORDERS_CTE} SELECT * FROM (
+          SELECT 'status' AS "column", 'whitespace' AS kind, {_least('status', PADDED.format(c='status'))} AS samples
+          UNION ALL SELECT 'amount_text', 'currency_formats',
+            {_least('amount_text', f"regexp_matches(amount_text, {CURRENCY})")}
+          UNION ALL SELECT 'order_date', 'inconsistent_dates',
+            {_least('order_date', f"regexp_matches(order_date, {SLASHED})")}) x""",
+)
+def issue_samples(spark, folder):
+    """The three least distinct values that each rule flags."""
+    wanted = [("status", "whitespace"), ("amount_text", "currency_formats"), ("order_date", "inconsistent_dates")]
+    found = issues.flagged_samples(inputs.dirty_orders(spark, folder), wanted)
+    return found.select("column", "kind", F.array_join("sample_values", "|").alias("samples"))
+
+
 @query(
     "quality_report",
     f"""WITH {ORDERS_CTE}, {PART_CTE}, i AS ({DETECTED}),

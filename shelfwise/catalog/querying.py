@@ -14,6 +14,7 @@ from shelfwise.functions.numbers import number_of
 from shelfwise.functions.text import round2
 from shelfwise.operators import filters
 from shelfwise.plans import declared_query
+from shelfwise.plans import quality_report as reports
 
 ORDERS_CTE = f"d AS ({inputs.DIRTY_ORDERS})"
 
@@ -546,3 +547,38 @@ def answer_text(spark, folder):
     }
     specs = (scalar, CATEGORY_SPEC, empty, counted)
     return reduce(DataFrame.unionByName, [declared_query.answer_text(loaded, s) for s in specs])
+
+
+@query(
+    "find_value",
+    """SELECT 'name' AS "column", name AS value, count(*) AS rows FROM (
+         SELECT p_name AS name FROM part) x WHERE contains(lower(name), 'an') GROUP BY name
+       UNION ALL SELECT 'brand', p_brand, count(*) FROM part WHERE contains(lower(p_brand), 'an') GROUP BY p_brand
+       UNION ALL SELECT 'category', p_type, count(*) FROM part WHERE contains(lower(p_type), 'an') GROUP BY p_type""",
+)
+def find_value(spark, folder):
+    return filters.find_value(inputs.products(spark, folder).select("name", "brand", "category"), "an")
+
+
+_EXPECTED = {
+    "returned lines": ({**TOTALS_SPEC, "metrics": TOTALS_SPEC["metrics"][2:]}, "0"),
+    "all lines": ({"dataset": "items", "metrics": [{"agg": "count", "field": "*", "alias": "n"}]}, None),
+    "no such column": ({"dataset": "items", "metrics": [{"agg": "sum", "field": "nope"}]}, "1"),
+}
+
+
+@query(
+    "expected_scalars",
+    f"""SELECT 'returned lines' AS "case", 'ok' AS status, CAST(count(*) AS VARCHAR) AS scalar_value,
+          CAST(count(*) AS VARCHAR) = '0' AS expected_match FROM ({inputs.ITEMS}) i WHERE returned
+        UNION ALL SELECT 'all lines', 'ok', CAST(count(*) AS VARCHAR), true FROM lineitem
+        UNION ALL SELECT 'no such column', 'error', NULL, false""",
+)
+def expected_scalars(spark, folder):
+    """A batch of descriptions beside the scalars that somebody expects of them."""
+    found = reports.scalar_results(_commerce(spark, folder), {c: s for c, (s, _) in _EXPECTED.items()})
+    found = found.withColumn("status", F.split_part("status", F.lit(":"), F.lit(1)))
+    expected = spark.createDataFrame(
+        [(c, "ok", v) for c, (_, v) in _EXPECTED.items()], "case string, status string, scalar_value string"
+    )
+    return reports.match_expectations(found, expected, ["case"]).select("case", "status", "scalar_value", "expected_match")

@@ -202,3 +202,29 @@ def sort_columns(df: DataFrame, sort: Sequence[Mapping], ties: bool = True) -> l
         ]
         keys += [name_col(c).asc_nulls_last() for c in orderable if c not in used]
     return keys
+
+
+def find_value(df: DataFrame, phrase: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, value, rows): every distinct text value that holds ``phrase``, compared without case.
+
+    All text columns are searched in one scan; matches are counted per value
+    before the shuffle. Columns stand in the order of the table, values in that
+    of their text.
+    """
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    names = [c for c in names if columns is None or c in columns]
+    if not names or not phrase:
+        return df.sparkSession.createDataFrame([], "column string, value string, rows long")
+    wanted = phrase.lower()
+    found = [
+        F.struct(
+            F.lit(i).alias("place"), F.lit(c).alias("column"),
+            F.when(F.contains(F.lower(name_col(c)), F.lit(wanted)), name_col(c)).alias("value"),
+        )
+        for i, c in enumerate(names)
+    ]
+    return (
+        df.select(F.inline(F.array(*found))).where("value IS NOT NULL")
+        .groupBy("place", "column", "value").agg(F.count(F.lit(1)).alias("rows"))
+        .orderBy("place", "value").select("column", "value", "rows")
+    )

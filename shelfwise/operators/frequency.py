@@ -18,6 +18,8 @@ COLUMNS_PER_PASS = 4
 def long_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, value) with every value as text, nulls left out."""
     columns = list(columns if columns is not None else df.columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string")
     text = df.select(*[name_col(c).cast("string").alias(c) for c in columns])
     return text.unpivot([], [name_col(c) for c in columns], "column", "value").where(
         F.col("value").isNotNull()
@@ -41,8 +43,10 @@ def per_column(
     ``prepare`` gives the expressions evaluated once per row, ``aggregate``
     the aggregates over them. ``shared`` gives expressions several prepared
     ones need: they are computed in a projection of their own and passed to
-    ``prepare``.
+    ``prepare``. Without columns the result has its schema and no row.
     """
+    if not columns:
+        return per_column(df, df.columns[:1], prepare, aggregate, shared).where("false")
     passes = []
     for start in range(0, len(columns), COLUMNS_PER_PASS):
         inputs, rows, before = [], [], []

@@ -13,6 +13,7 @@ from shelfwise.functions.numbers import number_of
 from shelfwise.functions.text import name_col, round2, strip
 from shelfwise.operators.frequency import (
     duplicate_row_count,
+    long_values,
     per_column,
     sample_values,
     top_values,
@@ -20,6 +21,7 @@ from shelfwise.operators.frequency import (
 )
 from shelfwise.operators.quantiles import exact_percentiles
 from shelfwise.roles import has_role
+from shelfwise.session import stage
 
 # Fixed values.
 BOOLEAN_WORDS = ("true", "false", "0", "1", "yes", "no", "t", "f", "y", "n")
@@ -44,7 +46,7 @@ def table_profile(df: DataFrame, dataset: str) -> DataFrame:
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, null_count, null_percentage)."""
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
 
     def aggregate(column, values):
         rows, filled = F.count(F.lit(1)), F.count(values["v"])
@@ -67,7 +69,7 @@ def distinct_counts(
     Exact counting shuffles each column's distinct values once. ``approx``
     keeps a sketch per column instead and shuffles nothing.
     """
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
     if approx:
         return per_column(
             df,
@@ -80,7 +82,7 @@ def distinct_counts(
 
 def column_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Counts and number and date ranges of each column, from one scan."""
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
 
     def prepare(column):
         kind = df.schema[column].dataType
@@ -141,7 +143,7 @@ def semantic_type(columns: Sequence[str]) -> Column:
 
 def typed_signals(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False):
     """Signals of each column with its distinct count and inferred type."""
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
     # Both sides hold one row per column of the table.
     joined = column_signals(df, columns).join(
         F.broadcast(distinct_counts(df, columns, approx)), "column", "left"
@@ -156,7 +158,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None, approx: boo
 
 def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False):
     """(column, distinct_count, cardinality_ratio over all rows, is_unique)."""
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
 
     def aggregate(column, values):
         rows, filled = F.count(F.lit(1)), F.count(values["v"])
@@ -180,6 +182,8 @@ def _unique() -> Column:
 
 def long_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, x) of every value that is a number."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, x double")
     numbers = df.select(*[number_of(df, c).alias(c) for c in columns])
     return numbers.unpivot([], [name_col(c) for c in columns], "column", "x").where("x IS NOT NULL")
 
@@ -242,7 +246,7 @@ def parse_failures(
 
     def prepare(column):
         c = name_col(column)
-        parsed = number_of(df, column) if kinds[column] == "number" else to_iso_date(c)
+        parsed = number_of(df, column) if kinds.get(column) == "number" else to_iso_date(c)
         return {"bad": c.isNotNull() & parsed.isNull()}
 
     return per_column(
@@ -250,21 +254,6 @@ def parse_failures(
     )
 
 
-def _bounded_samples(df: DataFrame, k: int = 5) -> DataFrame:
-    """(column, sample_values) from k running minimums per column, one per hash
-    bucket of the value: a few distinct values without a shuffle of values."""
-
-    def aggregate(column, v):
-        least = [F.min(F.when(v["b"] == i, v["v"])) for i in range(k)]
-        return {"sample_values": F.array_sort(F.array_compact(F.array(*least)))}
-
-    def prepare(column):
-        text = name_col(column).cast("string")
-        return {"v": text, "b": F.pmod(F.xxhash64(text), F.lit(k))}
-
-    return per_column(df, df.columns, prepare, aggregate)
-
-
 def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column with every statistic of the profile.
 
@@ -277,9 +266,10 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         kinds = typed.select("column", "inferred_type").collect()  # one row per column
         categorical = [r["column"] for r in kinds if r["inferred_type"] == "categorical"]
         counts = value_counts(df, categorical) if categorical else None
-        samples = _bounded_samples(df)
+        distinct_values = long_values(df).distinct()
     else:
-        counts = value_counts(df)
+        # Distinct counts, samples and frequencies come from one counted table.
+        counts = stage(value_counts(df), "value-counts")
         distinct = counts.groupBy("column").agg(F.count("value").alias("distinct_count"))
         typed = (
             column_signals(df)
@@ -287,11 +277,12 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
             .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
             .withColumn("inferred_type", semantic_type(columns))
         )
-        samples = sample_values(counts).groupBy("column").agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("position", "value"))), lambda e: e["value"]
-            ).alias("sample_values")
-        )
+        distinct_values = counts
+    samples = sample_values(distinct_values).groupBy("column").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("position", "value"))), lambda e: e["value"]
+        ).alias("sample_values")
+    )
     numeric = [c for c in columns if not is_temporal(df.schema[c].dataType)]
     if counts is not None:
         top = top_values(counts).groupBy("column").agg(

@@ -71,7 +71,9 @@ def exact_percentiles(
     running = counted.withColumn("upto", F.sum("rows").over(order))
 
     def ranked(rank):
-        return F.min(F.when(F.col("upto") > rank, F.col("at")))
+        """The value at a rank; a rank outside its bracket is an error, never another value."""
+        found = F.min(F.when(F.col("upto") > rank, F.struct("at", "value")))
+        return F.coalesce(found["value"], F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double"))
 
     found = []
     for i, p in enumerate(probabilities):

@@ -227,8 +227,6 @@ def customer_segments(
     )
     result = grouped.withColumns({"segment": segment, "audit_evidence": evidence})
     if recency:
-        last = orders.agg(F.max(name_col(date).try_cast("date"))).first()[0]
-        result = result.withColumn("recency_days", F.datediff(F.lit(last), "last_order")).drop(
-            "last_order"
-        )
+        last = result.agg(F.max("last_order")).scalar()
+        result = result.withColumn("recency_days", F.datediff(last, "last_order")).drop("last_order")
     return result.orderBy(F.desc("monetary_spend"), F.asc("customer_id"))

@@ -86,6 +86,7 @@ def run_cleaning(
     out_dir: str | None = None,
     run_id: str = "run",
     stage_input: bool = False,
+    output: str = "parquet",
 ) -> CleaningRun:
     """Clean a table and prove that cleaning it again changes nothing.
 
@@ -93,6 +94,7 @@ def run_cleaning(
     detection, the second cleaning and the comparison read it from there.
     ``stage_input`` does the same with the raw table, worth it where reading
     it is dear (CSV, a long plan): the checks read it column by column.
+    ``output`` names the format of what ``out_dir`` gets, parquet or csv.
     """
     if stage_input:
         df = stage(df, f"{dataset}-raw")
@@ -103,13 +105,17 @@ def run_cleaning(
     idempotent = same_rows(clean, again)
     run = CleaningRun(dataset, df, clean, issues, steps, unresolved, idempotent)
     if out_dir:
-        write_csv(df, f"{out_dir}/{dataset}_raw.csv")
-        write_csv(clean, f"{out_dir}/{dataset}_clean.csv")
+        paths = {version: f"{out_dir}/{dataset}_{version}.{output}" for version in ("raw", "clean")}
+        for version, table in (("raw", df), ("clean", clean)):
+            if output == "csv":
+                write_csv(table, paths[version])
+            else:
+                table.write.mode("overwrite").parquet(paths[version])
         meta = run.delta().select(
             F.lit(run_id).alias("run_id"),
             F.lit(dataset).alias("dataset_name"),
-            F.lit(f"{out_dir}/{dataset}_raw.csv").alias("raw_artifact"),
-            F.lit(f"{out_dir}/{dataset}_clean.csv").alias("clean_artifact"),
+            F.lit(paths["raw"]).alias("raw_artifact"),
+            F.lit(paths["clean"]).alias("clean_artifact"),
             "rows_before",
             "rows_after",
             "idempotent",

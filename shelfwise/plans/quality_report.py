@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from shelfwise.operators.dedup import same_rows
 from shelfwise.operators.profiling import table_profile
 from shelfwise.plans.cleaning_run import plan_and_apply
-from shelfwise.plans.declared_query import run_query
+from shelfwise.plans.declared_query import evidence, run_query
 from shelfwise.session import stage
 
 REPORT_SCHEMA = T.StructType(
@@ -68,7 +68,7 @@ def quality_report(
         try:
             parts.append(_table_rows(df, name, keys))
         except Exception as error:
-            row = (name, f"error: {type(error).__name__}", None, "error")
+            row = (name, f"error: {type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}", None, "error")
             parts.append(df.sparkSession.createDataFrame([row], REPORT_SCHEMA))
     return reduce(DataFrame.unionByName, parts)
 
@@ -103,3 +103,26 @@ def raw_beside_clean(
         for version, tables in (("raw", raw), ("clean", clean))
     ]
     return parts[0].unionByName(parts[1])
+
+
+def scalar_results(tables: Mapping[str, DataFrame], specs: Mapping[str, Mapping]) -> DataFrame:
+    """(case, status, scalar_value) of a batch of descriptions, one row each.
+
+    The scalar is the value of a single global metric as text, else null. A
+    case that fails becomes a row of status ``error`` and the others go on.
+    """
+    parts = []
+    for case, spec in specs.items():
+        try:
+            found = evidence(tables, spec).select(
+                F.lit(case).alias("case"),
+                F.when(F.col("rows_returned") > 0, "ok").otherwise("empty").alias("status"),
+                F.col("scalar_answer").alias("scalar_value"),
+            )
+        except Exception as error:
+            session = next(iter(tables.values())).sparkSession
+            found = session.createDataFrame(
+                [(case, f"error: {str(error).splitlines()[0]}", None)], "case string, status string, scalar_value string"
+            )
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts)

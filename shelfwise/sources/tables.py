@@ -15,10 +15,14 @@ from shelfwise.functions.text import name_col, round2
 PREVIEW_ROWS = 25
 
 
-def read_csv(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, typed: bool = False, multi_line: bool = True) -> DataFrame:
     """A CSV with a header. Everything is read as text, so no dirt is lost;
-    ``typed`` infers types with an extra pass over the file."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+    ``typed`` infers types with an extra pass over the file.
+
+    ``multi_line`` reads line breaks inside quotes; then a file is read by one
+    task. Turn it off for large files known to hold none, which are then split.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return reader.option("inferSchema", typed).csv(path)
 
 
