@@ -152,21 +152,29 @@ def fit(
     """A model of the labelled rows of ``df``, or None if there are none.
 
     The sample is bounded: of each of the ``languages`` most frequent labels,
-    the ``sample_docs`` documents whose id has the smallest hash, whole. Only
-    its byte statistics come to the driver.
+    at most ``sample_docs`` documents, drawn by a hash of id and text, whole.
+    Only its byte statistics come to the driver.
     """
     rows = df.select(
         df[id_col].cast("string").alias("id"), df[text_col].cast("string").alias("text"),
         df[lang_col].cast("string").alias("lang"),
     ).where("text <> '' AND lang IS NOT NULL")
-    order_by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), F.xxhash64("text"))
-    few = rows.withColumn("place", F.row_number().over(order_by)).where(F.col("place") <= sample_docs)
     known = rows.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(languages)
-    names = sorted(r["lang"] for r in known.collect())
+    docs = {r["lang"]: r["docs"] for r in known.collect()}
+    names = sorted(docs)
     if not names:
         return None
+    # About twice the sample passes a bound on the hash; only that is ranked, whatever the table's size.
+    bound = F.create_map(*[F.lit(x) for name in names for x in (name, 2.0 * sample_docs / docs[name])])
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    order_by = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"))
+    few = (
+        rows.where(share < bound[F.col("lang")])
+        .withColumn("place", F.row_number().over(order_by))
+        .where(F.col("place") <= sample_docs)
+    )
     found = (
-        few.where(F.col("lang").isin(names)).select("text", "lang")
+        few.select("text", "lang")
         .mapInArrow(_counts(order), "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     )
