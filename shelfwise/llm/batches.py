@@ -67,8 +67,18 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts lineage, survives lost executors."""
-    return stage(df, label)
+    """Written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    What is written no longer needs the shuffle files behind it, so Spark is
+    told to drop them as soon as the write has ended.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return stage(df, label)
+    finally:
+        conf.set(name, before)
 
 
 def tasks(df: DataFrame) -> int:

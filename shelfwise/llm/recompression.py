@@ -59,12 +59,16 @@ def survived(words: np.ndarray, hashes: Hashes) -> np.ndarray:
     return level
 
 
+def _reach(width: int) -> tuple[int, int]:
+    return (width + 1) // 2, width // 2
+
+
 def _scan(width: int):
     def scan(data: np.ndarray, offsets: np.ndarray):
         starts, ends, first = split_words(data, offsets)
         none = np.zeros(0, np.int64)
         if len(starts) < width:
-            return none.view(np.uint64), none.view(np.uint64), none, none, none
+            return none.view(np.uint64), none.view(np.uint64), none, none, none, none, none, none
         words = word_symbols(data, starts, ends)
         hashes = Hashes.of_words(words)
         around = hashes.fixed(2 * REACH)  # of the border at i + REACH
@@ -76,7 +80,12 @@ def _scan(width: int):
         anchor = (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         low, high = spans_of(anchor, valid_windows(first, width, len(anchor)))
         doc = np.searchsorted(first, low, side="right") - 1
-        return around[anchor[low]], hashes.ranges(low, high + width), doc, low - first[doc], high - first[doc]
+        border = anchor[low] + REACH
+        before, behind = _reach(width)
+        left = hashes.ranges(np.maximum(border - before, 0), border + REACH)
+        right = hashes.ranges(border - REACH, np.minimum(border + width - behind, len(words)))
+        name = hashes.ranges(low, high + width)
+        return around[anchor[low]], name, doc, low - first[doc], high - first[doc], border - low, left, right
 
     return scan
 
@@ -122,7 +131,7 @@ def remove_seen(df: DataFrame, width: int = 13, id_col: str = "doc_id", text_col
     if not 8 <= width <= 255:
         raise ValueError("width must be from 8 to 255")
     docs = documents(df, id_col, text_col)
-    spans = repeated_spans(docs, _scan(width), _names(width), True, "recompression")
+    spans = repeated_spans(docs, _scan(width), _names(width), _reach(width), True, "recompression")
     return (
         docs.join(spans, ["key", "mark"], "left")
         .select("key", "text", "spans")

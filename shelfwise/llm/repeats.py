@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.batches import bytes_of, offsets_of, slices, staged, tasks
+from shelfwise.llm.rolling import mix
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,9 +38,11 @@ NULL_ID = -(2**63)
 
 SETTLED, OPEN, PARTNER = 0, 1, 2  # repeated; to be looked at; repeated, but may match open ones
 
-_SPAN_DDL = "rank long, name long, key long, mark long, span long"
-_FOUND_DDL = "kind byte, rank long, key long, mark long, span long"
-_WINDOW_DDL = "rank long, first long, second long, key long, mark long, span long, open boolean"
+SENT, DONE, HEAD = 0, 1, 2  # as found; already settled; stands for equal spans already settled
+
+_SPAN_DDL = "rank long, name long, key long, mark long, span long, state long, left long, right long"
+_FOUND_DDL = "kind byte, rank long, key long, mark long, span long, left long, right long, at long"
+_WINDOW_DDL = "first long, second long, key long, mark long, span long"
 
 
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,20 +79,47 @@ def _longs(*arrays) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a) for a in arrays]
 
 
-_SPAN_NAMES = ["rank", "name", "key", "mark", "span"]
+_SPAN_NAMES = ["rank", "name", "key", "mark", "span", "state", "left", "right"]
+
 
+def _settled_here(rank, name, key, ordered: bool) -> np.ndarray:
+    """State of each span from those found beside it, so that a frequent one is sent once per step.
 
-def _emit_spans(scan: Callable):
+    ordered: spans of a larger key than an equal one's are done. Else, of equal
+    spans all are done but one, which is sent as known to repeat.
+    """
+    state = np.zeros(len(rank), np.int64)
+    order = np.lexsort((key, name, rank))
+    same = (rank[order][1:] == rank[order][:-1]) & (name[order][1:] == name[order][:-1])
+    head = np.r_[True, ~same]
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    if ordered:
+        state[order[key[order] > key[first]]] = DONE
+    else:
+        state[order[1:][same]] = DONE
+        state[first[1:][same]] = HEAD
+    return state
+
+
+def _emit_spans(scan: Callable, ordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=STEP_BYTES):
             column = part.column("text")
-            rank, name, doc, low, high = scan(bytes_of(column), offsets_of(column))
-            key, mark = part.column("key").to_numpy(), part.column("mark").to_numpy()
+            rank, name, doc, low, high, at, left, right = scan(bytes_of(column), offsets_of(column))
+            if not len(rank):
+                continue
+            key, mark = part.column("key").to_numpy()[doc], part.column("mark").to_numpy()[doc]
+            span = (low << 8) | (high - low)
+            state = _settled_here(rank, name, key, ordered)
+            # What is done only passes through, anywhere.
+            done = state == DONE
+            rank = np.where(done, mix(mark.view(np.uint64) ^ span.view(np.uint64)), rank)
+            name = np.where(done, np.uint64(0), name)
+            state |= at << 8
             for a in range(0, len(rank), 50_000):
                 s = slice(a, a + 50_000)
                 yield pa.RecordBatch.from_arrays(
-                    _longs(rank[s], name[s], key[doc[s]], mark[doc[s]], (low[s] << 8) | (high[s] - low[s])),
-                    names=_SPAN_NAMES,
+                    _longs(rank[s], name[s], key[s], mark[s], span[s], state[s], left[s], right[s]), names=_SPAN_NAMES
                 )
 
     return run
@@ -111,8 +141,8 @@ def _settle(ordered: bool):
         def out(kind, rows):
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind.astype(np.int8))] + _longs(*(rows[:, i] for i in (0, 2, 3, 4))),
-                    names=["kind", "rank", "key", "mark", "span"],
+                    [pa.array(kind.astype(np.int8))] + _longs(*(rows[:, i] for i in (0, 2, 3, 4, 6, 7)), rows[:, 5] >> 8),
+                    names=["kind", "rank", "key", "mark", "span", "left", "right", "at"],
                 )
 
         def step(rows: np.ndarray, final: bool):
@@ -142,7 +172,7 @@ def _settle(ordered: bool):
             else:
                 size = np.diff(np.r_[heads, n])
                 repeats = np.ones(n, bool)
-                repeats[heads[size == 1]] = False
+                repeats[heads[(size == 1) & (rows[heads, 5] & 255 != HEAD)]] = False
                 looked = new_name
                 first = key
             # Names of the rank up to each row, those of earlier batches included.
@@ -158,7 +188,7 @@ def _settle(ordered: bool):
             if held:
                 if not new_rank[0] and total[0] > 1:
                     old = np.concatenate(held)
-                    yield from out(old[:, 5], old[:, :5])
+                    yield from out(old[:, -1], old[:, :-1])
                     held = []
                 elif new_rank[0] or new_rank.any():
                     held = []
@@ -174,7 +204,10 @@ def _settle(ordered: bool):
         for batch in batches:
             if batch.num_rows:
                 empty = False
-                yield from step(np.column_stack([batch.column(c).to_numpy() for c in _SPAN_NAMES]), False)
+                rows = np.column_stack([batch.column(c).to_numpy() for c in _SPAN_NAMES])
+                done = rows[:, 5] & 255 == DONE
+                yield from out(np.full(int(done.sum()), SETTLED), rows[done])
+                yield from step(rows[~done], False)
         if not empty or carry is not None:
             rest, carry = carry, None
             if rest is not None:
@@ -198,14 +231,15 @@ def _windows(names: Callable):
             start = (span >> 8)[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             doc = doc[each]
             first, second = names(bytes_of(column), offsets_of(column), doc, start)
-            rank = inside.field("rank").to_numpy()[each]
-            open_ = inside.field("kind").to_numpy()[each] == OPEN
+            # The rank goes into the first name: 128 bits tell windows apart.
+            first = mix(first ^ inside.field("rank").to_numpy()[each].view(np.uint64))
+            span = (start << 8) | (inside.field("kind").to_numpy()[each] == OPEN)
             key, mark = part.column("key").to_numpy()[doc], part.column("mark").to_numpy()[doc]
             for a in range(0, len(start), 50_000):
                 s = slice(a, a + 50_000)
                 yield pa.RecordBatch.from_arrays(
-                    _longs(rank[s], first[s], second[s], key[s], mark[s], start[s] << 8) + [pa.array(open_[s])],
-                    names=["rank", "first", "second", "key", "mark", "span", "open"],
+                    _longs(first[s], second[s], key[s], mark[s], span[s]),
+                    names=["first", "second", "key", "mark", "span"],
                 )
 
     return run
@@ -217,33 +251,34 @@ def offsets_of_list(lists: pa.ListArray) -> np.ndarray:
 
 
 def _confirm(ordered: bool):
-    """Windows sorted by rank, both names (and key): the open ones that repeat."""
+    """Windows sorted by both names (and key): the open ones that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # rank, first, second, key of the first row of the window seen last
+        last = None  # first, second, key of the first row of the window seen last
         wait = None  # its first row, while it is the only one (not ordered)
 
         def out(rows):
             if len(rows):
-                yield pa.RecordBatch.from_arrays(_longs(rows[:, 3], rows[:, 4], rows[:, 5]), names=["key", "mark", "span"])
+                yield pa.RecordBatch.from_arrays(
+                    _longs(rows[:, 2], rows[:, 3], rows[:, 4] >> 8 << 8), names=["key", "mark", "span"]
+                )
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy() for c in ("rank", "first", "second", "key", "mark", "span")]
-            rows = np.column_stack([*cols, batch.column("open").to_numpy(zero_copy_only=False).astype(np.int64)])
+            rows = np.column_stack([batch.column(c).to_numpy() for c in ("first", "second", "key", "mark", "span")])
             new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
+            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
             if last is not None:
-                new[0] = tuple(rows[0, :3]) != last[:3]
+                new[0] = tuple(rows[0, :2]) != last[:2]
             heads = np.flatnonzero(new)
-            own = rows[:, 6] == 1
+            own = rows[:, 4] & 1 == 1
             if ordered:
-                first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)), 3]
+                first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0)), 2]
                 if not new[0]:
-                    first[: heads[0] if len(heads) else len(rows)] = last[3]
-                yield from out(rows[own & (rows[:, 3] > first)])
-                last = (*rows[-1, :3], first[-1])
+                    first[: heads[0] if len(heads) else len(rows)] = last[2]
+                yield from out(rows[own & (rows[:, 2] > first)])
+                last = (*rows[-1, :2], first[-1])
             else:
                 repeats = np.ones(len(rows), bool)
                 size = np.diff(np.r_[heads, len(rows)])
@@ -255,40 +290,62 @@ def _confirm(ordered: bool):
                 yield from out(rows[own & repeats])
                 if len(heads) and size[-1] == 1 and own[-1]:
                     wait = rows[-1:].copy()
-                last = (*rows[-1, :3], 0)
+                last = (*rows[-1, :2], 0)
 
     return run
 
 
+def _trimmed(looked: DataFrame, reach: tuple[int, int]) -> DataFrame:
+    """Spans without the windows that cannot repeat.
+
+    A window that begins ``reach[0]`` or more symbols before the anchor holds
+    the span's left part, one that begins ``reach[1]`` or fewer before it the
+    right part. A part that no other span of the rank has ends those windows.
+    """
+    for side in ("left", "right"):
+        count = looked.groupBy("rank", side).agg((F.count("*") == 1).alias(f"{side}_alone"))
+        looked = looked.join(count, ["rank", side])
+    low = F.shiftright("span", 8)
+    high, anchor = low + F.col("span").bitwiseAND(255), low + F.col("at")
+    low_left = F.when(F.col("left_alone"), F.greatest(low, anchor - reach[0] + 1)).otherwise(low)
+    high_left = F.when(F.col("right_alone"), F.least(high, anchor - reach[1] - 1)).otherwise(high)
+    kept = looked.withColumns({"low_left": low_left, "high_left": high_left}).where("low_left <= high_left")
+    return kept.withColumn("span", F.shiftleft("low_left", 8) + F.col("high_left") - F.col("low_left"))
+
+
 def repeated_spans(
-    docs: DataFrame, scan: Callable, names: Callable, ordered: bool, label: str
+    docs: DataFrame, scan: Callable, names: Callable, reach: tuple[int, int], ordered: bool, label: str
 ) -> DataFrame:
     """(key, mark, spans): for each document, the windows that repeat.
 
     ``docs`` is what ``documents`` gives. ``scan`` turns bytes and offsets of
-    some texts into spans; ``names`` gives two names of each listed window, that
-    together stand for all its symbols.
+    some texts into spans: rank, name, text, first and last window, how far the
+    anchor lies behind the first window, and names of the left and right part
+    that ``reach`` speaks of. ``names`` gives two names of each listed window,
+    that together stand for all its symbols.
     """
     parts = tasks(docs)
     order = ["rank", "name"] + ["key"] * ordered
     found = staged(
-        docs.mapInArrow(_emit_spans(scan), _SPAN_DDL)
+        docs.mapInArrow(_emit_spans(scan, ordered), _SPAN_DDL)
         .repartition(parts, "rank")
         .sortWithinPartitions(*order)
         .mapInArrow(_settle(ordered), _FOUND_DDL),
         label + "-spans",
     )
+    looked = found.where(F.col("kind") != SETTLED)
+    if not ordered:  # partners matter only to open spans of their rank
+        looked = looked.join(found.where(F.col("kind") == OPEN).select("rank").distinct(), "rank", "left_semi")
     looked = (
-        found.where(F.col("kind") != SETTLED)
-        .groupBy("key", "mark")
+        _trimmed(looked, reach).groupBy("key", "mark")
         .agg(F.collect_list(F.struct("rank", "span", "kind")).alias("spans"))
     )
-    order = ["rank", "first", "second"] + ["key"] * ordered
+    order = ["first", "second"] + ["key"] * ordered
     more = staged(
         docs.join(looked, ["key", "mark"])
         .select("key", "mark", "text", "spans")
         .mapInArrow(_windows(names), _WINDOW_DDL)
-        .repartition(parts, "rank", "first")
+        .repartition(parts, "first")
         .sortWithinPartitions(*order)
         .mapInArrow(_confirm(ordered), "key long, mark long, span long"),
         label + "-windows",

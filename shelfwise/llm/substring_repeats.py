@@ -31,13 +31,17 @@ _OUT = pa.schema(
 )
 
 
+def _reach(width: int) -> tuple[int, int]:
+    return width // 4, width // 2
+
+
 def _scan(width: int):
     quarter = width // 4
 
     def scan(data: np.ndarray, offsets: np.ndarray):
         if len(data) < width:
             none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none.view(np.uint64), none, none, none
+            return none.view(np.uint64), none.view(np.uint64), none, none, none, none, none, none
         hashes = Hashes.of_bytes(data)
         rank = hashes.fixed(quarter)
         bits = np.uint64(len(data).bit_length())
@@ -46,7 +50,12 @@ def _scan(width: int):
         anchor = (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         low, high = spans_of(anchor, valid_windows(offsets, width, len(anchor)))
         doc = np.searchsorted(offsets, low, side="right") - 1
-        return rank[anchor[low]], hashes.ranges(low, high + width), doc, low - offsets[doc], high - offsets[doc]
+        a = anchor[low]
+        before, behind = _reach(width)
+        left = hashes.ranges(np.maximum(a - before, 0), a + quarter)
+        right = hashes.ranges(a, np.minimum(a + width - behind, len(data)))
+        name = hashes.ranges(low, high + width)
+        return rank[a], name, doc, low - offsets[doc], high - offsets[doc], a - low, left, right
 
     return scan
 
@@ -93,7 +102,7 @@ def remove_repeats(df: DataFrame, width: int = 200, id_col: str = "doc_id", text
     if not 8 <= width <= 255:
         raise ValueError("width must be from 8 to 255")
     docs = documents(df, id_col, text_col)
-    spans = repeated_spans(docs, _scan(width), _names(width), False, "substring")
+    spans = repeated_spans(docs, _scan(width), _names(width), _reach(width), False, "substring")
     return (
         docs.join(spans, ["key", "mark"], "left")
         .select("key", "text", "spans")
