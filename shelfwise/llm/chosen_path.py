@@ -8,11 +8,13 @@ a function with probability J. With ``BRANCH`` functions a node, the paths of a
 similar pair stay together with a probability that does not fall with depth,
 and independent trees raise it to the target recall.
 
-A node is compared in two steps. Each document is compared with the node's
-first one; then, in small nodes, all those that are not yet connected are
-compared with each other. Large nodes whose documents are not all connected
-branch again. Candidates must agree in enough minwise values; those that do are
-decided on their full sets. Rows of equal sets are one vertex throughout.
+A node is compared in two steps. Each document is first compared with the most
+central one of its node and with its nearest; then, in small nodes, all those
+that are not connected by then are compared with each other. Large nodes whose
+documents are not all connected branch again. Comparisons in a node use
+sketches: the least shingle of each of ``BINS`` ranges of the hash, one byte
+each. Pairs whose sketches agree enough are decided on their full sets. Rows of
+equal sets are one vertex throughout.
 """
 
 from __future__ import annotations
@@ -36,10 +38,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COORDINATES = 64
 BRANCH = 2
-#: Documents in a node that are compared with each other.
-SMALL_NODE = 256
-#: Documents of a node that are compared with one first document.
-PIVOT_ROWS = 10_000
+#: Ranges of the hash in a sketch.
+BINS = 256
+#: Documents in a node that are compared with each other unless connected.
+SMALL_NODE = 2_048
+#: Documents in a node that look for their nearest.
+NEAREST_NODE = 512
+#: Documents of a node that are compared with one central document.
+PIVOT_ROWS = 4_096
 #: Depth after which a large node is compared in blocks instead of branching.
 DEPTH = 4
 
@@ -47,7 +53,7 @@ _U = np.uint64
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 _ODD = mix(_SEEDS) | _U(1)
 
-_PROFILE_DDL = "key long, mark long, n long, s1 long, s2 long, mins array<int>"
+_PROFILE_DDL = "key long, mark long, n long, s1 long, s2 long, mins array<int>, sketch binary"
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -80,19 +86,24 @@ def _profile(words: int):
             full = np.flatnonzero(sizes)
             mins = np.zeros((len(sets), COORDINATES), np.int32)
             sums = np.zeros((2, len(sets)), np.uint64)
+            sketch = np.zeros((len(sets), BINS), np.uint8)  # 0 where a range is empty
             if len(full):
                 flat = np.concatenate(sets)
                 at = np.r_[0, np.cumsum(sizes[full])[:-1]]
                 for c in range(COORDINATES):
                     value = ((flat ^ _SEEDS[c]) * _ODD[c] >> _U(32)).astype(np.uint32)
                     mins[full, c] = np.minimum.reduceat(value, at).view(np.int32)
+                doc, bin_ = np.repeat(np.arange(len(sets)), sizes), (flat >> _U(56)).astype(np.int64)
+                least = np.r_[True, (bin_[1:] != bin_[:-1]) | (doc[1:] != doc[:-1])]  # sets are sorted
+                sketch[doc[least], bin_[least]] = 1 + mix(flat[least]) % _U(255)
                 sums[0, full] = np.add.reduceat(mix(flat), at)
                 sums[1, full] = np.add.reduceat(mix(flat ^ _U(0xA5A5A5A5A5A5A5A5)), at)
             ends = np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES
             yield pa.RecordBatch.from_arrays(
                 [part.column("key"), part.column("mark"), pa.array(sizes), pa.array(sums[0].view(np.int64)),
-                 pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(mins.ravel()))],
-                names=["key", "mark", "n", "s1", "s2", "mins"],
+                 pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(mins.ravel())),
+                 pa.array([x.tobytes() for x in sketch], pa.binary())],
+                names=["key", "mark", "n", "s1", "s2", "mins", "sketch"],
             )
 
     return run
@@ -113,14 +124,21 @@ def trees_for(recall: float, similarity: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
-def least_matches(similarity: float, miss: float) -> int:
-    """The most agreeing coordinates to ask for, so that a pair at the threshold misses it with at most ``miss``."""
-    total, k = 0.0, 0
-    while True:
-        total += math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k)
-        if total > miss:
-            return k
-        k += 1
+def least_agreement(similarity: float, miss: float) -> np.ndarray:
+    """For u ranges that hold something in either sketch, the agreeing ranges to ask for.
+
+    Ranges are drawn without replacement, so they agree at least as evenly as
+    ``u`` coins of probability ``similarity`` fall: a pair at the threshold has
+    fewer with probability ``miss`` at most.
+    """
+    need = np.zeros(BINS + 1, np.int64)
+    for u in range(1, BINS + 1):
+        total, k = 0.0, 0
+        while total <= miss:
+            total += math.comb(u, k) * similarity**k * (1 - similarity) ** (u - k)
+            k += 1
+        need[u] = k - 1
+    return need
 
 
 def _children(parent: str) -> str:
@@ -131,75 +149,127 @@ def _children(parent: str) -> str:
     return "array(" + ", ".join(f"xxhash64({parent}, {p}, mins[{p}])" for p in places) + ")"
 
 
-def _like(n_a, n_b, mins_a, mins_b, percent: int, least: int) -> np.ndarray:
-    close = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return close & ((mins_a == mins_b).sum(axis=1) >= least)
-
-
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("mins").flatten().to_numpy().reshape(-1, COORDINATES)
+class _Node:
+    """The rows of a node, as arrays."""
+
+    def __init__(self, columns: dict[str, np.ndarray], percent: int, need: np.ndarray):
+        self.rep, self.n, self.sketch = columns["rep"], columns["n"], columns["sketch"]
+        self.percent, self.need = percent, need
+
+    def agreement(self, i: int, j) -> tuple[np.ndarray, np.ndarray]:
+        """How many ranges rows i and j agree in, and whether that makes them candidates."""
+        a, b = self.sketch[i], self.sketch[j]
+        filled = (a | b) != 0
+        same = ((a == b) & filled).sum(axis=1)
+        n = self.n[j]
+        close = 100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i])
+        return same, close & (same >= self.need[filled.sum(axis=1)])
+
+    def central(self) -> int:
+        """The row that agrees most with the most frequent value of each range."""
+        if len(self.rep) < 3:
+            return 0
+        counts = np.zeros((BINS, 256), np.int32)
+        for b in range(BINS):
+            counts[b] = np.bincount(self.sketch[:, b], minlength=256)
+        counts[:, 0] = 0
+        return int((self.sketch == counts.argmax(axis=1)).sum(axis=1).argmax())
+
+    def first_pairs(self) -> np.ndarray:
+        """Candidates (row, row): each with the central one, and with its nearest in a node not too large."""
+        everyone = np.arange(len(self.rep))
+        centre = self.central()
+        _, like = self.agreement(centre, everyone)
+        like[centre] = False
+        out = [np.column_stack([np.full(int(like.sum()), centre), everyone[like]])]
+        if 2 < len(everyone) <= NEAREST_NODE:
+            for i in everyone:
+                same, like = self.agreement(i, everyone)
+                same = np.where(like, same, -1)
+                same[i] = -1
+                j = int(same.argmax())
+                if same[j] >= 0:
+                    out.append(np.array([[i, j]]))
+        return np.concatenate(out)
+
+    def joining(self, root: np.ndarray, side: np.ndarray, sets=None) -> np.ndarray:
+        """Pairs (row, row) that join roots, as few as connect them.
+
+        Rows of one root, or joined by then, are not compared, nor those of one
+        side where there are sides. Without ``sets`` a candidate joins two
+        roots; with them a pair does that is similar by its full sets.
+        """
+        label, out = root.copy(), []
+        for i in range(len(self.rep) - 1):
+            j = np.arange(i + 1, len(self.rep))
+            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] == 2))]
+            if not len(j):
+                continue
+            for x in j[self.agreement(i, j)[1]].tolist():
+                if label[x] != label[i] and (sets is None or similar(sets[i], sets[x], self.percent)):
+                    out.append((i, x))
+                    label[label == label[x]] = label[i]
+        return np.array(out, np.int64).reshape(-1, 2)
 
 
-_PAIR_NAMES = ["a", "b"]
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` hundredths of their union."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
 
 
-def _with_first(percent: int, least: int):
-    """Rows sorted by node: candidates among (first document of the node, another)."""
+def _by_node(pairs_of, names: tuple[str, ...], percent: int, need: np.ndarray):
+    """Rows sorted by node: candidate pairs (a, b) with a < b of each node of several rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+    def whole_nodes(batches):
+        """Slices of columns at node borders; the last node of a batch waits for the next one."""
+        rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, rep, n, mins = (
-                batch.column("node").to_numpy(), batch.column("rep").to_numpy(), batch.column("n").to_numpy(),
-                _matrix(batch),
-            )
-            new = np.r_[last is None or node[0] != last[0], node[1:] != node[:-1]]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
-            rep_h, n_h, mins_h = rep[head], n[head], mins[head]
-            if not new[0]:
-                own = head < 0
-                rep_h[own], n_h[own], mins_h[own] = last[1], last[2], last[3]
-            last = (node[-1], rep_h[-1], n_h[-1], mins_h[-1].copy())
-            take = (rep != rep_h) & _like(n, n_h, mins, mins_h, percent, least)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(rep, rep_h)[take]), pa.array(np.maximum(rep, rep_h)[take])], names=_PAIR_NAMES
-            )
+            columns = {n: batch.column(n).to_numpy() for n in names if n not in ("sketch", "shingles")}
+            if "shingles" in names:
+                sets = np.empty(batch.num_rows, object)
+                sets[:] = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
+                columns["shingles"] = sets
+            columns["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            if rest is not None:
+                columns = {n: np.concatenate([rest[n], c]) for n, c in columns.items()}
+            node = columns["node"]
+            cut = len(node) - int((node == node[-1])[::-1].cumprod().sum())
+            rest = {n: c[cut:] for n, c in columns.items()}
+            if cut:
+                yield {n: c[:cut] for n, c in columns.items()}
+        if rest is not None:
+            yield rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_nodes(batches):
+            node = columns["node"]
+            cuts = np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node)]
+            out = [np.zeros((0, 2), np.int64)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a > 1:
+                    own = {n: c[a:b] for n, c in columns.items()}
+                    out.append(pairs_of(_Node(own, percent, need), own))
+            found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return run
 
 
-def _among(percent: int, least: int):
-    """Rows sorted by node, small nodes only: candidates among documents of different roots."""
+def _first(node: _Node, own: dict) -> np.ndarray:
+    return own["rep"][node.first_pairs()]
 
-    def pairs(node, side, rep, root, n, mins):
-        out = []
-        cuts = np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node)]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            for i in range(a, b - 1):
-                j = np.arange(i + 1, b)
-                j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (side[j] == 2))]
-                j = j[_like(n[i], n[j], mins[i], mins[j], percent, least)]
-                out.append(np.column_stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=_PAIR_NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy() for c in ("node", "side", "rep", "root", "n")] + [_matrix(batch)]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
-            cut = int(np.searchsorted(-(cols[0] != cols[0][-1]).astype(int), 0))
-            rest = [c[cut:] for c in cols]
-            yield pairs(*[c[:cut] for c in cols])
-        if rest is not None:
-            yield pairs(*rest)
+def _roots_met(node: _Node, own: dict) -> np.ndarray:
+    return own["root"][node.joining(own["root"], own["side"])]
 
-    return run
+
+def _links(node: _Node, own: dict) -> np.ndarray:
+    return own["rep"][node.joining(own["root"], own["side"], own["shingles"])]
 
 
 def _sets(words: int):
@@ -216,12 +286,10 @@ def _sets(words: int):
 def _decide(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set_a"):
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
+            keep = [
+                similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column("set_a"), batch.column("set_b"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -246,25 +314,64 @@ def near_duplicates(
     docs = documents(df, id_col, text_col)
     parts = tasks(df)
     share = percent / 100
-    trees, least = trees_for(recall, share), least_matches(share, (1 - recall) / 10)
+    trees, need = trees_for(recall, share), least_agreement(share, (1 - recall) / 10)
     profile = staged(
         docs.mapInArrow(_profile(words), _PROFILE_DDL).withColumn("row", F.monotonically_increasing_id()), "profiles"
     )
     # One vertex per distinct set; which row stands for it only has to be fixed.
     reps = staged(
         profile.where("n > 0").groupBy("s1", "s2", "n")
-        .agg(F.min(F.struct("row", "key", "mark", "mins")).alias("r"), F.min(F.struct("key", "row")).alias("first"))
-        .select(F.col("r.row").alias("rep"), "s1", "s2", "n", "first", "r.key", "r.mark", "r.mins"),
+        .agg(F.min(F.struct("row", "key", "mark", "mins", "sketch")).alias("r"), F.min(F.struct("key", "row")).alias("first"))
+        .select(F.col("r.row").alias("rep"), "s1", "s2", "n", "first", "r.key", "r.mark", "r.mins", "r.sketch"),
         "vertices",
     )
-    vertices = reps.select("rep", "n", "mins")
+    vertices = reps.select("rep", "n", "mins", "sketch")
+
+    def sets_of(own: DataFrame) -> DataFrame:
+        """(rep, shingles) of some vertices, from their texts."""
+        texts = docs.join(own.select("rep", "key", "mark"), ["key", "mark"]).dropDuplicates(["rep"])
+        return staged(texts.select("rep", "text").mapInArrow(_sets(words), "rep long, shingles binary"), "sets")
+
+    def connected(rows: DataFrame, forest: DataFrame) -> DataFrame:
+        """Links (a, b) among all that candidates connect, no more than join them.
+
+        Roots that meet in candidates form families. A family is compared in
+        one place, or for each two blocks of it, with each set sent there once:
+        pairs are never rows.
+        """
+        names = ("node", "side", "rep", "root", "n", "sketch")
+        met = staged(
+            rows.select(*names).repartition(parts, "node").sortWithinPartitions("node")
+            .mapInArrow(_by_node(_roots_met, names, percent, need), "a long, b long").distinct(),
+            "meetings",
+        )
+        if met.isEmpty():
+            return met
+        families = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        families = families.select(F.col("vertex").alias("root"), F.col("root").alias("node"))
+        families = families.unionByName(families.select(F.col("node").alias("root"), "node").distinct())
+        members = staged(
+            rooted(reps.select("rep", "key", "mark", "n", "sketch"), forest).join(families, "root"), "members"
+        )
+        sizes = members.groupBy("node").agg(F.count("*").alias("size"))
+        sized = members.drop("key", "mark").join(sizes, "node")
+        whole = sized.where(f"size <= {SMALL_NODE}").withColumn("side", F.lit(2))
+        cut = _blocks(sized.where(f"size > {SMALL_NODE}"))
+        names = (*names, "shingles")
+        return staged(
+            whole.select(*names[:-1]).unionByName(cut.select(*names[:-1]))
+            .join(sets_of(members), "rep").select(*names)
+            .repartition(parts, "node").sortWithinPartitions("node")
+            .mapInArrow(_by_node(_links, names, percent, need), "a long, b long"),
+            "links",
+        )
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs.distinct(), "candidates")
+        if pairs.isEmpty():
+            return pairs
         ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        places = reps.join(ends, "rep").select("rep", "key", "mark")
-        texts = docs.join(places, ["key", "mark"]).dropDuplicates(["rep"]).select("rep", "text")
-        sets = staged(texts.mapInArrow(_sets(words), "rep long, shingles binary"), "sets")
+        sets = sets_of(reps.join(ends, "rep"))
         both = pairs.join(
             sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b"
         ).join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
@@ -282,7 +389,9 @@ def near_duplicates(
         tree = forest.select(F.col("vertex").alias("rep"), "root")
         return rows.join(tree, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
-    start = F.expr(f"flatten(transform(array({', '.join(f'{t}L' for t in range(1, trees + 1))}), t -> {_children('t')}))")
+    # The roots take different functions, so that no two trees start alike.
+    picks = range(min(COORDINATES, BRANCH * trees))
+    start = F.expr("array(" + ", ".join(f"xxhash64({p // BRANCH}L, {p}, mins[{p}])" for p in picks) + ")")
     rows = vertices.select("rep", F.explode(start).alias("node"))
     forest, depth = None, 0
     while True:
@@ -290,9 +399,9 @@ def near_duplicates(
         level = staged(rows.join(sizes, "node").join(vertices, "rep"), "nodes")
         salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PIVOT_ROWS))
         firsts = (
-            level.select(F.xxhash64("node", salt).alias("node"), "rep", "n", "mins")
+            level.select(F.xxhash64("node", salt).alias("node"), "rep", "n", "sketch")
             .repartition(parts, "node").sortWithinPartitions("node", "rep")
-            .mapInArrow(_with_first(percent, least), "a long, b long")
+            .mapInArrow(_by_node(_first, ("node", "rep", "n", "sketch"), percent, need), "a long, b long")
         )
         forest = joined(forest, verified(apart(firsts, forest)))
         level = rooted(level, forest)
@@ -302,12 +411,7 @@ def near_duplicates(
             small = level.where(f"size <= {SMALL_NODE}").withColumn("side", F.lit(2))
         else:
             small = _blocks(level)
-        among = (
-            small.select("node", "side", "rep", "root", "n", "mins")
-            .repartition(parts, "node").sortWithinPartitions("node")
-            .mapInArrow(_among(percent, least), "a long, b long")
-        )
-        forest = joined(forest, verified(among))
+        forest = joined(forest, connected(small, forest))
         large = level.where(f"size > {SMALL_NODE}") if depth < DEPTH else None
         if large is None or large.isEmpty():
             break
