@@ -10,6 +10,12 @@ are confirmed by the exact weighted similarity of the shingles.
 Two sets of N shingles at similarity s share 2 s N / (1 + s). Windows with fewer
 shingles of any item cannot match and get no fingerprint; nothing is lost.
 
+The whole text is a window too, whatever its size, so that copies with words
+left out or put in are found where they are all of a document. Two sets of M and
+N shingles at similarity s share at least s M of M: the few texts of which so
+many shingles are an item's are compared by a lookup of all their shingles,
+without fingerprints.
+
 Items come in parts of bounded size, each broadcast with its tables; a text is
 compared with all parts in one pass over the documents.
 """
@@ -79,6 +85,30 @@ class Group:
         return window[close], item[close]
 
 
+class Postings:
+    """The items that hold each shingle of one length, and how often."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.ids = [i for i, _ in items]
+        self.totals = np.array([len(s) for _, s in items])
+        counted = [np.unique(s, return_counts=True) for _, s in items]
+        shingles = np.concatenate([s for s, _ in counted])
+        order = np.argsort(shingles, kind="stable")
+        self.shingles = shingles[order]
+        self.item = np.repeat(np.arange(len(items)), [len(s) for s, _ in counted])[order]
+        self.weight = np.concatenate([n for _, n in counted])[order]
+
+    def similarities(self, shingles: np.ndarray) -> np.ndarray:
+        """Exact weighted similarity of one window to every item."""
+        own, weight = np.unique(shingles, return_counts=True)
+        low, high = (np.searchsorted(self.shingles, own, side) for side in ("left", "right"))
+        count = high - low
+        at = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        shared = np.minimum(np.repeat(weight, count), self.weight[at])
+        common = np.bincount(self.item[at], shared, len(self.ids))
+        return common / (len(shingles) + self.totals - common)
+
+
 class Part:
     """A bounded part of the benchmark, prepared for lookups."""
 
@@ -95,9 +125,10 @@ class Part:
             length = min(words, len(starts))
             own = Hashes.of_words(word_symbols(data, starts, ends)).fixed(length)
             by_size[len(starts), length].append((item, own))
-            shingles[length].append(own)
+            shingles[length].append((item, own))
         self.groups = [Group(size, length, items) for (size, length), items in sorted(by_size.items())]
-        self.known = {length: np.unique(np.concatenate(s)) for length, s in shingles.items()}
+        self.postings = {length: Postings(s) for length, s in shingles.items()}
+        self.known = {length: np.unique(p.shingles) for length, p in self.postings.items()}
         self.maybe = {}
         for length, known in self.known.items():
             self.maybe[length] = np.zeros(1 << 20, bool)
@@ -122,6 +153,8 @@ class Part:
             hit = self._hits(shingles, length) if len(shingles) else np.zeros(0, bool)
             by_length[length] = shingles, np.r_[0, np.cumsum(hit)]
         out: dict[tuple[int, int], float] = {}
+        for length, (shingles, hits) in by_length.items():
+            self._whole(self.postings[length], shingles, hits, first, length, out)
         for group in self.groups:
             shingles, hits = by_length[group.length]
             n = group.size - group.length + 1  # shingles of a window
@@ -136,6 +169,18 @@ class Part:
                 self._windows(group, shingles, n, start[a : a + 2_000], doc[a : a + 2_000], out)
         return [(d, i, s) for (d, i), s in out.items()]
 
+    def _whole(self, postings: Postings, shingles, hits, first, length, out) -> None:
+        begin = first[:-1]
+        end = np.maximum(begin, first[1:] - length + 1)  # of the shingles that lie in the text
+        some = np.flatnonzero(end > begin)
+        known = hits[end[some]] - hits[begin[some]]
+        need = np.ceil(self.similarity * (end - begin)[some] - 1e-9)
+        for d in some[known >= need].tolist():
+            similarity = postings.similarities(shingles[begin[d] : end[d]])
+            for i in np.flatnonzero(similarity >= self.similarity).tolist():
+                key = d, postings.ids[i]
+                out[key] = max(out.get(key, 0.0), float(similarity[i]))
+
     def _windows(self, group: Group, shingles, n, start, doc, out) -> None:
         # Running votes over the words that the windows cover, and no others.
         cover = np.unique(start[:, None] + np.arange(n))
@@ -201,8 +246,10 @@ def contamination(
 ) -> DataFrame:
     """doc_id, contaminated, item_ids, best_similarity: one row per row of ``df``.
 
-    A document is contaminated if some window of an item's size in words has a
-    weighted shingle similarity of at least ``similarity`` to it. Shingles are
+    A document is contaminated if some window of an item's size in words, or the
+    whole document, has a weighted shingle similarity of at least ``similarity``
+    to it. A copy inside a longer document is measured by windows of the item's
+    size only, so words put in or left out there lower its score. Shingles are
     of ``words`` words, A-Z folded; an item of fewer words is one shingle and
     matches only as it stands. Null text holds nothing; an empty benchmark
     leaves all clean; repeated rows count each, a null id stays null, an empty

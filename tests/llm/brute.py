@@ -103,6 +103,19 @@ def leaks(text, items, n=5, similarity=0.75):
     return out
 
 
+def whole_leaks(text, items, n=5, similarity=0.75):
+    """{item: weighted similarity} of the whole text, from the definition: common shingles by all shingles."""
+    words, out = words_of(fold(text)), {}
+    for item, body in items:
+        own = words_of(fold(body))
+        length = min(n, len(own))
+        a, b = (Counter(tuple(w[i : i + length]) for i in range(len(w) - length + 1)) for w in (words, own))
+        value = (a & b).total() / (a | b).total() if own and a else 0
+        if value >= similarity:
+            out[item] = max(value, out.get(item, 0))
+    return out
+
+
 def ppm_bits(sample, text, order):
     """Code length of ``text`` under one language's context trees, escape method C."""
     counts = defaultdict(Counter)

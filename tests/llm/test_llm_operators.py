@@ -8,7 +8,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import byte_repeats, crc, fold, leaks, near_groups, ppm_bits, word_repeats
+from brute import byte_repeats, crc, fold, leaks, near_groups, ppm_bits, whole_leaks, word_repeats
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -331,6 +331,30 @@ def test_decontamination(spark, monkeypatch):
     assert none.isEmpty()
 
 
+def test_decontamination_of_texts_that_are_not_of_an_items_size(spark):
+    """Whole copies with words left out or put in, at both ends and inside."""
+    r = random.Random(19)
+    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(n))) for i, n in enumerate([50, 36, 37, 20, 6, 3, 1] * 3)]
+    items += [(30, "tick tock " * 20), (31, items[0][1]), (32, None), (33, "")]
+    texts = [" ".join(items[0][1].split()[:48]), items[1][1].replace(" ", " more ", 1), "a", "tick tock " * 17, ""]
+    for _, t in items[:21] * 6:
+        part = (t or "").split()
+        for _ in range(r.randint(1, 4)):
+            at = r.choice([0, len(part), r.randint(0, len(part))])
+            part[at : at + 1] = [] if r.random() < 0.6 else [f"w{r.randrange(400)}", *part[at : at + 1]]
+        texts.append(" ".join(part))
+    docs = list(enumerate(texts))
+    got = decontamination.contamination(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    want, short = [], 0
+    for d, t in docs:
+        windows, whole = leaks(t, items), whole_leaks(t, items)
+        found = {i: max(windows.get(i, 0), whole.get(i, 0)) for i in windows | whole}
+        short += whole.keys() > windows.keys()
+        want.append((d, bool(found), sorted(found), round(max(found.values(), default=0.0), 9)))
+    assert sort((r.doc_id, r.contaminated, r.item_ids, round(r.best_similarity, 9)) for r in got) == sort(want)
+    assert want[0] == (0, True, [0, 31], round(44 / 46, 9)) and short > 5
+
+
 def test_language_model_code_lengths(spark):
     sample = {"a": ["The cat sat on the mat", "that hat"], "b": ["le chat est là", "été"]}
     docs = [(i, t, l) for i, (l, t) in enumerate((l, t) for l, ts in sample.items() for t in ts)]
