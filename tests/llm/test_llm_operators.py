@@ -355,6 +355,20 @@ def test_decontamination_of_texts_that_are_not_of_an_items_size(spark):
     assert want[0] == (0, True, [0, 31], round(44 / 46, 9)) and short > 5
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """One word for long, two words in turns: the same shingle many times, and fingerprints far apart."""
+    r, items, docs = random.Random(29), [], []
+    for i in range(120):
+        a, b, *rest = (f"v{r.randrange(10**6)}" for _ in range(9))
+        one, other = r.randint(14, 20), r.randint(14, 20)
+        items.append((i, " ".join([a] * one + rest + [b] * other)))
+        docs += [(i, " ".join(["x", *[a] * (one + k), *rest, *[b] * (other - k), "y"])) for k in (-3, -2, 0, 2, 3)]
+    got = decontamination.contamination(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    want = [(d, sorted(f), round(max(f.values(), default=0.0), 9)) for d, f in ((d, leaks(t, items[d : d + 1])) for d, t in docs)]
+    assert sort((r.doc_id, r.item_ids, round(r.best_similarity, 9)) for r in got) == sort(want)
+    assert sum(len(w[1]) for w in want) > 400
+
+
 def test_language_model_code_lengths(spark):
     sample = {"a": ["The cat sat on the mat", "that hat"], "b": ["le chat est là", "été"]}
     docs = [(i, t, l) for i, (l, t) in enumerate((l, t) for l, ts in sample.items() for t in ts)]
