@@ -6,7 +6,8 @@ few functions by its own name, and the document goes to one child for each of
 them, named by the value. Two documents of similarity J take the same child of
 a function with probability J. With ``BRANCH`` functions a node, the paths of a
 similar pair stay together with a probability that does not fall with depth,
-and independent trees raise it to the target recall.
+and more trees raise it to the target recall. All trees share the functions, so
+their number is worked out over how many of these a pair agrees in.
 
 A node is compared in two steps. Each document is first compared with the most
 central one of its node and with its nearest; then, in small nodes, all those
@@ -36,7 +37,7 @@ from shelfwise.llm.rolling import Hashes, mix, split_words, word_symbols
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-COORDINATES = 64
+COORDINATES = 128
 BRANCH = 2
 #: Ranges of the hash in a sketch.
 BINS = 256
@@ -110,7 +111,7 @@ def _profile(words: int):
 
 
 def trees_for(recall: float, similarity: float) -> int:
-    """Independent trees until a pair at the threshold is missed with at most 1 - recall.
+    """Trees of independent functions until a pair at the threshold is missed with at most 1 - recall.
 
     A pair's common paths are a branching process with BRANCH children, each
     kept with the probability ``similarity``; the fixed point of its generating
@@ -124,6 +125,24 @@ def trees_for(recall: float, similarity: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
+def trees_sharing(recall: float, similarity: float) -> int:
+    """As ``trees_for``, for trees that share the coordinates.
+
+    The pair agrees in a binomial number of them, and that share is the chance
+    of a common child in every tree.
+    """
+    agree = np.arange(COORDINATES + 1)
+    kept = agree / COORDINATES
+    odds = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in agree])
+    lost = np.zeros(COORDINATES + 1)
+    for _ in range(10_000):
+        lost = (1 - kept + kept * lost) ** BRANCH
+    for trees in range(trees_for(recall, similarity), COORDINATES // BRANCH + 1):
+        if (odds * lost**trees).sum() <= 1 - recall:
+            return trees
+    raise ValueError("too few coordinates for this recall")
+
+
 def least_agreement(similarity: float, miss: float) -> np.ndarray:
     """For u ranges that hold something in either sketch, the agreeing ranges to ask for.
 
@@ -314,7 +333,7 @@ def near_duplicates(
     docs = documents(df, id_col, text_col)
     parts = tasks(df)
     share = percent / 100
-    trees, need = trees_for(recall, share), least_agreement(share, (1 - recall) / 10)
+    trees, need = trees_sharing(recall, share), least_agreement(share, (1 - recall) / 10)
     profile = staged(
         docs.mapInArrow(_profile(words), _PROFILE_DDL).withColumn("row", F.monotonically_increasing_id()), "profiles"
     )
@@ -396,7 +415,7 @@ def near_duplicates(
     forest, depth = None, 0
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        level = staged(rows.join(sizes, "node").join(vertices, "rep"), "nodes")
+        level = staged(rows.join(sizes, "node").join(vertices.drop("mins"), "rep"), "nodes")
         salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PIVOT_ROWS))
         firsts = (
             level.select(F.xxhash64("node", salt).alias("node"), "rep", "n", "sketch")
@@ -416,7 +435,9 @@ def near_duplicates(
         if large is None or large.isEmpty():
             break
         rows = staged(
-            large.select("rep", F.explode(F.expr(_children("node"))).alias("node")).distinct(), "paths"
+            large.select("rep", "node").join(vertices.select("rep", "mins"), "rep")
+            .select("rep", F.explode(F.expr(_children("node"))).alias("node")).distinct(),
+            "paths",
         )
         depth += 1
     found = rooted(reps.select("rep", "s1", "s2", "n", "first"), forest)

@@ -305,6 +305,19 @@ def test_components(spark):
     assert got == {v: c for v, c in least.items() if v != c}
 
 
+def test_trees_that_share_coordinates_reach_the_recall():
+    """Over the coordinates that all trees share, with the walk of a pair written out."""
+    from math import comb
+
+    n, share, trees = chosen_path.COORDINATES, 0.75, chosen_path.trees_sharing(0.999999, 0.75)
+    assert chosen_path.BRANCH * trees <= n  # no two trees start alike
+
+    def lost(kept, depth=500):
+        return (1 - kept + kept * lost(kept, depth - 1)) ** chosen_path.BRANCH if depth else 0.0
+
+    assert sum(comb(n, k) * share**k * (1 - share) ** (n - k) * lost(k / n) ** trees for k in range(n + 1)) <= 1e-6
+
+
 def test_decontamination(spark, monkeypatch):
     r = random.Random(9)
     vocabulary = [f"w{i}" for i in range(50)]
