@@ -32,8 +32,13 @@ def _picked(docs: DataFrame, text_key, decisions: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; null text and text without letters go."""
+    """Documents whose language is known; null text and text without letters go.
+
+    Without a labelled row no language is known, and all text with letters stays.
+    """
     model = language.fit(docs)
+    if model is None:
+        return docs.where(docs["text"].cast("string").rlike(r"\p{L}"))
     found = docs.withColumn("__language", language.language_of(spark, model, docs["text"]))
     keep = (F.col("__language.lang") != language.UNKNOWN) & (F.col("__language.score") >= LEAST_SCORE)
     return found.where(keep).drop("__language")

@@ -48,6 +48,13 @@ def test_pipeline(spark):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in got) == sorted(want)
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, "the cat", None), (2, None, None), (3, "12 !", None), (4, "\n中", None), (None, "été", None), (5, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS mark")
+    kept = corpus_pipeline.identify_language(spark, docs, FOLDER)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["\n中", "the cat", "été"]
+
+
 def test_stages_on_odd_rows(spark):
     """Nulls, repeated rows and ids, extra columns: each stage keeps its columns and one row of a group."""
     long = " ".join(f"word{i}" for i in range(60))
