@@ -1,11 +1,10 @@
-"""Removal of long byte strings that occur more than once: sampled prefix doubling.
-
-Ranks double from ``width / 4`` bytes to ``width / 2`` to ``width``. Sampled
-positions are ranked by their first quarter; Spark sorts them and those with a
-unique rank drop out. What is left to decide, at single positions, is decided by
-sorting pairs (rank of a half, rank of the half at that offset), which is the
-rank of the whole ``width``. Positions whose whole surroundings equal another's
-are settled together, see ``repeats``.
+"""Removal of long byte strings that occur more than once: hashes of anchored spans.
+
+Sampled positions are ranked by a hash of ``width / 4`` bytes; Spark sorts them
+by it and a hash of their whole span, and those with a unique rank drop out.
+Spans that equal another are settled together, see ``repeats``. What is left to
+decide, at single windows, is decided by the hashes of their two halves. This
+takes the place of prefix doubling: no rounds, no ranking of pairs of ranks.
 """
 
 from __future__ import annotations
