@@ -108,6 +108,21 @@ def issue_case_variants(spark, folder):
     return found.withColumn("variants", F.array_join("variants", "|"))
 
 
+@query(
+    "issue_case_variants_all",
+    f"""WITH {PART_CTE}, v AS (SELECT 'category' AS "column", trim(category) AS value FROM p
+          UNION ALL SELECT 'brand', trim(brand) FROM p UNION ALL SELECT 'name', trim(name) FROM p)
+        SELECT "column", lower(value) AS key, count(DISTINCT value) AS variant_count,
+               array_to_string(list_sort(list(DISTINCT value)), '|') AS variants, count(*) AS n
+        FROM v WHERE value IS NOT NULL GROUP BY "column", lower(value)
+        HAVING count(DISTINCT value) > 1""",
+)
+def issue_case_variants_all(spark, folder):
+    counts = issues.category_counts(inputs.dirty_part(spark, folder), ["category", "brand", "name"], None)
+    found = variants.case_variants(counts)
+    return found.withColumn("variants", F.array_join("variants", "|"))
+
+
 @query("issue_near_dups")
 def issue_near_dups(spark, folder):
     counts = issues.category_counts(inputs.dirty_part(spark, folder), ["category", "brand", "name"])
@@ -131,6 +146,29 @@ def issue_near_dups_lev(spark, folder):
     return issues.suspicious_pairs(counts, "levenshtein")
 
 
+@query(
+    "issue_near_dups_lev_all",
+    f"""WITH {PART_CTE}, v AS (SELECT 'category' AS "column", trim(category) AS value FROM p
+          UNION ALL SELECT 'brand', trim(brand) FROM p UNION ALL SELECT 'name', trim(name) FROM p),
+        k AS (SELECT DISTINCT "column", lower(value) AS key FROM v WHERE value IS NOT NULL),
+        s AS (SELECT a."column", a.key AS a, b.key AS b,
+            CAST(1.0 AS DOUBLE) - CAST(levenshtein(a.key, b.key) AS DOUBLE)
+              / greatest(length(a.key), length(b.key)) AS ratio
+          FROM k a JOIN k b ON a."column" = b."column" AND a.key < b.key
+            AND abs(length(a.key) - length(b.key)) <= 2)
+        SELECT * FROM s WHERE ratio >= CAST(0.82 AS DOUBLE) AND ratio < 1""",
+)
+def issue_near_dups_lev_all(spark, folder):
+    counts = issues.category_counts(inputs.dirty_part(spark, folder), ["category", "brand", "name"], None)
+    return issues.suspicious_pairs(counts, "levenshtein")
+
+
+@query("issue_near_dups_all")
+def issue_near_dups_all(spark, folder):
+    counts = issues.category_counts(inputs.dirty_part(spark, folder), ["category", "brand", "name"], None)
+    return issues.suspicious_pairs(counts)
+
+
 @query(
     "issue_duplicate_keys",
     """SELECT 'lines_l_orderkey,l_linenumber_duplicate_keys' AS id,

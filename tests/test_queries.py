@@ -27,3 +27,8 @@ def test_query(spark, con, name):
 def test_entry(spark):
     row = entry.entry(spark).first()
     assert row.total_orders == 1500
+
+
+def test_all_columns_are_examined(spark):
+    few, every = (entry.queries()[n](spark, FOLDER).collect() for n in ("issue_near_dups_lev", "issue_near_dups_lev_all"))
+    assert "name" in {r.column for r in every} - {r.column for r in few} and set(few) < set(every)
