@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from shelfwise.llm import (
     chosen_path,
     decontamination,
@@ -12,6 +14,7 @@ from shelfwise.llm import (
     recompression,
     substring_repeats,
     token_counts,
+    vector_search,
     warc,
 )
 
@@ -98,3 +101,19 @@ def op7(spark, folder):
 @_query("op8_language_id")
 def op8(spark, folder):
     return language.predict_languages(_table(spark, folder, "documents"))
+
+
+_VECTOR_SQL = """
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+           FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+           FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@_query("op12_vector_search", _VECTOR_SQL)
+def op12(spark, folder):
+    vectors = _table(spark, folder, "embeddings")
+    return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
