@@ -10,6 +10,7 @@ from shelfwise.llm import (
     exact_dedup,
     id_files,
     language,
+    lexical_search,
     packing,
     recompression,
     substring_repeats,
@@ -117,3 +118,31 @@ FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) A
 def op12(spark, folder):
     vectors = _table(spark, folder, "embeddings")
     return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+# The characters that end a term, and the letters that are folded.
+_NO_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RANKED_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_FOLD.format('text')} AS body FROM documents),
+     t AS (SELECT d, doc_id, unnest(regexp_extract_all(body, '{_NO_TERM}')) AS term FROM d),
+     c AS (SELECT d, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+     z AS (SELECT d, sum(tf)::BIGINT AS n FROM c GROUP BY d),
+     g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM z),
+     w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+           FROM c, g GROUP BY term, docs),
+     b AS (SELECT row_number() OVER () AS i, item_id, {_FOLD.format('text')} AS body FROM benchmark),
+     u AS (SELECT i, item_id, unnest(regexp_extract_all(body, '{_NO_TERM}')) AS term FROM b),
+     o AS (SELECT i, item_id, term, count(*) AS often FROM u GROUP BY ALL),
+     s AS (SELECT i, item_id, d, doc_id,
+                  sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::BIGINT AS score
+           FROM o JOIN w USING (term) JOIN c USING (term) JOIN z USING (d), g GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@_query("op13_ranked_documents", _RANKED_SQL)
+def op13(spark, folder):
+    return lexical_search.ranked_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
