@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm import (
     chosen_path,
     decontamination,
+    divergence,
     exact_dedup,
     id_files,
     language,
@@ -146,3 +147,33 @@ FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) A
 @_query("op13_ranked_documents", _RANKED_SQL)
 def op13(spark, folder):
     return lexical_search.ranked_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
+
+
+_DIVERGENCE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  {_FOLD.format("coalesce(text, '')")} AS body FROM documents),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     t AS (SELECT d, lang, source, unnest(regexp_extract_all(body, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+     k AS (SELECT lang, term, count(*)::HUGEINT AS whole FROM t GROUP BY ALL HAVING count(DISTINCT d) >= 10),
+     v AS (SELECT lang, count(*)::HUGEINT AS width, sum(whole)::HUGEINT AS lang_total FROM k GROUP BY lang),
+     o AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+     s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM o GROUP BY ALL),
+     r AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 2)) // (coalesce(total, 0) + 2 * width) AS p,
+                  1 + (1000000000 * (whole + 2)) // (lang_total + 2 * width) AS q
+           FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN o USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+     f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+           FROM r a JOIN r b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+           UNION ALL
+           SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+           WHERE a.lang NOT IN (SELECT lang FROM v)
+           UNION ALL
+           SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM r WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@_query("op11_source_divergence", _DIVERGENCE_SQL)
+def op11(spark, folder):
+    return divergence.source_divergence(_table(spark, folder, "documents"), least=10, top=10)
