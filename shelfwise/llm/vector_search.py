@@ -143,11 +143,9 @@ class Best:
 
     def add(self, query, place, score, vectors: Side) -> None:
         query, place = np.r_[self.query, query], np.r_[self.place, place]
-        score = np.concatenate([self.score.astype(score.dtype), score])
-        down = np.array([-s for s in score], object) if score.dtype == object else -score
-        order = np.lexsort((vectors.ids[place], vectors.no_id[place]))
-        order = order[np.argsort(down[order], kind="stable")]
-        order = order[np.argsort(query[order], kind="stable")]
+        score = np.r_[self.score, score]
+        # ~s falls as s rises, without overflow.
+        order = np.lexsort((vectors.ids[place], vectors.no_id[place], ~score, query))
         query, place, score = query[order], place[order], score[order]
         first = np.searchsorted(query, query)
         nth = np.arange(len(query)) - first
@@ -199,7 +197,9 @@ def _survivors(q: Side, c: Side, at: np.ndarray, worst: np.ndarray, k: int):
 def _all_pairs(q: Side, c: Side, at: np.ndarray, k: int):
     """The same for integers beyond doubles: nothing is dropped but what k others of the block surpass."""
     deep = min(len(q.v), len(c.v))
-    score = q.v[:deep].T.astype(object) @ c.v[:deep][:, at].astype(object)
+    whole = lambda v: np.array([[int(x) for x in line] for line in v], object)
+    score = whole(q.v[:deep].T).reshape(-1, deep) @ whole(c.v[:deep][:, at]).reshape(deep, -1)
+    score = np.clip(score, -(2**63), 2**63 - 1).astype(np.int64)
     worst = np.sort(score, axis=1)[:, -min(k, len(at))]
     i, j = np.nonzero(score >= worst[:, None])
     return i, at[j], score[i, j]
@@ -229,11 +229,10 @@ def _search(k: int, scale: int):
                     i, j, score = _all_pairs(q, c, at, k + 1)
                 other = (q.block[i] != c.block[j]) | (q.row[i] != c.row[j])
                 best.add(i[other], j[other], score[other], c)
-            score = [max(-(2**63), min(2**63 - 1, int(s))) for s in best.score]
             i, j = best.query, best.place
             out.append(pa.table(
                 [pa.array(q.block[i]), pa.array(q.row[i]), pa.array(q.ids[i], mask=q.no_id[i]),
-                 pa.array(c.ids[j], mask=c.no_id[j]), pa.array(score, pa.int64())],
+                 pa.array(c.ids[j], mask=c.no_id[j]), pa.array(best.score)],
                 schema=_FOUND,
             ))
         return pa.concat_tables(out)
@@ -253,7 +252,7 @@ def top_k(
     each other whatever their ids, so repeated rows each have a list and stand
     in the other's; a null id comes last among ties. With fewer than k other
     rows there are fewer ranks, an empty table gives no rows. Scores beyond 64
-    bits are ranked exactly and shown as the nearest long.
+    bits count as the nearest long.
     """
     vector = df[vector_col].cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
