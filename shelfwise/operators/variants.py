@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.similarity import levenshtein_similarity, similarity
 from shelfwise.functions.text import name_col, strip, title_case
+from shelfwise.operators import segments
 from shelfwise.session import stage
 
 # Fixed values.
@@ -64,50 +65,6 @@ def _prefix_tokens(keys: DataFrame, ratio: float, gap: int) -> DataFrame:
     ).select("grp", "key", F.col("t.token").alias("token"))
 
 
-def _deletions(length: int, ratio: float, gap: int) -> int:
-    """Characters that may have to go from a text of this length before it equals
-    what is left of a partner at or above ``ratio``.
-
-    The common part of two texts of lengths a and b leaves at most
-    u = (1 - ratio)(a + b) characters over, of which a's share is (u + a - b) / 2.
-    """
-    most = 0
-    for other in range(max(0, length - gap), length + gap + 1):
-        over = int((1 - ratio) * (length + other) + 1e-9)
-        if over >= abs(length - other):
-            most = max(most, (over + length - other) // 2)
-    return most
-
-
-def _short_length(ratio: float, gap: int) -> int:
-    """The greatest length up to which two deletions are enough, 14 at most."""
-    length = 0
-    while length < 14 and _deletions(length + 1, ratio, gap) <= 2:
-        length += 1
-    return length
-
-
-def _deletion_tokens(keys: DataFrame, ratio: float, gap: int, short: int) -> DataFrame:
-    """(grp, key, token): each short key with every text its allowed deletions
-    leave. Similar keys share one, and hardly any others do."""
-
-    def without_one(text):
-        places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-        return F.transform(
-            places, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
-        )
-
-    most = F.array(*[F.lit(_deletions(n, ratio, gap)) for n in range(short + 1)])[F.length("key")]
-    once = without_one(F.col("key"))
-    twice = F.flatten(F.transform(once, without_one))
-    left = F.when(most == 0, F.array("key")).when(most == 1, F.concat(F.array("key"), once)).otherwise(
-        F.concat(F.array("key"), once, twice)
-    )
-    return keys.where(F.length("key") <= short).select(
-        "grp", "key", F.explode(F.array_distinct(left)).alias("token")
-    )
-
-
 def _may_match(a: Column, b: Column, ratio: float, gap: int) -> Column:
     """Native tests every pair at or above ``ratio`` passes."""
     la, lb = F.length(a), F.length(b)
@@ -126,28 +83,23 @@ def similar_keys(
 ) -> DataFrame:
     """(grp, a, b, ratio) with a < b for all pairs of distinct keys in a group.
 
-    Complete without comparing all pairs: candidates of short keys are equal
-    after the few deletions that ``ratio`` allows, those of longer ones share a
-    rare bigram and have lengths at most ``gap`` apart. A native edit-distance
-    test thins them out, and only distinct survivors reach the similarity
-    function. ``measure="levenshtein"`` uses
+    Complete without comparing all pairs: keys of up to ``segments.LONG``
+    characters meet in the segment index, longer ones share a rare bigram. A
+    native edit-distance test thins candidates out, and only distinct survivors
+    reach the similarity function. ``measure="levenshtein"`` uses
     1 - distance / longest length and needs no Python at all.
     """
-    short = _short_length(ratio, gap)
+    met = segments.candidates(keys, ratio, gap)
     # A key near the border meets partners of both kinds.
-    grams = _prefix_tokens(keys.where(F.length("key") > short - gap), ratio, gap)
+    grams = _prefix_tokens(keys.where(F.length("key") > segments.LONG - gap), ratio, gap)
     size = F.length("key")
     near = F.sequence(F.greatest(size - gap, F.lit(0)), size + gap)
-    tokens = _deletion_tokens(keys, ratio, gap, short).withColumn("size", F.lit(-1))
-    left = tokens.unionByName(grams.withColumn("size", size))
-    right = tokens.unionByName(grams.withColumn("size", F.explode(near)))
-    candidates = (
-        left.withColumnRenamed("key", "a")
-        .join(right.withColumnRenamed("key", "b"), ["grp", "token", "size"])
-        .where((F.col("a") < F.col("b")) & _may_match(F.col("a"), F.col("b"), ratio, gap))
-        .select("grp", "a", "b")
-        .distinct()
+    left, right = grams.withColumn("size", size), grams.withColumn("size", F.explode(near))
+    long = (
+        left.withColumnRenamed("key", "a").join(right.withColumnRenamed("key", "b"), ["grp", "token", "size"])
+        .where("a < b").select("grp", "a", "b")
     )
+    candidates = met.unionByName(long).where(_may_match(F.col("a"), F.col("b"), ratio, gap)).distinct()
     return _scored(candidates, ratio, measure)
 
 

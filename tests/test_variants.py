@@ -3,7 +3,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from shelfwise.operators import variants
+from shelfwise.operators import segments, variants
 
 
 def ratio(a, b):
@@ -56,14 +56,40 @@ def test_similar_keys_equals_all_pairs(spark, threshold):
     assert got == expected and expected
 
 
-def test_short_keys_meet_few_others(spark):
-    """Numbered names: candidates per key do not grow with the number of keys."""
+def numbered(spark, n, name):
+    return spark.createDataFrame([(0, f"{name} {i:06d}") for i in range(n)], "grp int, key string")
+
+
+def test_numbered_names_meet_few_others(spark):
+    """Candidates per key, counted before any test, do not grow with the number of keys."""
     def candidates(n):
-        keys = spark.createDataFrame([(0, f"item {i * 37 % 1_000_000:06d}") for i in range(n)], "grp int, key string")
-        tokens = variants._deletion_tokens(keys, 0.85, 2, variants._short_length(0.85, 2))
-        return tokens.groupBy("token").count().selectExpr("sum(count * (count - 1)) / 2").first()[0] / n
+        return segments.candidates(numbered(spark, n, "item"), 0.85, 2).count() / n
+
+    assert candidates(4000) < 1.5 * candidates(1000)
+
+
+@pytest.mark.parametrize("measure", ["blocks", "levenshtein"])
+def test_similar_keys_of_any_length(spark, monkeypatch, measure):
+    """Words shared by all texts, frequent segments, lengths on both sides of each border."""
+    monkeypatch.setattr(segments, "FREQUENT", 4)
+    monkeypatch.setattr(segments, "LONG", 30)
+    keys = sorted({w for n, w in enumerate(words(8, 120))} | {f"{p} {w}" for p in ("customer item", "large blue shirt of") for w in words(9, 70)})
+    df = spark.createDataFrame([(0, k) for k in keys], "grp int, key string")
+    got = {(r.a, r.b) for r in variants.similar_keys(df, 0.85, measure=measure).collect()}
+    near = ratio if measure == "blocks" else (lambda a, b: 1 - distance(a, b) / max(len(a), len(b)))
+    expected = {
+        (a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if abs(len(a) - len(b)) <= 2 and near(a, b) >= 0.85
+    }
+    assert got == expected and len(expected) > 100
+
 
-    assert candidates(4000) < 3 * candidates(1000) + 30
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        above, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            above, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, above + (x != y))
+    return row[-1]
 
 
 def test_variant_map_equals_greedy_walk(spark):
