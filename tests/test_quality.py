@@ -104,13 +104,14 @@ def test_dedup_by_key(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_cleaning_run(spark, tmp_path):
+@pytest.mark.parametrize("output", ["parquet", "csv"])
+def test_cleaning_run(spark, tmp_path, output):
     df = spark.createDataFrame(
         [("O1", "$10.00", "2024-01-01", "Electronics"), ("O2", "$20.50", "02/01/2024", "Elecronics"),
          ("O1", "$10.00", "2024-01-01", "Electronics")],
         ORDER_COLUMNS,
     )
-    run = run_cleaning(df, "orders_test", out_dir=str(tmp_path))
+    run = run_cleaning(df, "orders_test", out_dir=str(tmp_path), output=output)
     delta = run.delta().first()
     assert (delta.row_delta, delta.schema_mutated, delta.idempotent) == (-1, False, True)
     assert [s.transformation_type for s in run.steps] == [
@@ -121,7 +122,7 @@ def test_cleaning_run(spark, tmp_path):
     assert sorted(tuple(r) for r in run.clean.collect()) == [
         ("O1", 10.0, "2024-01-01", "Electronics"), ("O2", 20.5, "2024-02-01", "Electronics"),
     ]
-    assert tables.read_csv(spark, f"{tmp_path}/orders_test_clean.csv").count() == 2
+    assert tables.read_table(spark, f"{tmp_path}/orders_test_clean.{output}").count() == 2
     assert spark.read.json(f"{tmp_path}/orders_test_metadata.json").first().idempotent
 
 
