@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.session import stage
+from shelfwise.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -66,19 +67,54 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, own: list[str] | None = None) -> DataFrame:
     """Written to the shared folder and read back: cuts lineage, survives lost executors.
 
     What is written no longer needs the shuffle files behind it, so Spark is
-    told to drop them as soon as the write has ended.
+    told to drop them as soon as the write has ended. ``own`` collects the path,
+    for ``discard``.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, "false")
-    conf.set(name, "true")
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = scratch_path(spark, label)
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
     try:
-        return stage(df, label)
+        df.write.parquet(path)
     finally:
-        conf.set(name, before)
+        spark.conf.set(name, before)
+    if own is not None:
+        own.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark, own: list[str]) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for path in own:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    own.clear()
+
+
+class Shared:
+    """An object of this package for all tasks. It travels with its class, so workers need no copy of the package."""
+
+    def __init__(self, spark, held):
+        self.packed, self.held = spark.sparkContext.broadcast(cloudpickle.dumps(held)), []
+
+    def __reduce__(self):
+        return _received, (self.packed,)
+
+    @property
+    def value(self):
+        if not self.held:
+            self.held.append(pickle.loads(self.packed.value))
+        return self.held[0]
+
+
+def _received(packed) -> Shared:
+    shared = object.__new__(Shared)
+    shared.packed, shared.held = packed, []
+    return shared
 
 
 def tasks(df: DataFrame) -> int:

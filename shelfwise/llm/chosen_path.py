@@ -9,13 +9,18 @@ similar pair stay together with a probability that does not fall with depth,
 and more trees raise it to the target recall. All trees share the functions, so
 their number is worked out over how many of these a pair agrees in.
 
-A node is compared in two steps. Each document is first compared with the most
-central one of its node and with its nearest; then, in small nodes, all those
-that are not connected by then are compared with each other. Large nodes whose
-documents are not all connected branch again. Comparisons in a node use
-sketches: the least shingle of each of ``BINS`` ranges of the hash, one byte
-each. Pairs whose sketches agree enough are decided on their full sets. Rows of
-equal sets are one vertex throughout.
+Nodes are compared in place: rows meet there, pairs are never rows. First with
+sketches, the least shingle of each of ``BINS`` ranges of the hash, one byte
+each, which only say what rows of the node may be similar to a row of another
+component. Those alone come again with their full sets, and links are decided on
+these; once two components have a link, their rows are not compared any more. A
+pair that meets in several nodes is compared in the first one.
+
+A first round over a few trees joins most copies. After it, only nodes that hold
+several components count. Nodes that are too large to compare branch again; what
+stays together at the last level is mostly one component, whose rows are dealt
+to blocks, one place each, and met there by the few rows that do not belong to it.
+Rows of equal sets are one vertex throughout.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.batches import bytes_of, offsets_of, slices, staged, tasks
+from shelfwise.llm.batches import bytes_of, discard, offsets_of, slices, staged, tasks
 from shelfwise.llm.components import components
 from shelfwise.llm.repeats import NULL_ID, documents
 from shelfwise.llm.rolling import Hashes, mix, split_words, word_symbols
@@ -43,12 +48,14 @@ BRANCH = 2
 BINS = 256
 #: Documents in a node that are compared with each other unless connected.
 SMALL_NODE = 2_048
-#: Documents in a node that look for their nearest.
-NEAREST_NODE = 512
-#: Documents of a node that are compared with one central document.
-PIVOT_ROWS = 4_096
+#: Functions of the first round.
+FIRST = 4
+#: Functions that a pair can be found to have met in, at most.
+HEADS = 62
 #: Depth after which a large node is compared in blocks instead of branching.
 DEPTH = 4
+#: Sets that are compared with one at once.
+TOGETHER = 64
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
@@ -171,126 +178,109 @@ def _children(parent: str) -> str:
 class _Node:
     """The rows of a node, as arrays."""
 
-    def __init__(self, columns: dict[str, np.ndarray], percent: int, need: np.ndarray):
-        self.rep, self.n, self.sketch = columns["rep"], columns["n"], columns["sketch"]
+    def __init__(self, columns: dict, percent: int, need: np.ndarray):
+        self.rep, self.root, self.side, self.n = (columns[k] for k in ("rep", "root", "side", "n"))
+        self.sketch, self.heads, self.sets = columns["sketch"], columns["heads"], columns.get("shingles")
         self.percent, self.need = percent, need
-
-    def agreement(self, i: int, j) -> tuple[np.ndarray, np.ndarray]:
-        """How many ranges rows i and j agree in, and whether that makes them candidates."""
+        # Functions before this node's, in nodes that were or will be compared whole.
+        before = np.arange(self.heads.shape[1]) < columns["pick"][:, None]
+        self.met = before & ((columns["whole"][:, None] >> np.arange(self.heads.shape[1])) & 1).astype(bool)
+
+    def candidates(self, i: int, label: np.ndarray) -> np.ndarray:
+        """Later rows that may be similar to row i, are of another label and have not met it before."""
+        j = np.arange(i + 1, len(self.rep))
+        n, own = self.n[j], self.n[i]
+        j = j[(label[j] != label[i]) & ((self.side[j] != self.side[i]) | (self.side[j] == 2))
+              & (100 * np.minimum(n, own) >= self.percent * np.maximum(n, own))]
+        if not len(j):
+            return j
+        j = j[~((self.heads[j] == self.heads[i]) & self.met[i]).any(axis=1)]
         a, b = self.sketch[i], self.sketch[j]
         filled = (a | b) != 0
-        same = ((a == b) & filled).sum(axis=1)
-        n = self.n[j]
-        close = 100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i])
-        return same, close & (same >= self.need[filled.sum(axis=1)])
-
-    def central(self) -> int:
-        """The row that agrees most with the most frequent value of each range."""
-        if len(self.rep) < 3:
-            return 0
-        counts = np.zeros((BINS, 256), np.int32)
-        for b in range(BINS):
-            counts[b] = np.bincount(self.sketch[:, b], minlength=256)
-        counts[:, 0] = 0
-        return int((self.sketch == counts.argmax(axis=1)).sum(axis=1).argmax())
-
-    def first_pairs(self) -> np.ndarray:
-        """Candidates (row, row): each with the central one, and with its nearest in a node not too large."""
-        everyone = np.arange(len(self.rep))
-        centre = self.central()
-        _, like = self.agreement(centre, everyone)
-        like[centre] = False
-        out = [np.column_stack([np.full(int(like.sum()), centre), everyone[like]])]
-        if 2 < len(everyone) <= NEAREST_NODE:
-            for i in everyone:
-                same, like = self.agreement(i, everyone)
-                same = np.where(like, same, -1)
-                same[i] = -1
-                j = int(same.argmax())
-                if same[j] >= 0:
-                    out.append(np.array([[i, j]]))
-        return np.concatenate(out)
-
-    def joining(self, root: np.ndarray, side: np.ndarray, sets=None) -> np.ndarray:
-        """Pairs (row, row) that join roots, as few as connect them.
-
-        Rows of one root, or joined by then, are not compared, nor those of one
-        side where there are sides. Without ``sets`` a candidate joins two
-        roots; with them a pair does that is similar by its full sets.
-        """
-        label, out = root.copy(), []
+        return j[np.count_nonzero((a == b) & filled, axis=1) >= self.need[np.count_nonzero(filled, axis=1)]]
+
+    def open_rows(self) -> np.ndarray:
+        """Which rows have a candidate."""
+        found = np.zeros(len(self.rep), bool)
         for i in range(len(self.rep) - 1):
-            j = np.arange(i + 1, len(self.rep))
-            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] == 2))]
-            if not len(j):
-                continue
-            for x in j[self.agreement(i, j)[1]].tolist():
-                if label[x] != label[i] and (sets is None or similar(sets[i], sets[x], self.percent)):
-                    out.append((i, x))
-                    label[label == label[x]] = label[i]
-        return np.array(out, np.int64).reshape(-1, 2)
-
-
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets share ``percent`` hundredths of their union."""
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= percent * (len(both) - common)
-
-
-def _by_node(pairs_of, names: tuple[str, ...], percent: int, need: np.ndarray):
-    """Rows sorted by node: candidate pairs (a, b) with a < b of each node of several rows."""
-
-    def whole_nodes(batches):
-        """Slices of columns at node borders; the last node of a batch waits for the next one."""
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {n: batch.column(n).to_numpy() for n in names if n not in ("sketch", "shingles")}
-            if "shingles" in names:
-                sets = np.empty(batch.num_rows, object)
-                sets[:] = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
-                columns["shingles"] = sets
-            columns["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            if rest is not None:
-                columns = {n: np.concatenate([rest[n], c]) for n, c in columns.items()}
-            node = columns["node"]
-            cut = len(node) - int((node == node[-1])[::-1].cumprod().sum())
-            rest = {n: c[cut:] for n, c in columns.items()}
-            if cut:
-                yield {n: c[:cut] for n, c in columns.items()}
-        if rest is not None:
-            yield rest
+            j = self.candidates(i, self.root)
+            if len(j):
+                found[i] = found[j] = True
+        return found
+
+    def links(self) -> list[tuple[int, int]]:
+        """Similar pairs (row, row) that join components, as few as connect them."""
+        label, out = self.root.copy(), []
+        for i in range(len(self.rep) - 1):
+            j = self.candidates(i, label)
+            while len(j):
+                part, j = j[:TOGETHER], j[TOGETHER:]
+                for x in part[similar_to(self.sets[i], [self.sets[x] for x in part], self.percent)].tolist():
+                    if label[x] != label[i]:
+                        out.append((i, x))
+                        label[label == label[x]] = label[i]
+                j = j[label[j] != label[i]]
+        return out
+
+
+def similar_to(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sorted sets share ``percent`` hundredths of their union with this one."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * common >= percent * (sizes + len(own) - common)
+
+
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole nodes, of rows sorted by node; the last node of a batch waits for the next one."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column("node").to_numpy()
+        cut = int(np.searchsorted(node, node[-1]))
+        if cut or rest and rest[-1].column("node")[-1].as_py() != node[0]:
+            (whole,) = pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()
+            yield whole
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        (whole,) = pa.Table.from_batches(rest).combine_chunks().to_batches()
+        yield whole
+
+
+def _by_node(percent: int, need: np.ndarray, decide: bool):
+    """Rows sorted by node: those with candidates, or with their sets, the links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_nodes(batches):
-            node = columns["node"]
+        for batch in _whole_nodes(batches):
+            node = batch.column("node").to_numpy()
+            columns = {n: batch.column(n).to_numpy() for n in ("rep", "root", "side", "n", "pick", "whole")}
+            columns["sketch"] = bytes_of(batch.column("sketch")).reshape(-1, BINS)
+            columns["heads"] = batch.column("heads").flatten().to_numpy().reshape(len(node), -1)
+            if decide:
+                data, ends = bytes_of(batch.column("shingles")), offsets_of(batch.column("shingles"))
             cuts = np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node)]
-            out = [np.zeros((0, 2), np.int64)]
+            keep, pairs = np.zeros(len(node), bool), []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if b - a > 1:
-                    own = {n: c[a:b] for n, c in columns.items()}
-                    out.append(pairs_of(_Node(own, percent, need), own))
-            found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                if b - a < 2:
+                    continue
+                own = {n: c[a:b] for n, c in columns.items()}
+                if decide:
+                    own["shingles"] = [data[x:y].view(np.uint64) for x, y in zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist())]
+                    pairs += [(own["rep"][i], own["rep"][j]) for i, j in _Node(own, percent, need).links()]
+                else:
+                    keep[a:b] = _Node(own, percent, need).open_rows()
+            if decide:
+                found = np.array(pairs, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            else:
+                yield batch.filter(pa.array(keep))
 
     return run
 
 
-def _first(node: _Node, own: dict) -> np.ndarray:
-    return own["rep"][node.first_pairs()]
-
-
-def _roots_met(node: _Node, own: dict) -> np.ndarray:
-    return own["root"][node.joining(own["root"], own["side"])]
-
-
-def _links(node: _Node, own: dict) -> np.ndarray:
-    return own["rep"][node.joining(own["root"], own["side"], own["shingles"])]
-
-
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=1 << 20):
@@ -302,18 +292,6 @@ def _sets(words: int):
     return run
 
 
-def _decide(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set_a"):
-            keep = [
-                similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-                for x, y in zip(batch.column("set_a"), batch.column("set_b"))
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def near_duplicates(
     df: DataFrame, percent: int = 75, words: int = 5, recall: float = 0.999999,
     id_col: str = "doc_id", text_col: str = "text", marks: bool = False,
@@ -330,116 +308,98 @@ def near_duplicates(
     empty table gives no rows, further columns are ignored. ``marks`` adds a hash of
     the text, which tells rows of one id apart.
     """
+    spark, parts, own = df.sparkSession, tasks(df), []
     docs = documents(df, id_col, text_col)
-    parts = tasks(df)
     share = percent / 100
     trees, need = trees_sharing(recall, share), least_agreement(share, (1 - recall) / 10)
-    profile = staged(
-        docs.mapInArrow(_profile(words), _PROFILE_DDL).withColumn("row", F.monotonically_increasing_id()), "profiles"
+    wide: list[str] = []
+    everything = staged(
+        docs.mapInArrow(_profile(words), _PROFILE_DDL).withColumn("row", F.monotonically_increasing_id()), "profiles", wide
     )
     # One vertex per distinct set; which row stands for it only has to be fixed.
     reps = staged(
-        profile.where("n > 0").groupBy("s1", "s2", "n")
+        everything.where("n > 0").groupBy("s1", "s2", "n")
         .agg(F.min(F.struct("row", "key", "mark", "mins", "sketch")).alias("r"), F.min(F.struct("key", "row")).alias("first"))
         .select(F.col("r.row").alias("rep"), "s1", "s2", "n", "first", "r.key", "r.mark", "r.mins", "r.sketch"),
-        "vertices",
+        "vertices", own,
+    )
+    profile = staged(everything.drop("mins", "sketch"), "rows", own)
+    discard(spark, wide)
+    # The roots take different functions, so that no two trees start alike.
+    picks = min(COORDINATES, BRANCH * trees)
+    heads = min(picks, HEADS)
+    start = F.expr("array(" + ", ".join(f"xxhash64({p // BRANCH}L, {p}, mins[{p}])" for p in range(picks)) + ")")
+    rows = reps.select("rep", F.posexplode(start).alias("pick", "node"))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    placed = staged(rows.join(sizes, "node"), "nodes", own)
+    # In which functions a vertex has a node that is compared whole.
+    whole = placed.where(f"size <= {SMALL_NODE} AND pick < {heads}").groupBy("rep").agg(F.expr("bit_or(1L << pick)").alias("whole"))
+    vertices = staged(
+        reps.join(whole, "rep", "left")
+        .select("rep", "n", "sketch", F.slice("mins", 1, heads).alias("heads"), F.coalesce("whole", F.lit(0).cast("long")).alias("whole")),
+        "sketches", own,
     )
-    vertices = reps.select("rep", "n", "mins", "sketch")
 
-    def sets_of(own: DataFrame) -> DataFrame:
+    def sets_of(some: DataFrame, temporary: list[str]) -> DataFrame:
         """(rep, shingles) of some vertices, from their texts."""
-        texts = docs.join(own.select("rep", "key", "mark"), ["key", "mark"]).dropDuplicates(["rep"])
-        return staged(texts.select("rep", "text").mapInArrow(_sets(words), "rep long, shingles binary"), "sets")
-
-    def connected(rows: DataFrame, forest: DataFrame) -> DataFrame:
-        """Links (a, b) among all that candidates connect, no more than join them.
-
-        Roots that meet in candidates form families. A family is compared in
-        one place, or for each two blocks of it, with each set sent there once:
-        pairs are never rows.
-        """
-        names = ("node", "side", "rep", "root", "n", "sketch")
-        met = staged(
-            rows.select(*names).repartition(parts, "node").sortWithinPartitions("node")
-            .mapInArrow(_by_node(_roots_met, names, percent, need), "a long, b long").distinct(),
-            "meetings",
-        )
-        if met.isEmpty():
-            return met
-        families = components(met.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        families = families.select(F.col("vertex").alias("root"), F.col("root").alias("node"))
-        families = families.unionByName(families.select(F.col("node").alias("root"), "node").distinct())
-        members = staged(
-            rooted(reps.select("rep", "key", "mark", "n", "sketch"), forest).join(families, "root"), "members"
-        )
-        sizes = members.groupBy("node").agg(F.count("*").alias("size"))
-        sized = members.drop("key", "mark").join(sizes, "node")
-        whole = sized.where(f"size <= {SMALL_NODE}").withColumn("side", F.lit(2))
-        cut = _blocks(sized.where(f"size > {SMALL_NODE}"))
-        names = (*names, "shingles")
-        return staged(
-            whole.select(*names[:-1]).unionByName(cut.select(*names[:-1]))
-            .join(sets_of(members), "rep").select(*names)
-            .repartition(parts, "node").sortWithinPartitions("node")
-            .mapInArrow(_by_node(_links, names, percent, need), "a long, b long"),
-            "links",
-        )
+        texts = docs.join(reps.select("rep", "key", "mark").join(some, "rep", "left_semi"), ["key", "mark"]).dropDuplicates(["rep"])
+        return staged(texts.select("rep", "text").mapInArrow(_sets(words), "rep long, shingles binary"), "sets", temporary)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs.distinct(), "candidates")
-        if pairs.isEmpty():
-            return pairs
-        ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        sets = sets_of(reps.join(ends, "rep"))
-        both = pairs.join(
-            sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b"
-        ).join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return staged(both.mapInArrow(_decide(percent), "a long, b long"), "links")
-
-    def joined(forest, links: DataFrame):
-        if forest is not None and links.isEmpty():
-            return forest
-        edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if forest is not None:
-            edges = edges.unionByName(forest.select(F.col("vertex").alias("u"), F.col("root").alias("v")))
-        return components(edges)
+    def sorted_by_node(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "node").sortWithinPartitions("node")
+
+    def linked(forest, rows: DataFrame):
+        """The forest with the links among rows (node, rep, root, side, pick)."""
+        temporary: list[str] = []
+        names, kind = ("node", "rep", "root", "side", "pick", "n", "sketch", "heads", "whole"), (
+            "node long, rep long, root long, side int, pick int, n long, sketch binary, heads array<int>, whole long"
+        )
+        met = rows.join(vertices, "rep").select(*names)
+        some = staged(sorted_by_node(met).mapInArrow(_by_node(percent, need, False), kind), "open", temporary)
+        if not some.isEmpty():
+            sets = sets_of(some.select("rep").distinct(), temporary)
+            links = staged(
+                sorted_by_node(some.join(sets, "rep")).mapInArrow(_by_node(percent, need, True), "a long, b long"), "links", temporary
+            )
+            edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+            if forest is not None:
+                edges = edges.unionByName(forest.select(F.col("vertex").alias("u"), F.col("root").alias("v")))
+            forest = components(edges, own)
+        discard(spark, temporary)
+        return forest
 
     def rooted(rows: DataFrame, forest) -> DataFrame:
+        if forest is None:
+            return rows.withColumn("root", F.col("rep"))
         tree = forest.select(F.col("vertex").alias("rep"), "root")
         return rows.join(tree, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
-    # The roots take different functions, so that no two trees start alike.
-    picks = range(min(COORDINATES, BRANCH * trees))
-    start = F.expr("array(" + ", ".join(f"xxhash64({p // BRANCH}L, {p}, mins[{p}])" for p in picks) + ")")
-    rows = vertices.select("rep", F.explode(start).alias("node"))
-    forest, depth = None, 0
-    while True:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        level = staged(rows.join(sizes, "node").join(vertices.drop("mins"), "rep"), "nodes")
-        salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / PIVOT_ROWS))
-        firsts = (
-            level.select(F.xxhash64("node", salt).alias("node"), "rep", "n", "sketch")
-            .repartition(parts, "node").sortWithinPartitions("node", "rep")
-            .mapInArrow(_by_node(_first, ("node", "rep", "n", "sketch"), percent, need), "a long, b long")
-        )
-        forest = joined(forest, verified(apart(firsts, forest)))
-        level = rooted(level, forest)
-        spread = level.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        level = staged(level.join(spread.select("node"), "node"), "nodes")
-        if depth < DEPTH:
-            small = level.where(f"size <= {SMALL_NODE}").withColumn("side", F.lit(2))
-        else:
-            small = _blocks(level)
-        forest = joined(forest, connected(small, forest))
-        large = level.where(f"size > {SMALL_NODE}") if depth < DEPTH else None
-        if large is None or large.isEmpty():
+    def several(rows: DataFrame, forest) -> DataFrame:
+        """Rows with their root, of nodes that hold more than one."""
+        rows = rooted(rows, forest)
+        mixed = rows.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+        return rows.drop("size").join(mixed.where("low < high").select("node", "size"), "node")
+
+    both = F.lit(2)
+    piece = F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("size") / SMALL_NODE)))
+    first = placed.where(f"pick < {FIRST}").withColumns({"node": piece, "side": both, "root": F.col("rep")})
+    forest = linked(None, first)
+    level = staged(several(placed.where(f"pick >= {FIRST} OR size > {SMALL_NODE}"), forest), "nodes", own)
+    for depth in range(DEPTH + 1):
+        forest = linked(forest, level.where(f"size <= {SMALL_NODE}").withColumn("side", both))
+        large = level.where(f"size > {SMALL_NODE}")
+        if large.isEmpty():
             break
-        rows = staged(
-            large.select("rep", "node").join(vertices.select("rep", "mins"), "rep")
-            .select("rep", F.explode(F.expr(_children("node"))).alias("node")).distinct(),
-            "paths",
+        # Pairs that have met in any whole node of a root are known here.
+        large = several(large.drop("root"), forest).withColumn("pick", F.lit(heads))
+        if depth == DEPTH:
+            forest = linked(forest, _blocks(large))
+            break
+        children = (
+            large.select("rep", "node").join(reps.select("rep", "mins"), "rep")
+            .select("rep", F.explode(F.expr(_children("node"))).alias("node")).distinct().withColumn("pick", F.lit(heads))
         )
-        depth += 1
+        level = staged(several(children, forest), "nodes", own)
     found = rooted(reps.select("rep", "s1", "s2", "n", "first"), forest)
     least_of = found.groupBy("root").agg(F.min("first").alias("least"))
     classes = found.join(least_of, "root").select("s1", "s2", "n", F.col("least.key").alias("component"), F.col("least.row").alias("kept_row"))
@@ -447,31 +407,42 @@ def near_duplicates(
         {"component": F.coalesce("component", "key"), "kept_row": F.coalesce("kept_row", "row")}
     )
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(
+    out = out.select(
         real("key").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         real("component").alias("component_id"),
         (F.col("row") == F.col("kept_row")).alias("kept"),
         *(["mark"] if marks else []),
     )
-
-
-def apart(pairs: DataFrame, forest) -> DataFrame:
-    """Pairs whose ends are not connected yet."""
-    if forest is None:
-        return pairs
-    for end in ("a", "b"):
-        tree = forest.select(F.col("vertex").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = pairs.join(tree, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.where("root_a <> root_b").select("a", "b")
+    result = staged(out, "near-duplicates")
+    discard(spark, own)
+    return result
 
 
 def _blocks(level: DataFrame) -> DataFrame:
-    """Nodes cut into blocks of about half SMALL_NODE; a node of its own for each two blocks."""
-    count = F.ceil(F.col("size") / (SMALL_NODE // 2))
-    block = F.pmod(F.xxhash64("rep"), count)
-    rows = level.withColumn("blocks", count).withColumn("block", block)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.withColumn(
-        "node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-    ).withColumn("side", F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") < F.col("other")).cast("int")))
+    """Nodes cut into places of bounded size where all their components still meet.
+
+    The rows of a node's largest component are dealt to blocks, and each block
+    of the other rows meets each of these; the others meet among themselves.
+    """
+    half = SMALL_NODE // 2
+    roots = level.groupBy("node", "root").agg(F.count("*").alias("mine"))
+    main = roots.groupBy("node").agg(F.max(F.struct("mine", "root")).alias("main"))
+    rows = level.join(main, "node").withColumns({
+        "inner": F.col("root") == F.col("main.root"),
+        "inner_blocks": F.ceil(F.col("main.mine") / half),
+        "outer_blocks": F.ceil((F.col("size") - F.col("main.mine")) / half),
+    })
+    deal = lambda count: F.pmod(F.xxhash64("rep"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    inner = rows.where("inner").withColumns({"i": deal("inner_blocks"), "side": F.lit(0)}).withColumn("o", every("outer_blocks"))
+    outer = rows.where("NOT inner").withColumns({"o": deal("outer_blocks"), "side": F.lit(1)}).withColumn("i", every("inner_blocks"))
+    across = inner.unionByName(outer, allowMissingColumns=True).withColumn("node", F.xxhash64("node", F.lit("across"), "i", "o"))
+    among = rows.where("NOT inner").withColumn("block", deal("outer_blocks")).withColumn("other", every("outer_blocks"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    among = among.withColumns({
+        "node": F.xxhash64("node", F.lit("among"), low, high),
+        "side": F.when(F.col("outer_blocks") == 1, 2).when(low == high, 2).otherwise((F.col("block") < F.col("other")).cast("int")),
+    })
+    names = ("node", "rep", "root", "side", "pick")
+    return across.select(*names).unionByName(among.select(*names))

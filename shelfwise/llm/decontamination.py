@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.batches import bytes_of, offsets_of, slices
+from shelfwise.llm.batches import Shared, bytes_of, offsets_of, slices
 from shelfwise.llm.chosen_path import lowered
 from shelfwise.llm.rolling import Hashes, mix, split_words, word_symbols
 
@@ -246,7 +246,7 @@ def benchmark_matches(
     found = []
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == p).collect()
-        found.append(_finder(spark.sparkContext.broadcast(Part([(r[0], r[1]) for r in own], words, similarity)))(text))
+        found.append(_finder(Shared(spark, Part([(r[0], r[1]) for r in own], words, similarity)))(text))
     return F.concat(*found) if parts > 1 else found[0]
 
 

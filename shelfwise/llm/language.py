@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.batches import bytes_of, offsets_of, slices
+from shelfwise.llm.batches import Shared, bytes_of, offsets_of, slices
 from shelfwise.llm.chosen_path import lowered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -189,7 +189,7 @@ _KIND = "struct<lang: string, score: double>"
 
 def language_of(spark, model: Model | None, text: Column) -> Column:
     """struct(lang, score) of a text column: the language of the shortest code and its share in 2 ** -bits."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark, model)
 
     @F.arrow_udf(_KIND)
     def predict(texts: pa.Array) -> pa.Array:

@@ -281,7 +281,6 @@ def test_near_duplicates(spark, monkeypatch):
     for small, depth in ((256, 4), (4, 1)):
         monkeypatch.setattr(chosen_path, "SMALL_NODE", small)
         monkeypatch.setattr(chosen_path, "DEPTH", depth)
-        monkeypatch.setattr(chosen_path, "PIVOT_ROWS", 4 * small)
         got = chosen_path.near_duplicates(frame(spark, docs)).collect()
         assert sort(tuple(r)[:3] for r in got) == want
         # One row of each group stays; rows without words are groups of their own.
