@@ -22,7 +22,8 @@ LEAST_SCORE = 0.5
 def _picked(docs: DataFrame, text_key, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` (__id, __text) names, one for each of them."""
     own = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "__text": text_key})
-    first = Window.partitionBy("__id", "__text").orderBy(F.lit(0))
+    # Rows that share id and text go by the rest of their columns.
+    first = Window.partitionBy("__id", "__text").orderBy(F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns if c != "text"]))))
     return (
         own.join(decisions, ["__id", "__text"], "left_semi")
         .withColumn("__nth", F.row_number().over(first))
@@ -46,12 +47,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: that of the smallest id."""
-    kept = exact_dedup.exact_duplicates(docs, keep="first").where("kept")
-    content = F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), exact_dedup.UPPER, exact_dedup.LOWER)
-    decisions = kept.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("__id"), F.col("text_sha256").alias("__text")
-    )
-    return _picked(docs, F.sha2(content.cast("binary"), 256), decisions)
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ from shelfwise.llm.chosen_path import lowered
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 4
-#: Bounds of the sample that is fitted: documents of each language, and languages (the most frequent).
-SAMPLE_DOCS, LANGUAGES = 400, 200
+#: Bounds of the sample that is fitted: documents of each language and in all (but one of each language), bytes of each.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_BYTES = 400, 80_000, 64 << 20
 UNKNOWN = "und"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,32 +146,34 @@ def _counts(order: int):
 
 
 def fit(
-    df: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, languages: int = LANGUAGES,
+    df: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model | None:
     """A model of the labelled rows of ``df``, or None if there are none.
 
-    The sample is bounded: of each of the ``languages`` most frequent labels,
-    at most ``sample_docs`` documents, drawn by a hash of id and text, whole.
-    Only its byte statistics come to the driver.
+    The sample is bounded, and every label is learned: of each at most
+    ``sample_docs`` documents, fewer with very many labels, drawn by a hash of
+    id and text, whole, until they have ``SAMPLE_BYTES``. Only its byte
+    statistics come to the driver.
     """
     rows = df.select(
         df[id_col].cast("string").alias("id"), df[text_col].cast("string").alias("text"),
         df[lang_col].cast("string").alias("lang"),
     ).where("text <> '' AND lang IS NOT NULL")
-    known = rows.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(languages)
-    docs = {r["lang"]: r["docs"] for r in known.collect()}
-    names = sorted(docs)
+    # One row for each label.
+    known = rows.groupBy("lang").agg(F.count("*").alias("docs"))
+    names = sorted(r["lang"] for r in known.collect())
     if not names:
         return None
+    most = max(1, min(sample_docs, SAMPLE_TOTAL // len(names)))
     # About twice the sample passes a bound on the hash; only that is ranked, whatever the table's size.
-    bound = F.create_map(*[F.lit(x) for name in names for x in (name, 2.0 * sample_docs / docs[name])])
     share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) / float(1 << 40)
     order_by = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"))
+    size = F.sum(F.octet_length("text")).over(order_by.rowsBetween(Window.unboundedPreceding, -1))
     few = (
-        rows.where(share < bound[F.col("lang")])
-        .withColumn("place", F.row_number().over(order_by))
-        .where(F.col("place") <= sample_docs)
+        rows.join(known, "lang").where(share < (2.0 * most + 20) / F.col("docs"))
+        .withColumns({"place": F.row_number().over(order_by), "before": F.coalesce(size, F.lit(0))})
+        .where((F.col("place") <= most) & (F.col("before") < SAMPLE_BYTES))
     )
     found = (
         few.select("text", "lang")
