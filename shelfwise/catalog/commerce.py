@@ -100,7 +100,7 @@ def kpi_sell_through(spark, folder):
 def kpi_by_category(spark, folder):
     items = inputs.items(spark, folder).select("product_id", F.col("amount").alias("sales"))
     products = inputs.products(spark, folder).select("product_id", "category")
-    return metrics.category_metrics(items.join(products, "product_id"))
+    return metrics.category_metrics_of(items, products)
 
 
 _SOLD = f"""SELECT {MONEY.format(c='l_extendedprice')} AS revenue,
@@ -124,10 +124,7 @@ def kpi_margin(spark, folder):
         "product_id", F.col("cost").cast("decimal(18,4)").alias("cost")
     )
     items = inputs.items(spark, folder).select("product_id", "quantity", "amount")
-    goods = F.col("quantity").cast("decimal(18,4)") * F.col("cost")
-    sold = items.join(products, "product_id").select(
-        F.col("amount").alias("revenue"), goods.cast("decimal(18,4)").alias("cost_of_goods")
-    )
+    sold = metrics.costed_items(items, products, revenue="amount", units="quantity")
     held = inputs.inventory(spark, folder).join(products, "product_id")
     return metrics.margin_metrics(sold, held)
 

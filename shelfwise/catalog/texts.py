@@ -218,10 +218,23 @@ def session_filters(spark, folder):
     )
 
 
-@query("session_filters_distinct")
+@query(
+    "session_filters_distinct",
+    f"""WITH t AS ({TURNS}), s AS (SELECT *, CAST(sum(CASE WHEN NOT follow_up AND flt IS NOT NULL
+            THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING)
+            AS BIGINT) AS segment FROM t),
+        p AS (SELECT t.session_id, t.turn, t.segment, f.flt, max(f.turn) AS last FROM s t LEFT JOIN s f
+            ON t.session_id = f.session_id AND t.segment = f.segment AND f.turn <= t.turn AND f.flt IS NOT NULL
+            GROUP BY ALL)
+        SELECT session_id, turn, segment, count(flt)::INTEGER AS kept,
+          coalesce(string_agg(flt || '@' || last, ',' ORDER BY last), '') AS held FROM p GROUP BY ALL""",
+)
 def session_filters_distinct(spark, folder):
     turns = _turns(spark, folder)
     one = F.struct(F.col("flt").alias("field"), F.col("turn").cast("string").alias("value"))
     filters = F.array_compact(F.array(F.when(F.col("flt").isNotNull(), one)))
     found = sessions.session_filters(turns.withColumn("filters", filters), distinct_fields=True)
-    return found.select("session_id", "turn", "segment", F.size("accumulated").alias("kept"))
+    held = F.transform("accumulated", lambda f: F.concat(f["field"], F.lit("@"), f["value"]))
+    return found.select(
+        "session_id", "turn", "segment", F.size("accumulated").alias("kept"), F.array_join(held, ",").alias("held")
+    )

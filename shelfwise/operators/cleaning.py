@@ -16,8 +16,13 @@ from shelfwise.operators.profiling import is_text, text_columns
 def trim_columns(
     df: DataFrame, columns: Sequence[str] | None = None, collapse: bool = False
 ) -> DataFrame:
-    """Trim text columns and turn null words into nulls, in one projection."""
+    """Trim text columns and turn null words into nulls, in one projection.
+
+    A column that the table does not have is an error; one that holds no text stays."""
     wanted = set(text_columns(df) if columns is None else columns)
+    unknown = sorted(wanted - set(df.columns))
+    if unknown:
+        raise ValueError(f"no column {unknown} to trim among {df.columns}")
     return df.select(
         *[
             clean_text(name_col(c), collapse).alias(c)

@@ -145,8 +145,18 @@ def sell_through(
     )
 
 
-def category_metrics(df: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
-    """Revenue, order rows and average per category, highest revenue first."""
+def _categories(sums: DataFrame, ordered: bool) -> DataFrame:
+    found = sums.select(
+        "category", "revenue", "order_count",
+        ratio2(F.col("revenue"), F.col("order_count")).alias("aov"),
+    )
+    return found.orderBy(F.desc("revenue"), F.asc("category")) if ordered else found
+
+
+def category_metrics(
+    df: DataFrame, columns: Mapping[str, str] | None = None, ordered: bool = False
+) -> DataFrame:
+    """Revenue, order rows and average per category; highest revenue first if ``ordered``."""
     category = require_role(df.columns, "category", columns)
     revenue = require_role(df.columns, "category_revenue", columns)
     key = name_col(category)
@@ -158,10 +168,47 @@ def category_metrics(df: DataFrame, columns: Mapping[str, str] | None = None) ->
             F.count(F.lit(1)).alias("order_count"),
         )
     )
-    return sums.select(
-        "category", "revenue", "order_count",
-        ratio2(F.col("revenue"), F.col("order_count")).alias("aov"),
-    ).orderBy(F.desc("revenue"), F.asc("category"))
+    return _categories(sums, ordered)
+
+
+def category_metrics_of(
+    items: DataFrame,
+    products: DataFrame,
+    key: str = "product_id",
+    columns: Mapping[str, str] | None = None,
+    ordered: bool = False,
+) -> DataFrame:
+    """The same for lines that name a product whose category stands in another table.
+
+    Lines are summed per product before the join, so that it takes a row per
+    product, and a product of very many lines is no hot key in it. Lines of an
+    unknown product or category are left out; a product that ``products`` lists
+    more than once counts once for each.
+    """
+    category = require_role(products.columns, "category", columns)
+    revenue = require_role(items.columns, "category_revenue", columns)
+    lines = items.groupBy(name_col(key).alias("__key")).agg(
+        F.sum(money_of(items, revenue)).cast("decimal(38,6)").alias("amount"), F.count(F.lit(1)).alias("lines")
+    )
+    named = products.select(name_col(key).alias("__key"), name_col(category).cast("string").alias("category"))
+    sums = (
+        lines.join(named.where("category IS NOT NULL"), "__key").groupBy("category")
+        .agg(money_sum(F.col("amount")).alias("revenue"), F.sum("lines").alias("order_count"))
+    )
+    return _categories(sums, ordered)
+
+
+def costed_items(
+    items: DataFrame, products: DataFrame, key: str = "product_id", revenue: str = "revenue", units: str = "units"
+) -> DataFrame:
+    """(revenue, cost_of_goods), a row per product, for ``margin_metrics``: lines are summed before they meet the cost."""
+    sums = items.groupBy(name_col(key).alias("__key")).agg(
+        F.sum(money_of(items, revenue)).cast("decimal(30,6)").alias("revenue"),
+        F.sum(number_of(items, units).cast("decimal(18,4)")).cast("decimal(24,4)").alias("units"),
+    )
+    costs = products.select(name_col(key).alias("__key"), name_col("cost").cast("decimal(14,4)").alias("cost"))
+    goods = (F.col("units") * F.col("cost")).cast("decimal(30,6)")
+    return sums.join(costs, "__key").select("revenue", goods.alias("cost_of_goods"))
 
 
 def margin_metrics(

@@ -194,9 +194,9 @@ def health_factors(scored: DataFrame) -> DataFrame:
 
 
 def customer_segments(
-    orders: DataFrame, columns: Mapping[str, str] | None = None, recency: bool = False
+    orders: DataFrame, columns: Mapping[str, str] | None = None, recency: bool = False, ordered: bool = False
 ) -> DataFrame:
-    """Order count, spend and segment per customer, highest spend first.
+    """Order count, spend and segment per customer; highest spend first if ``ordered``.
 
     ``recency`` adds, as an extension, the days between a customer's last
     order and the last order of the table.
@@ -229,4 +229,4 @@ def customer_segments(
     if recency:
         last = result.agg(F.max("last_order")).scalar()
         result = result.withColumn("recency_days", F.datediff(last, "last_order")).drop("last_order")
-    return result.orderBy(F.desc("monetary_spend"), F.asc("customer_id"))
+    return result.orderBy(F.desc("monetary_spend"), F.asc("customer_id")) if ordered else result

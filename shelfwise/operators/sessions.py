@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 100_000
+BLOCK = 1_000
 
 
 def running_sums(
@@ -51,6 +51,17 @@ def running_sums(
     return summed.drop("__block", "__b", *extra, *[f"__{k}" for k in keys])
 
 
+def _last_of_each_field(lists: Column, empty: Column) -> Column:
+    """Lists of filters (structs with a ``field``) in order, folded into one: a
+    list takes the place of all earlier filters on the fields it names."""
+
+    def fold(held, more):
+        older = F.filter(held, lambda h: ~F.exists(more, lambda m: m["field"].eqNullSafe(h["field"])))
+        return F.concat(older, more)
+
+    return F.aggregate(lists, empty, fold)
+
+
 def session_filters(
     turns: DataFrame, block: int = BLOCK, distinct_fields: bool = False
 ) -> DataFrame:
@@ -60,49 +71,52 @@ def session_filters(
     follow-up adds its filters to what is accumulated; another turn replaces
     it if it has filters and leaves it if it has none. A segment starts at
     each replacement. ``distinct_fields`` keeps, of filters (structs with a
-    ``field``), only those of the last turn that names a field.
+    ``field``), only those of the last turn that names a field; null fields are
+    one field.
 
-    Lists are built over the turns that have filters only, so the work of a
-    list is its own length; every turn then takes the list that holds at the
-    last such turn before it. Many turns of one session that share a list are
-    an ordinary skewed join, which AQE splits.
+    What a turn holds is an associative fold, so it is taken in two levels:
+    over the turns of a block of a session, then over the blocks' last values.
+    ``block`` is how many turn numbers a block spans; a session of any length is
+    no one task's work but for one row per block. Turns are shuffled once by
+    block, the block values once by session and once back.
     """
     kind = turns.schema["filters"].dataType
-    own = F.coalesce("filters", F.array().cast(kind))
-    df = turns.withColumn("filters", own)
-    has_own = F.size("filters") > 0
-    numbered = running_sums(
-        df,
-        ["session_id"],
-        F.floor(F.col("turn") / block),
-        [F.col("turn")],
-        {
-            "__given": has_own.cast("bigint"),
-            "segment": (~F.col("follow_up") & has_own).cast("bigint"),
-        },
-    )
-    giving = numbered.where(has_own)
-    upto = Window.partitionBy("session_id", "segment").orderBy("turn").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    if distinct_fields:
-        tagged = F.transform("filters", lambda f: F.struct(F.col("turn").alias("turn"), f.alias("f")))
-        giving = giving.withColumn("__tagged", F.flatten(F.collect_list(tagged).over(upto)))
-        latest = F.filter(
-            "__tagged",
-            lambda x: ~F.exists(
-                "__tagged",
-                lambda y: (y["f"]["field"] == x["f"]["field"]) & (y["turn"] > x["turn"]),
-            ),
-        )
-        held = F.transform(latest, lambda x: x["f"])
-    else:
-        held = F.flatten(F.collect_list("filters").over(upto))
-    lists = giving.select(
-        F.col("session_id").alias("__session"), F.col("__given").alias("__at"), held.alias("accumulated")
-    )
-    same = F.col("session_id").eqNullSafe(F.col("__session")) & (F.col("__given") == F.col("__at"))
-    joined = numbered.join(lists, same, "left").drop("__session", "__at", "__given")
-    result = joined.withColumn("accumulated", F.coalesce("accumulated", F.array().cast(kind)))
+    empty = F.array().cast(kind)
+
+    def folded(lists):
+        return _last_of_each_field(lists, empty) if distinct_fields else F.flatten(lists)
+
+    key = ["session_id", "__block"]
+    own = F.coalesce("filters", empty)
+    df = turns.withColumns({"filters": own, "__block": F.floor(F.col("turn") / block)})
+    filled = F.size("filters") > 0
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*key).orderBy("turn").rowsBetween(*upto)
+    replaced = (~F.col("follow_up") & filled).cast("bigint")
+    local = df.withColumn("__resets", F.sum(replaced).over(within))
+    part = Window.partitionBy(*key, "__resets").orderBy("turn").rowsBetween(*upto)
+    local = local.withColumn("__lists", F.collect_list(F.when(filled, F.col("filters"))).over(part))
+
+    # One row per block: how often it replaced, and what it holds at its end.
+    last = local.groupBy(*key).agg(F.max_by(F.struct("__resets", "__lists"), "turn").alias("e"))
+    ends = last.select(*key, F.col("e.__resets").alias("__n"), folded(F.col("e.__lists")).alias("__end"))
+    before = Window.partitionBy("session_id").orderBy("__block")
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({
+        "__shift": F.coalesce(F.sum("__n").over(earlier), F.lit(0)),
+        "__since": F.sum(F.when(F.col("__n") > 0, 1).otherwise(0)).over(before.rowsBetween(*upto)),
+    })
+    since = Window.partitionBy("session_id", "__since").orderBy("__block").rowsBetween(*upto)
+    ends = ends.withColumn("__out", folded(F.collect_list("__end").over(since)))
+    ends = ends.withColumn("__in", F.coalesce(F.lag("__out").over(before), empty))
+    carried = ends.select(F.col("session_id").alias("__s"), F.col("__block").alias("__b"), "__shift", "__in")
+
+    same = F.col("session_id").eqNullSafe(F.col("__s")) & F.col("__block").eqNullSafe(F.col("__b"))
+    joined = local.join(carried, same)
+    held = F.when(F.col("__resets") > 0, F.col("__lists")).otherwise(F.concat(F.array("__in"), F.col("__lists")))
     effective = F.when(F.col("follow_up"), F.col("accumulated")).otherwise(F.col("filters"))
-    return result.withColumn("effective", effective)
+    return (
+        joined.withColumns({"segment": F.col("__resets") + F.col("__shift"), "accumulated": folded(held)})
+        .drop("__block", "__resets", "__lists", "__s", "__b", "__shift", "__in")
+        .withColumn("effective", effective)
+    )

@@ -12,7 +12,7 @@ from shelfwise.operators.cleaning import parse_date_column, parse_number_column,
 from shelfwise.operators.dedup import dedup_by_key, dedup_exact
 from shelfwise.operators.profiling import text_columns
 from shelfwise.operators.variants import harmonize
-from shelfwise.roles import has_role
+from shelfwise.roles import has_role, key_columns
 
 STEP_SCHEMA = T.StructType(
     [
@@ -60,10 +60,16 @@ def build_steps(
     df: DataFrame,
     dataset: str,
     day_first: Mapping[str, bool] | None = None,
+    keys: Mapping[str, tuple[str, ...]] | None = None,
 ) -> list[Step]:
-    """Ordered steps for a table; ``issues`` has a few rows per column at most."""
+    """Ordered steps for a table; ``issues`` has a few rows per column at most.
+
+    A step names its columns in ``affected_fields``, one entry each, so names may
+    hold commas; the parameters repeat them as text for readers.
+    """
     issues = list(issues)
     position = {c: i for i, c in enumerate(df.columns)}
+    keys_by_field = {",".join(k): list(k) for k in key_columns(dataset, df.columns, keys)}
     steps: list[Step] = []
 
     def add(label, fields, reason, parameters=None, suffix=""):
@@ -95,13 +101,11 @@ def build_steps(
             add("standardize_category", [c], f"Give the variants of '{c}' one spelling",
                 {"column": c}, f"_{c}")
     repeated = [i for i in issues if i["issue_type"] == "duplicate_records"]
-    by_key = sorted(
-        (i["field"] for i in repeated if i["field"]),
-        key=lambda f: position.get(f.split(",")[0], len(position)),
-    )
+    found = [keys_by_field.get(i["field"], [i["field"]]) for i in repeated if i["field"]]
+    by_key = sorted(found, key=lambda names: position.get(names[0], len(position)))
     if by_key:
-        add("deduplicate_by_pk", by_key[0].split(","), f"Keep the fullest row per '{by_key[0]}'",
-            {"pk_column": by_key[0]})
+        shown = ",".join(by_key[0])
+        add("deduplicate_by_pk", by_key[0], f"Keep the fullest row per '{shown}'", {"pk_column": shown})
     elif repeated:
         add("deduplicate_exact_rows", df.columns, "Drop rows that repeat another row")
     return steps
@@ -115,7 +119,7 @@ def _apply(df: DataFrame, step: Step) -> DataFrame | None:
     p = step.parameters
     kind = step.transformation_type
     if kind == "strip_whitespace":
-        return trim_columns(df, p["columns"].split(","))
+        return trim_columns(df, step.affected_fields)
     if kind == "parse_currency_numeric":
         return parse_number_column(df, p["column"])
     if kind == "standardize_dates":
@@ -126,7 +130,7 @@ def _apply(df: DataFrame, step: Step) -> DataFrame | None:
     if kind == "deduplicate_exact":
         return dedup_exact(df)
     if kind == "deduplicate_by_pk":
-        return dedup_by_key(df, p["pk_column"].split(","), p.get("null_keys", "keep"))
+        return dedup_by_key(df, step.affected_fields, p.get("null_keys", "keep"))
     return None
 
 

@@ -47,7 +47,7 @@ def plan_and_apply(
     signals = issue_signals(df).collect()
     issues = detect_issues(df, dataset, keys, signals=signals).collect()
     day_first = {s["column"]: s["day_first"] for s in signals}
-    steps = build_steps(issues, df, dataset, day_first)
+    steps = build_steps(issues, df, dataset, day_first, keys)
     clean, done = apply_steps(df, steps)
     return clean, issues, done
 

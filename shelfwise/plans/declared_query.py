@@ -22,6 +22,7 @@ from shelfwise.operators.filters import (
     OPERATOR_ALIASES,
     OPERATORS,
     grouped,
+    metric,
     metric_name,
     predicate,
     sort_columns,
@@ -29,6 +30,7 @@ from shelfwise.operators.filters import (
     totals,
 )
 from shelfwise.operators.joins import JOIN_TYPES, join_diagnostics, key_join
+from shelfwise.session import stage
 from shelfwise.sources.tables import presentable
 
 # A metric with one of these in its name is shown as money.
@@ -125,13 +127,8 @@ def _result(df: DataFrame, spec: Mapping) -> DataFrame:
     return totals(df, metrics) if metrics else df
 
 
-def run_query(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
-    """The sorted result, floats at two decimals: all rows, or as many as ``limit`` says.
-
-    ``filters.clamp_limit`` bounds a limit for callers that want one bounded.
-    """
-    check_spec(tables, spec)
-    result = _result(considered_rows(tables, spec), spec)
+def _finished(result: DataFrame, spec: Mapping) -> DataFrame:
+    """Sorted, cut to the limit, floats at two decimals."""
     keys = sort_columns(result, spec.get("sort", []))
     if not keys:
         keys = [name_col(g).asc_nulls_last() for g in spec.get("group_by", [])]
@@ -142,6 +139,15 @@ def run_query(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
     return result.select(*[presentable(result, c) for c in result.columns])
 
 
+def run_query(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
+    """The sorted result, floats at two decimals: all rows, or as many as ``limit`` says.
+
+    ``filters.clamp_limit`` bounds a limit for callers that want one bounded.
+    """
+    check_spec(tables, spec)
+    return _finished(_result(considered_rows(tables, spec), spec), spec)
+
+
 def columns_used(spec: Mapping) -> list[str]:
     used = {f["field"] for f in spec.get("filters", [])} | set(spec.get("group_by", []))
     used |= {m["field"] for m in spec.get("metrics", [])}
@@ -150,38 +156,58 @@ def columns_used(spec: Mapping) -> list[str]:
     return sorted(used)
 
 
-def _counted(current: DataFrame, spec: Mapping) -> DataFrame:
-    """One row from one pass over the joined rows: filter0, ..., considered, returned."""
-    kept, counts = F.lit(True), {}
+def _counted_result(current: DataFrame, spec: Mapping) -> tuple[DataFrame, DataFrame]:
+    """The result, and one row of counts: loaded, filter0, ..., considered, returned.
+
+    Both come out of one pass over the joined rows: one aggregate per group
+    carries the counts beside the metrics, with the rows that pass all filters
+    apart from those that do not. Its rows, two per group at most, are staged.
+    A result of plain rows is aggregated by nothing, so it takes a second pass.
+    """
+    groups, metrics = spec.get("group_by", []), spec.get("metrics", [])
+    kept, counts = F.lit(True), {"loaded": F.lit(True)}
     for i, test in enumerate(_tests(current, spec)):
         kept = kept & F.coalesce(test, F.lit(False))
         counts[f"filter{i}"] = kept
     counts["considered"] = kept
-    groups, metrics = spec.get("group_by", []), spec.get("metrics", [])
-    stages = [F.count_if(c).alias(n) for n, c in counts.items()]
-    if groups:
-        # Groups first: their number and the sums over them come from the same rows.
-        per_group = current.groupBy(*[name_col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(*stages)
-        seen = F.col("considered") > 0
-        if metrics and not spec.get("keep_null_groups", False):
-            for i in range(len(groups)):
-                seen = seen & F.col(f"__g{i}").isNotNull()
-        facts = per_group.agg(
-            *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts], F.count_if(seen).alias("returned")
-        )
-    else:
-        facts = current.agg(*stages)
-        facts = facts.withColumn("returned", F.lit(1).cast("bigint") if metrics else F.col("considered"))
-    if spec.get("limit") is not None:
-        facts = facts.withColumn("returned", F.least("returned", F.lit(int(spec["limit"])).cast("bigint")))
-    return facts
+    counting = [F.count_if(c).alias(f"__{n}") for n, c in counts.items()]
+    if not groups and not metrics:
+        facts = current.agg(*[c.alias(n) for n, c in zip(counts, counting)]).withColumn("returned", F.col("considered"))
+        return _finished(reduce(DataFrame.where, _tests(current, spec), current), spec), _limited(facts, spec)
+    measure = (lambda m: metric(current, m["agg"], m["field"])) if groups else (lambda m: total(current, m))
+    both = stage(
+        current.groupBy(*[name_col(g).alias(f"__g{i}") for i, g in enumerate(groups)], kept.alias("__kept"))
+        .agg(*counting, *[measure(m).alias(f"__m{i}") for i, m in enumerate(metrics)]),
+        "query-groups",
+    )
+    keys = [F.col(f"__g{i}") for i in range(len(groups))]
+    seen = F.col("__kept")
+    if metrics and not spec.get("keep_null_groups", False):
+        seen = reduce(Column.__and__, [k.isNotNull() for k in keys], seen)
+    rows = both.where(seen)
+    names = [metric_name(m["agg"], m["field"], m.get("alias")) for m in metrics]
+    rows = rows.select(
+        *[k.alias(g) for k, g in zip(keys, groups)], *[F.col(f"__m{i}").alias(n) for i, n in enumerate(names)]
+    )
+    if not groups and rows.isEmpty():
+        rows = totals(current.where("false"), metrics)  # no row passed: nothing is read
+    returned = F.count_if(seen) if groups else F.lit(1).cast("bigint")
+    facts = both.agg(*[F.coalesce(F.sum(f"__{n}"), F.lit(0)).alias(n) for n in counts], returned.alias("returned"))
+    return _finished(rows, spec), _limited(facts, spec)
+
+
+def _limited(facts: DataFrame, spec: Mapping) -> DataFrame:
+    if spec.get("limit") is None:
+        return facts
+    return facts.withColumn("returned", F.least("returned", F.lit(int(spec["limit"])).cast("bigint")))
 
 
 def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
     """One row that tells what the query read, did and found.
 
-    All row counts come from one pass over the joined rows, join sizes from key
-    counts; the steps are not run one by one. ``joins`` holds the diagnostics
+    Row counts and the result come from one pass over the joined rows, join
+    sizes from key counts; the steps are not run one by one. One job runs, which
+    keeps the aggregated groups. ``joins`` holds the diagnostics
     with their warning, ``preview`` the first rows of the result as JSON, at
     most ``MAX_LIMIT``, and ``scalar_answer`` the value of a single metric.
     """
@@ -189,7 +215,7 @@ def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
     dataset = spec["dataset"]
     base = tables[dataset]
     joins, filters = spec.get("joins", []), spec.get("filters", [])
-    facts: list[DataFrame] = [base.agg(F.count(F.lit(1)).cast("string").alias("loaded"))]
+    facts: list[DataFrame] = []
     current = base
     for i, j in enumerate(joins):
         how = j.get("how", "inner")
@@ -197,9 +223,8 @@ def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
         facts.append(found.select(*[F.col(c).cast("string").alias(f"{c}{i}") for c in found.columns]))
         current = key_join(current, tables[j["dataset"]], j["left_on"], j["right_on"], how,
                            right_name=j["dataset"])
-    counted = _counted(current, spec)
+    result, counted = _counted_result(current, spec)
     facts.append(counted.select(*[F.col(c).cast("string").alias(c) for c in counted.columns]))
-    result = run_query(tables, spec)
     metrics = spec.get("metrics", [])
     scalar = len(metrics) == 1 and not spec.get("group_by")
     row = F.to_json(F.struct(*[name_col(c) for c in result.columns]), {"ignoreNullFields": "false"})
@@ -223,7 +248,7 @@ def evidence(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
     def fact(name):
         return F.col("m")[name]
 
-    operations = [F.format_string(f"LOAD {dataset} (%s rows)", fact("loaded"))]
+    operations = [F.format_string(f"LOAD {dataset} (%s rows)", fact("rows_left0" if joins else "loaded"))]
     performed = []
     for i, j in enumerate(joins):
         text = f"JOIN {j['dataset']} ON {j['left_on']} = {j['right_on']} (%s rows, fan-out %sx)"
@@ -318,11 +343,11 @@ def _scalar_answer(rows: DataFrame, dataset: str, m: Mapping) -> DataFrame:
 
 def _table_answer(tables: Mapping[str, DataFrame], spec: Mapping) -> DataFrame:
     dataset, groups = spec["dataset"], spec.get("group_by", [])
-    result = run_query(tables, spec)
+    result, counts = _counted_result(joined_table(tables, spec), spec)
     names = result.columns
     # One row of the order of the query, and the counts from one pass.
     first = result.limit(1).select(F.struct(*[shown_text(result, c).alias(f"c{i}") for i, c in enumerate(names)]).alias("top"))
-    counts = _counted(joined_table(tables, spec), spec).select("considered", F.col("returned").alias("shown"))
+    counts = counts.select("considered", F.col("returned").alias("shown"))
     facts = first.unionByName(counts, allowMissingColumns=True).agg(
         F.max("shown").alias("shown"),
         F.first("top", ignorenulls=True).alias("top"),

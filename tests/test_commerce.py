@@ -238,3 +238,45 @@ def test_expectations(spark):
     )
     found = {r.q: r.expected_match for r in match_expectations(results, expected, ["q"]).collect()}
     assert found == {1: True, 2: False, 3: False}
+
+
+def spelled(terms, seed):
+    import random
+
+    rng = random.Random(seed)
+    out = [None, "", "  ", "Zzz", *terms]
+    for term in terms:
+        typo = list(term)
+        typo[rng.randrange(len(typo))] = "x"
+        out += ["".join(typo), f" {term.upper()} ", f"big {term}, new", f"{term}s {rng.choice(list(terms))}", f"un{term}able"]
+    return out
+
+
+@pytest.mark.parametrize("kind, match, fuzzy", [("category", "longest", True), ("category", "first", True), ("category", "first", False), ("brand", "first", True)])
+def test_taxonomy_table_equals_the_columns(spark, kind, match, fuzzy):
+    from shelfwise.operators import normalization, taxonomy
+
+    terms = normalization.CATEGORY_TERMS if kind == "category" else normalization.BRAND_TERMS
+    table = spark.createDataFrame([(t, n, i) for i, (t, n) in enumerate(terms.items())], "term string, name string, place int")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(spelled(terms, 3))], "id int, raw string")
+    got = taxonomy.normalize_by(df, "raw", table, kind, match, fuzzy)
+    if kind == "category":
+        want = normalization.normalize_category(F.col("raw"), match=match, fuzzy=fuzzy)
+    else:
+        want = normalization.normalize_brand(F.col("raw"), fuzzy=fuzzy)
+    want = df.select("id", "raw", want.alias("n")).select("id", "raw", "n.*")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_taxonomy_of_many_terms(spark):
+    """The plan does not grow with the terms; a repeated term takes its earliest row."""
+    from shelfwise.operators import taxonomy
+
+    rows = [(f"term {i}", f"Name {i}", i) for i in range(5_000)] + [("term 7", "Later", 9_999)]
+    table = spark.createDataFrame(rows, "term string, name string, place int")
+    df = spark.createDataFrame([("a term 7 thing",), ("TERM 4999",), ("nothing",)], "raw string")
+    got = taxonomy.normalize_by(df, "raw", table, fuzzy=False)
+    assert {r.raw: (r.raw_value, r.raw_confidence) for r in got.collect()} == {
+        "a term 7 thing": ("Name 7", 0.9), "TERM 4999": ("Name 4999", 1.0), "nothing": ("Nothing", 0.6),
+    }
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 30_000

@@ -132,12 +132,26 @@ def test_failing_and_unknown_steps(spark):
         Step(1, "s1", "r", ["x"], "low", "standardize_dates", {"column": "x", "day_first": "false", "output_format": "yyyy"}),
         Step(2, "s2", "r", ["y"], "low", "deduplicate_by_pk", {"pk_column": "missing"}),
         Step(3, "s3", "r", ["x"], "low", "no_such_kind", {}),
+        Step(4, "s4", "r", ["z"], "low", "strip_whitespace", {"columns": "z"}),
     ]
     result, done = apply_steps(df, steps)
-    assert [s.status for s in done] == ["applied", "failed", "skipped"]
+    assert [s.status for s in done] == ["applied", "failed", "skipped", "failed"]
     assert "[Error:" in done[1].reason and result.count() == 1
 
 
+def test_names_with_commas(spark):
+    """Columns are lists throughout: trimmed, and deduplicated by a key of two such columns."""
+    df = spark.createDataFrame([("k, 1", " a ", "1"), ("k, 1", "a", None), ("k2", " b", "2")], ["id, no", "name, full", "v"])
+    run = run_cleaning(df, "orders", keys={"orders": ("id, no", "name, full")})
+    assert {s.transformation_type: s.affected_fields for s in run.steps} == {
+        "strip_whitespace": ["id, no", "name, full", "v"],
+    }
+    assert sorted(tuple(r)[1] for r in run.clean.collect()) == ["a", "a", "b"]
+    again = run_cleaning(run.clean, "orders", keys={"orders": ("id, no", "name, full")})
+    assert [s.affected_fields for s in again.steps if s.transformation_type == "deduplicate_by_pk"] == [["id, no", "name, full"]]
+    assert sorted(tuple(r) for r in again.clean.collect()) == [("k, 1", "a", "1"), ("k2", "b", "2")]
+
+
 def test_report_isolates_errors(spark):
     good = spark.createDataFrame([("O1", "$1.00", "2024-01-01", "A")], ORDER_COLUMNS)
     bad = good.withColumn("price", F.raise_error(F.lit("broken")).cast("string"))
