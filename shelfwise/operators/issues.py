@@ -20,6 +20,7 @@ from shelfwise.functions.text import name_col, strip
 from shelfwise.operators.dedup import duplicate_keys
 from shelfwise.operators.frequency import duplicate_groups, per_column, value_counts
 from shelfwise.operators.profiling import BOOLEAN_WORDS, is_text
+from shelfwise.operators.shapes import shape_counts
 from shelfwise.operators.variants import (
     SUSPECT_RATIO,
     case_variants,
@@ -82,58 +83,53 @@ def flagged_samples(df: DataFrame, wanted: Sequence[tuple[str, str]], k: int | N
 
 
 def issue_signals(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column with all counts the column rules need, from one scan."""
+    """One row per column with all counts the column rules need, from its value shapes."""
     columns = list(df.columns if columns is None else columns)
-    no = F.lit(False)
-
-    def shared(column):
-        c = name_col(column)
-        if not is_text(df, column):
-            return {"f": c.isNotNull()}
-        return {
-            "v": c,
-            "t": strip(c),
-            "digit": c.rlike(r"\d"),
-            "money": c.rlike(CURRENCY_ANY),
-        }
-
-    def prepare(column, common):
-        if not is_text(df, column):
-            return {k: no for k in ("w", "c", "a", "b", "m", "n", "s", "u", "t")} | {
-                "f": common["f"],
-            }
-        c, trimmed, digit, money = (common[k] for k in ("v", "t", "digit", "money"))
-        dated = has_role(column, "issue_date")
-        return {
-            "f": c.isNotNull(),
-            "w": c != trimmed,
-            "c": money & looks_like_currency(c),
-            "a": money,
-            "b": F.lower(trimmed).isin(*BOOLEAN_WORDS),
-            "m": digit & to_number(c).isNotNull(),
-            "n": digit & c.rlike(DASH_LAYOUT) if dated else no,
-            "s": digit & c.rlike(SLASH_LAYOUT) if dated else no,
-            "u": digit & first_part_over_12(trimmed) if dated else no,
-            "t": digit & to_iso_date(trimmed).isNotNull() if dated else no,
-        }
+    text = [c for c in columns if is_text(df, c)]
+    dates = [c for c in text if has_role(c, "issue_date")]
+    counted = shape_counts(df, columns, text, dates)
+    c, n = F.col("shape"), F.col("n")
+    dated, named = F.col("column").isin(dates or [""]), F.col("column").isin(text or [""])
+    trimmed, no = strip(c), F.lit(False)
+    # Tests that others need come first, so that each is made once per shape.
+    shapes = counted.select("column", "shape", "n", "binary").withColumns({
+        "trimmed": trimmed, "digit": named & c.rlike(r"\d"), "money": named & c.rlike(CURRENCY_ANY),
+    })
+    digit, money, trimmed = F.col("digit"), F.col("money"), F.col("trimmed")
+    # 0 and 1 are truth words too; a shape does not tell them from other digits.
+    word = named & F.lower(trimmed).isin(*[w for w in BOOLEAN_WORDS if not w.isdigit()])
+    flags = {
+        "value_count": c.isNotNull(),
+        "padded_count": named & (c != trimmed),
+        "currency_count": money,
+        "number_count": digit & to_number(c).isNotNull(),
+        "dash_count": dated & digit & c.rlike(DASH_LAYOUT),
+        "slash_count": dated & digit & c.rlike(SLASH_LAYOUT),
+        "date_count": F.when(dated & digit, to_iso_date(trimmed).isNotNull()),
+    }
+    tested = shapes.select(
+        "column", "n", "binary", word.alias("word"), (money & looks_like_currency(c)).alias("has_currency"),
+        F.when(dated & digit, first_part_over_12(trimmed)).alias("day_first"), *[f.alias(k) for k, f in flags.items()],
+    )
 
-    def aggregate(column, v):
-        return {
-            "is_text": F.lit(is_text(df, column)),
-            "row_count": F.count(F.lit(1)),
-            "value_count": F.count_if(v["f"]),
-            "padded_count": F.count_if(v["w"]),
-            "has_currency": F.coalesce(F.bool_or(v["c"]), no),
-            "currency_count": F.count_if(v["a"]),
-            "boolean_count": F.count_if(v["b"]),
-            "number_count": F.count_if(v["m"]),
-            "dash_count": F.count_if(v["n"]),
-            "slash_count": F.count_if(v["s"]),
-            "day_first": F.coalesce(F.bool_or(v["u"]), no),
-            "date_count": F.count_if(v["t"]),
-        }
-
-    return per_column(df, columns, prepare, aggregate, shared)
+    def rows(flag):
+        return F.coalesce(F.sum(F.when(F.col(flag), n)), F.lit(0).cast("bigint"))
+
+    return tested.groupBy("column").agg(
+        F.sum("n").alias("row_count"),
+        rows("value_count").alias("value_count"),
+        rows("padded_count").alias("padded_count"),
+        F.coalesce(F.bool_or("has_currency"), no).alias("has_currency"),
+        rows("currency_count").alias("currency_count"),
+        (rows("word") + F.sum("binary")).alias("boolean_count"),
+        *[rows(k).alias(k) for k in ("number_count", "dash_count", "slash_count")],
+        F.coalesce(F.bool_or("day_first"), no).alias("day_first"),
+        rows("date_count").alias("date_count"),
+    ).select(
+        "column", named.alias("is_text"),
+        "row_count", "value_count", "padded_count", "has_currency", "currency_count", "boolean_count", "number_count",
+        "dash_count", "slash_count", "day_first", "date_count",
+    )
 
 
 def _counted_samples(groups: DataFrame) -> DataFrame:

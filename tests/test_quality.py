@@ -172,3 +172,38 @@ def test_sources(spark, tmp_path):
     assert shown.x is None and shown.i == 1
     tables.register_versions("t", df, df)
     assert spark.table("t_raw").count() == spark.table("t_clean").count() == 2
+
+
+def test_signals_of_shapes_equal_those_of_values(spark):
+    """Every rule, asked of shapes and of the values themselves."""
+    import random
+
+    from shelfwise.functions.dates import DASH_LAYOUT, SLASH_LAYOUT, first_part_over_12, to_iso_date
+    from shelfwise.functions.numbers import CURRENCY_ANY, looks_like_currency, to_number
+    from shelfwise.functions.text import strip
+
+    r = random.Random(6)
+    values = [
+        None, "", " ", "0", "1", " 1 ", "10", "yes", " No ", "TRUE", "falsey", "t", "1e5", "1E+300", "12e", "e", "(12.50)", "( 3)", "-(3)",
+        "$1,234.50", "1,2", "12-", "+.5", "5.", "1.2.3", "2024-01-02", "2024-1-2 10:00", "13/01/2024", "1/2/24", "31/31/2024", "20240102",
+        "1700000000", "Jan 5, 2024", "5 Feb 2024", "abc def 12", "٥", "12%", "€ 5", "1-2", "12:30", "x" * 40, "9" * 40, "9e9999",
+    ]
+    values += ["".join(r.choice("01239 eEaZ$,.()-/%") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(v, v, None if v is None else 1) for v in values], "code string, order_date string, n int")
+    got = {s["column"]: s.asDict() for s in issues.issue_signals(df).collect()}
+    assert set(got) == {"code", "order_date", "n"} and got["n"]["value_count"] == len(values) - 1 and not got["n"]["is_text"]
+    for column in ("code", "order_date"):
+        c = F.col(column)
+        digit, dated = c.rlike(r"\d"), F.lit(column == "order_date")
+        words = [w for w in profiling.BOOLEAN_WORDS]
+        want = df.agg(
+            F.count("*").alias("row_count"), F.count(c).alias("value_count"), F.count_if(c != strip(c)).alias("padded_count"),
+            F.bool_or(c.rlike(CURRENCY_ANY) & looks_like_currency(c)).alias("has_currency"),
+            F.count_if(c.rlike(CURRENCY_ANY)).alias("currency_count"), F.count_if(F.lower(strip(c)).isin(*words)).alias("boolean_count"),
+            F.count_if(digit & to_number(c).isNotNull()).alias("number_count"),
+            F.count_if(dated & digit & c.rlike(DASH_LAYOUT)).alias("dash_count"),
+            F.count_if(dated & digit & c.rlike(SLASH_LAYOUT)).alias("slash_count"),
+            F.bool_or(dated & digit & first_part_over_12(strip(c))).alias("day_first"),
+            F.count_if(dated & digit & to_iso_date(strip(c)).isNotNull()).alias("date_count"),
+        ).first().asDict()
+        assert {k: got[column][k] for k in want} == want
