@@ -1,4 +1,4 @@
-"""Queries over a taxonomy that is a table."""
+"""Queries over names: by a taxonomy that is a table, and pairs of similar ones."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfwise.catalog import sql
 from shelfwise.catalog.inputs import table
 from shelfwise.catalog.registry import query
-from shelfwise.operators import taxonomy
+from shelfwise.operators import taxonomy, variants
 
 # A taxonomy out of the table itself: each product name and each of its last words.
 _TERMS = """
@@ -82,3 +82,19 @@ def taxonomy_category_first(spark, folder):
 @query("taxonomy_brand", _sql("brand", "first"))
 def taxonomy_brand(spark, folder):
     return _normalized(spark, folder, "brand", "first")
+
+
+_NAMES = "SELECT DISTINCT lower(trim(raw)) AS key FROM (" + _SPELLED + ") x WHERE raw IS NOT NULL"
+
+
+@query(
+    "similar_names",
+    f"""WITH k AS ({_NAMES.format(part='part')}), p AS (SELECT x.key AS a, y.key AS b,
+            1.0::DOUBLE - levenshtein(x.key, y.key)::DOUBLE / greatest(length(x.key), length(y.key)) AS ratio
+          FROM k x JOIN k y ON x.key < y.key AND abs(length(x.key) - length(y.key)) <= 2)
+        SELECT * FROM p WHERE ratio >= 0.82""",
+)
+def similar_names(spark, folder):
+    keys = spark.sql(_NAMES.format(part="{part}"), part=table(spark, folder, "part"))
+    pairs = variants.similar_keys(keys.withColumn("grp", F.lit(0)), 0.82, measure="levenshtein")
+    return pairs.select("a", "b", "ratio")

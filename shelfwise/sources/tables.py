@@ -115,10 +115,14 @@ def preview(df: DataFrame, order_by: Sequence[Column | str], limit: int = PREVIE
 
 
 def append_audit(evidence: DataFrame, path: str, session_id: str, turn: int) -> None:
-    """Append one answered query to the audit table. Each append adds files and
-    rewrites none; partitioned by session, so a history reads only its own."""
+    """Add one answered query to the audit table, keyed by session and turn.
+
+    An append replaces its own key's files and touches no others, so one that is
+    tried again leaves one row. A history reads its own session's folders only.
+    """
     tagged = evidence.withColumns({"session_id": F.lit(session_id), "turn": F.lit(turn)})
-    tagged.write.mode("append").partitionBy("session_id").parquet(path)
+    keyed = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    keyed.partitionBy("session_id", "turn").parquet(path)
 
 
 def session_history(spark: SparkSession, path: str, session_id: str) -> DataFrame:
