@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("profiling", "quality", "joining", "querying", "commerce", "taxonomies", "texts")
+AREAS = ("profiling", "quality", "joining", "querying", "commerce", "taxonomies", "asking", "texts")
 
 
 def load():

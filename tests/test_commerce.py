@@ -280,3 +280,21 @@ def test_taxonomy_of_many_terms(spark):
         "a term 7 thing": ("Name 7", 0.9), "TERM 4999": ("Name 4999", 1.0), "nothing": ("Nothing", 0.6),
     }
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 30_000
+
+
+def test_session_specs_inherit_filters():
+    from shelfwise.plans.session_run import carried_specs
+
+    def spec(*filters):
+        return {"dataset": "t", "filters": [{"field": f, "op": "eq", "value": v} for f, v in filters]}
+
+    turns = [
+        {"spec": spec(("a", 1))}, {"spec": spec(("b", 2)), "follow_up": True}, {"spec": spec()}, {"spec": spec(("a", 3)), "follow_up": True},
+        {"spec": spec(("c", 4))}, {"spec": spec(), "follow_up": True},
+    ]
+
+    def held(**options):
+        return [[(f["field"], f["value"]) for f in s["filters"]] for s in carried_specs(turns, **options)]
+
+    assert held() == [[("a", 1)], [("a", 1), ("b", 2)], [], [("a", 1), ("b", 2), ("a", 3)], [("c", 4)], [("c", 4)]]
+    assert held(distinct_fields=True)[3] == [("b", 2), ("a", 3)]
