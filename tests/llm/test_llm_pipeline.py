@@ -68,3 +68,31 @@ def test_stages_on_odd_rows(spark):
         sizes.append(docs.count())
     assert sizes == [7, 4, 3, 3]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 3
+
+
+ELSEWHERE = """
+import importlib.util, os, sys
+sys.path.insert(0, os.environ["TOKENIZERS_AT"])
+spec = importlib.util.spec_from_file_location("entry", sys.argv[1])
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from shelfwise.session import build_session
+spark = build_session("elsewhere", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"})
+for name in sys.argv[3:]:
+    print(name, len(entry.queries()[name](spark, sys.argv[2]).collect()))
+"""
+
+
+def test_started_in_another_folder(tmp_path):
+    """Workers have no copy of the package; collect() runs the functions that count() would leave out."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"TOKENIZERS_AT": str(Path(public_tokenizers.__file__).parent)}
+    names = ["op7_decontamination", "op8_language_id", "op11_source_divergence", "op12_vector_search", "op13_ranked_documents"]
+    run = subprocess.run(
+        [sys.executable, "-c", ELSEWHERE, entry.__file__, FOLDER, *names], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600
+    )
+    assert [line.split()[0] for line in run.stdout.splitlines() if line.startswith("op")] == names, run.stderr[-2000:]
