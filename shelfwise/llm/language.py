@@ -160,7 +160,7 @@ def fit(
         df[id_col].cast("string").alias("id"), df[text_col].cast("string").alias("text"),
         df[lang_col].cast("string").alias("lang"),
     ).where("text <> '' AND lang IS NOT NULL")
-    # One row for each label.
+    # One row for each label; the model on the driver holds a table of bytes for each of them anyway.
     known = rows.groupBy("lang").agg(F.count("*").alias("docs"))
     names = sorted(r["lang"] for r in known.collect())
     if not names:
@@ -171,7 +171,7 @@ def fit(
     order_by = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"))
     size = F.sum(F.octet_length("text")).over(order_by.rowsBetween(Window.unboundedPreceding, -1))
     few = (
-        rows.join(known, "lang").where(share < (2.0 * most + 20) / F.col("docs"))
+        rows.join(F.broadcast(known), "lang").where(share < (2.0 * most + 20) / F.col("docs"))
         .withColumns({"place": F.row_number().over(order_by), "before": F.coalesce(size, F.lit(0))})
         .where((F.col("place") <= most) & (F.col("before") < SAMPLE_BYTES))
     )
