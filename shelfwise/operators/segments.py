@@ -6,12 +6,15 @@ always carries both lengths, so that each bound is that of the very pair.
 
 * Short texts: with ``over`` known, both sides know how many characters they
   lose, so exactly that many deletions make them equal.
-* Longer texts: the longer of two is cut into ``over + 3`` segments. Each
-  character left over spoils one segment at most, so three segments or more
-  occur in the other text, shifted by no more than the characters left over.
-  One segment may therefore be dropped, the most frequent one; of those that
-  stay, two are met. A frequent segment then counts only together with a second
-  frequent one, so a word that many texts share forms no group of its own.
+* Longer texts: the longer of two is cut into up to ``over + 6`` segments. Each
+  character left over spoils one segment at most, so all segments but ``over``
+  occur in the other text, shifted by no more than the characters left over. As
+  many as there are beyond ``over + 1`` may therefore be dropped: the most
+  frequent ones, such as those of a word that many texts share.
+
+Texts that share most of their characters meet in what they share. Where the
+ratio makes nearly all of them similar (numbered names with a long common part),
+the pairs asked for are as many themselves.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of one segment from which it is frequent.
-FREQUENT = 256
+#: Segments cut beyond the fewest, and dropped where most frequent; a segment keeps two characters.
+SPARE = 5
 #: Length up to which texts are cut into segments.
 LONG = 64
 
@@ -75,9 +78,14 @@ def deletion_tokens(keys: DataFrame, ratio: float, gap: int, short: int) -> tupl
     return out[0], out[1]
 
 
+def _fewest(b: Column, ratio: float) -> Column:
+    """Segments of a text of length b of which any partner that is not longer leaves one whole."""
+    return F.floor((1 - ratio) * 2 * b + 1e-9).cast("int") + 1
+
+
 def _cuts(b: Column, ratio: float) -> Column:
-    """Segments of a text of length b: three more than any partner that is not longer can spoil."""
-    return F.floor((1 - ratio) * 2 * b + 1e-9).cast("int") + 3
+    fewest = _fewest(b, ratio)
+    return F.greatest(fewest, F.least(fewest + SPARE, F.floor(b / 2).cast("int")))
 
 
 def _segments(keys: DataFrame, ratio: float, short: int) -> DataFrame:
@@ -113,40 +121,18 @@ def _probes(keys: DataFrame, ratio: float, gap: int, short: int) -> DataFrame:
     return each.where(low <= high).select("grp", "key", "b", "i", F.explode(F.array_distinct(found)).alias("seg"))
 
 
-def _two(rows: Column) -> Column:
-    """All pairs of an array, in its order."""
-    return F.flatten(F.transform(
-        rows, lambda x, n: F.transform(F.slice(rows, n + 2, F.size(rows)), lambda y: F.struct(x.alias("x"), y.alias("y")))
-    ))
-
-
 def segment_tokens(keys: DataFrame, ratio: float, gap: int, short: int) -> tuple[DataFrame, DataFrame]:
-    """(grp, key, b, i, seg, j, other) of the shorter and of the longer side; j is -1 where one segment is enough."""
+    """(grp, key, b, i, seg) of the shorter and of the longer side."""
     place = ["grp", "b", "i", "seg"]
     segments = _segments(keys, ratio, short)
     frequency = segments.groupBy(place).agg(F.count("*").alias("freq"))
-    ranked = (
+    longer = (
         segments.join(frequency, place).groupBy("grp", "key", "b")
         .agg(F.sort_array(F.collect_list(F.struct("freq", "i", "seg"))).alias("s"))
-        # The most frequent segment is not needed.
-        .withColumn("s", F.slice("s", F.lit(1), F.size("s") - 1))
-    )
-    alone = F.transform(F.filter("s", lambda t: t.freq < FREQUENT), lambda t: F.struct(
-        t.i.alias("i"), t.seg.alias("seg"), F.lit(-1).alias("j"), F.lit("").alias("other")))
-    crowd = F.array_sort(F.transform(F.filter("s", lambda t: t.freq >= FREQUENT), lambda t: F.struct(t.i.alias("i"), t.seg.alias("seg"))))
-    both = lambda rows: F.transform(_two(rows), lambda p: F.struct(
-        p.x.i.alias("i"), p.x.seg.alias("seg"), p.y.i.alias("j"), p.y.seg.alias("other")))
-    longer = ranked.select("grp", "key", "b", F.explode(F.concat(alone, both(crowd))).alias("t")).select("grp", "key", "b", "t.*")
-
-    probes = _probes(keys, ratio, gap, short)
-    frequent = frequency.where(F.col("freq") >= FREQUENT).drop("freq")
-    single = probes.withColumns({"j": F.lit(-1), "other": F.lit("")})
-    held = F.array_sort(F.collect_set(F.struct("i", "seg")))
-    pairs = (
-        probes.join(frequent, place, "left_semi").groupBy("grp", "key", "b").agg(held.alias("s"))
-        .select("grp", "key", "b", F.explode(both(F.col("s"))).alias("t")).select("grp", "key", "b", "t.*").where("i < j")
+        .select("grp", "key", "b", F.explode(F.slice("s", F.lit(1), _fewest(F.col("b"), ratio))).alias("t"))
+        .select("grp", "key", "b", "t.i", "t.seg")
     )
-    return single.unionByName(pairs), longer
+    return _probes(keys, ratio, gap, short), longer
 
 
 def candidates(keys: DataFrame, ratio: float, gap: int) -> DataFrame:
@@ -160,6 +146,6 @@ def candidates(keys: DataFrame, ratio: float, gap: int) -> DataFrame:
     met = shorter.alias("x").join(longer.alias("y"), ["grp", "a", "b", "token"]).where("x.key <> y.key")
     out = met.select("grp", F.col("x.key").alias("p"), F.col("y.key").alias("q"))
     shorter, longer = segment_tokens(keys, ratio, gap, short)
-    met = shorter.alias("x").join(longer.alias("y"), ["grp", "b", "i", "seg", "j", "other"]).where("x.key <> y.key")
+    met = shorter.alias("x").join(longer.alias("y"), ["grp", "b", "i", "seg"]).where("x.key <> y.key")
     out = out.unionByName(met.select("grp", F.col("x.key").alias("p"), F.col("y.key").alias("q")))
     return out.select("grp", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))

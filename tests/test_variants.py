@@ -68,10 +68,10 @@ def test_numbered_names_meet_few_others(spark):
     assert candidates(4000) < 1.5 * candidates(1000)
 
 
-@pytest.mark.parametrize("measure", ["blocks", "levenshtein"])
-def test_similar_keys_of_any_length(spark, monkeypatch, measure):
+@pytest.mark.parametrize("measure, spare", [("blocks", 5), ("levenshtein", 5), ("blocks", 0)])
+def test_similar_keys_of_any_length(spark, monkeypatch, measure, spare):
     """Words shared by all texts, frequent segments, lengths on both sides of each border."""
-    monkeypatch.setattr(segments, "FREQUENT", 4)
+    monkeypatch.setattr(segments, "SPARE", spare)
     monkeypatch.setattr(segments, "LONG", 30)
     keys = sorted({w for n, w in enumerate(words(8, 120))} | {f"{p} {w}" for p in ("customer item", "large blue shirt of") for w in words(9, 70)})
     df = spark.createDataFrame([(0, k) for k in keys], "grp int, key string")
