@@ -90,7 +90,28 @@ def op9(spark, folder):
     return id_files.encode_and_read(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-@_query("op10_near_duplicates")
+# The characters that end a term, and the letters that are folded.
+_NO_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# The components by walking all links; on small tables.
+_NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")},
+                 '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     i AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0),
+     s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM i),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(u) AS component_id FROM r GROUP BY v) ON v = d.doc_id
+"""
+
+
+@_query("op10_near_duplicates", _NEAR_SQL)
 def op10(spark, folder):
     return chosen_path.near_duplicates(_table(spark, folder, "documents"), percent=75, words=5)
 
@@ -121,10 +142,6 @@ def op12(spark, folder):
     return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
-# The characters that end a term, and the letters that are folded.
-_NO_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 _RANKED_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS d, doc_id, {_FOLD.format('text')} AS body FROM documents),
      t AS (SELECT d, doc_id, unnest(regexp_extract_all(body, '{_NO_TERM}')) AS term FROM d),
