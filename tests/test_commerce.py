@@ -282,6 +282,31 @@ def test_taxonomy_of_many_terms(spark):
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 30_000
 
 
+def test_category_words_are_found_once_per_row(spark):
+    df = spark.createDataFrame([("Running, SHOES!",), ("runningshoes",), ("a  tee",), ("steel",), ("-tee",)], "v string")
+    found = normalization.normalize_category(F.col("v"), fuzzy=False)
+    got = df.select(found.alias("n")).select("n.*")
+    assert [r.value for r in got.collect()] == ["Footwear", "Runningshoes", "Apparel - Tops", "Steel", "-tee"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 3
+
+
+def test_closest_term_is_that_of_all_ratios(spark):
+    import random
+
+    from shelfwise.functions.similarity import closest_term, matcher_ratio
+
+    r, terms = random.Random(3), ["sneakers", "running shoes", "tee", "tshirt", "t-shirt", "sony corp", "sony"]
+    words = ["".join(r.choice([*t, "x", ""]) if r.random() < 0.2 else c for c in t) for t in terms for _ in range(40)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for first in (False, True):
+        got = df.select("w", closest_term(terms, 0.8, first=first)("w").alias("m")).collect()
+        for w, m in got:
+            near = [(p, x) for p, t in enumerate(terms) if (x := matcher_ratio(w, t)) >= 0.8]
+            want = near[0] if first and near else min(near, key=lambda n: (-n[1], n[0]), default=(None, None))
+            assert tuple(m) == (want[0], want[1] and round(want[1], 2))
+
+
 def test_session_specs_inherit_filters():
     from shelfwise.plans.session_run import carried_specs
 
