@@ -56,6 +56,8 @@ HEADS = 62
 DEPTH = 4
 #: Sets that are compared with one at once.
 TOGETHER = 64
+#: Bits of the map that tells which texts are not asked for; 4 MB.
+ASKED_BITS = 1 << 25
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
@@ -292,6 +294,23 @@ def _sets(words: int):
     return run
 
 
+def _maybe_asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (key, mark) is in ``asked``, and a few others that share a bit with one.
+
+    The bits are built by a shuffle and broadcast at the same bounded size for
+    tables of any size, so texts that are not asked for are never sent.
+    """
+    place = F.pmod(F.xxhash64("key", "mark"), F.lit(ASKED_BITS))
+    bits = (
+        asked.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket")
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("bucket", "bits")
+
+
 def near_duplicates(
     df: DataFrame, percent: int = 75, words: int = 5, recall: float = 0.999999,
     id_col: str = "doc_id", text_col: str = "text", marks: bool = False,
@@ -342,7 +361,8 @@ def near_duplicates(
 
     def sets_of(some: DataFrame, temporary: list[str]) -> DataFrame:
         """(rep, shingles) of some vertices, from their texts."""
-        texts = docs.join(reps.select("rep", "key", "mark").join(some, "rep", "left_semi"), ["key", "mark"]).dropDuplicates(["rep"])
+        asked = staged(reps.select("rep", "key", "mark").join(some, "rep", "left_semi"), "asked", temporary)
+        texts = _maybe_asked(docs, asked).join(asked, ["key", "mark"]).dropDuplicates(["rep"])
         return staged(texts.select("rep", "text").mapInArrow(_sets(words), "rep long, shingles binary"), "sets", temporary)
 
     def sorted_by_node(rows: DataFrame) -> DataFrame:
@@ -361,10 +381,11 @@ def near_duplicates(
             links = staged(
                 sorted_by_node(some.join(sets, "rep")).mapInArrow(_by_node(percent, need, True), "a long, b long"), "links", temporary
             )
-            edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-            if forest is not None:
-                edges = edges.unionByName(forest.select(F.col("vertex").alias("u"), F.col("root").alias("v")))
-            forest = components(edges, own)
+            if not links.isEmpty():  # else the forest stays as it is
+                edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+                if forest is not None:
+                    edges = edges.unionByName(forest.select(F.col("vertex").alias("u"), F.col("root").alias("v")))
+                forest = components(edges, own)
         discard(spark, temporary)
         return forest
 

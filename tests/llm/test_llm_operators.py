@@ -293,6 +293,15 @@ def test_trees_reach_the_recall():
         chosen_path.trees_for(0.9, 0.3)
 
 
+def test_texts_that_are_not_asked_for_are_not_sent(spark):
+    docs = spark.range(20_000).selectExpr("id - 5000 AS key", "xxhash64(id) AS mark", "string(id) AS text")
+    asked = docs.where("key % 100 = 0").selectExpr("key AS rep", "key", "mark")
+    got = {r.key for r in chosen_path._maybe_asked(docs, asked).collect()}
+    assert {r.key for r in asked.collect()} <= got and len(got) < 300
+    assert chosen_path._maybe_asked(docs, asked.limit(0)).count() == 0
+    assert chosen_path._maybe_asked(docs, asked).columns == docs.columns
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(5, 5)]
