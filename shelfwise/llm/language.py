@@ -28,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDER = 4
 #: Bounds of the sample that is fitted: documents of each language and in all (but one of each language), bytes of each.
 SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_BYTES = 400, 80_000, 64 << 20
+#: Bytes of text that are scored at once; the arrays for each of them take some hundred bytes.
+SCORED_BYTES = 1 << 18
 UNKNOWN = "und"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,7 +203,7 @@ def language_of(spark, model: Model | None, text: Column) -> Column:
         best, score = np.full(n, len(names) - 1), np.zeros(n)
         start = 0
         batch = pa.RecordBatch.from_arrays([texts.fill_null("")], names=["text"])
-        for part in slices(iter([batch]), limit=1 << 20) if own else ():
+        for part in slices(iter([batch]), limit=SCORED_BYTES) if own else ():
             column = part.column("text")
             data, offsets = lowered(bytes_of(column)), offsets_of(column)
             letter = np.r_[0, np.cumsum((data >= 97) & (data <= 122))]

@@ -56,10 +56,11 @@ class Encoder:
 
     Texts of one-byte characters without ``<|`` are cut by the file's own
     pre-token pattern; all others at the start of each run of white space,
-    where no pre-token, added token or normalization reaches across.
+    where no pre-token, added token or normalization reaches across. ``kept``
+    units stay in memory between calls.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = STORE_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,16 +90,17 @@ class Encoder:
         small = "".join(c for c in map(chr, range(256)) if c.isalpha() and c == c.lower())
         self.single = re.compile(f"[{small}]+" if self.lower else f" ?[{letter}]+").fullmatch
         self.merges, self.blank = self.tokenizer.model.tokenize, self.visible[32]
+        self.kept = kept
         self.store = _Store(self, [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())])
 
     @classmethod
-    def of_process(cls, path: str) -> Encoder:
+    def of_process(cls, path: str, kept: int = STORE_UNITS) -> Encoder:
         """The encoder of this worker process, so that its store serves all tasks that run here."""
-        kept = sys.modules.setdefault("shelfwise_worker", types.ModuleType("shelfwise_worker"))
-        held = kept.__dict__.setdefault("encoders", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
+        module = sys.modules.setdefault("shelfwise_worker", types.ModuleType("shelfwise_worker"))
+        held = module.__dict__.setdefault("encoders", {})
+        if (path, kept) not in held:
+            held[path, kept] = cls(path, kept)
+        return held[path, kept]
 
     def units(self, text: str) -> list[str]:
         try:
@@ -123,7 +125,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.store) > STORE_UNITS:
+        if len(self.store) > self.kept:
             self.store.clear()
         get, units = self.store.__getitem__, self.units
         return [b"".join(map(get, units(t))) for t in texts]

@@ -19,6 +19,7 @@ from shelfwise.llm import (
     id_files,
     language,
     packing,
+    pretokens,
     recompression,
     substring_repeats,
     token_counts,
@@ -112,6 +113,25 @@ def test_units_encode_like_the_library(path):
     assert encoder.ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in want]
 
 
+def test_units_in_memory_are_bounded():
+    """The store starts anew beyond its bound, and packing asks for less than the other encoders."""
+    texts = [f"unit{n} number{n}" for n in range(400)]
+    encoder = Encoder(WORD, kept=100)
+    got = [encoder.ids([t])[0] for t in texts]
+    assert len(encoder.store) < 120 and got == Encoder(WORD).ids(texts)
+    assert packing.KEPT_UNITS < pretokens.STORE_UNITS
+
+
+def test_language_scores_in_small_slices(spark, monkeypatch):
+    """A worker scores little text at once; the answers do not depend on it."""
+    assert language.SCORED_BYTES <= 1 << 18
+    rows = [(n, f"{'der die das' if n % 2 else 'the and of'} {n}", "de" if n % 2 else "en") for n in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sort(language.predict_languages(df).collect())
+    monkeypatch.setattr(language, "SCORED_BYTES", 30)
+    assert sort(language.predict_languages(df).collect()) == want
+
+
 def tokens(path, docs):
     found = Tokenizer.from_file(path).encode_batch([t or "" for _, t in docs], add_special_tokens=False)
     return [(d, e.ids) for (d, _), e in zip(docs, found)]
