@@ -25,7 +25,14 @@ REPORT_SCHEMA = T.StructType(
 )
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to all tasks, so that a file of one row group keeps no core idle."""
+    return df.repartition(F.monotonically_increasing_id())
+
+
 def _table_rows(df: DataFrame, dataset: str, keys) -> DataFrame:
+    # A dozen passes follow; they read what was written once, column by column, in parts of one size.
+    df = stage(_spread(df), f"{dataset}-raw")
     lazy, issues, _ = plan_and_apply(df, dataset, keys)
     clean = stage(lazy, f"{dataset}-clean")
     again, left, _ = plan_and_apply(clean, f"{dataset}_clean", keys)

@@ -160,6 +160,22 @@ def test_report_isolates_errors(spark):
     assert {(r.check, r.value) for r in report if r.dataset == "orders"} >= {("row_count", 1), ("idempotent", 1)}
 
 
+def test_report_reads_its_input_once(spark):
+    """The source is worked out once, and its rows are dealt to all tasks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(value):
+        seen.add(1)
+        return value
+
+    rows = [(f"O{n}", f"${n}.00", "2024-01-01", "A") for n in range(40)]
+    df = spark.createDataFrame(rows, ORDER_COLUMNS).coalesce(1)
+    report = quality_report({"orders": df.withColumn("price", passed("price"))}).collect()
+    assert seen.value == 40
+    assert {(r.check, r.value) for r in report} >= {("row_count", 40), ("rows_after", 40), ("idempotent", 1)}
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", b', float("nan")), (2, None, 1.005)], "i int, t string, x double")
     tables.write_csv(df, f"{tmp_path}/in/first.csv")
